@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from ferrule.llm.chat import OP5_SQL, op5_chat_format
 from ferrule.llm.line_dedup import OP7_SQL, op7_line_dedup
+from ferrule.llm.mixing import op6_mixing
 
-QUERIES = {"op7_line_dedup": op7_line_dedup}
-ORACLES = {"op7_line_dedup": OP7_SQL}
+QUERIES = {"op5_chat_format": op5_chat_format, "op6_mixing": op6_mixing, "op7_line_dedup": op7_line_dedup}
+ORACLES = {"op5_chat_format": OP5_SQL, "op7_line_dedup": OP7_SQL}
