@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 from ferrule.llm.chat import OP5_SQL, op5_chat_format
+from ferrule.llm.decontam import op8_decontamination
 from ferrule.llm.line_dedup import OP7_SQL, op7_line_dedup
 from ferrule.llm.mixing import op6_mixing
+from ferrule.llm.quality import op3_quality
+from ferrule.llm.toxicity import op2_toxicity
 
-QUERIES = {"op5_chat_format": op5_chat_format, "op6_mixing": op6_mixing, "op7_line_dedup": op7_line_dedup}
+QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
+    "op5_chat_format": op5_chat_format,
+    "op6_mixing": op6_mixing,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_decontamination": op8_decontamination,
+}
 ORACLES = {"op5_chat_format": OP5_SQL, "op7_line_dedup": OP7_SQL}
