@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from ferrule.llm.chat import OP5_SQL, op5_chat_format
 from ferrule.llm.decontam import op8_decontamination
+from ferrule.llm.html_text import op10_html_text
 from ferrule.llm.line_dedup import OP7_SQL, op7_line_dedup
 from ferrule.llm.mixing import op6_mixing
 from ferrule.llm.quality import op3_quality
 from ferrule.llm.toxicity import op2_toxicity
+from ferrule.llm.warc_zip import op9_warc
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
@@ -16,5 +18,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
+    "op9_warc": op9_warc,
+    "op10_html_text": op10_html_text,
 }
 ORACLES = {"op5_chat_format": OP5_SQL, "op7_line_dedup": OP7_SQL}
