@@ -1,8 +1,68 @@
-"""The corpus pipeline: documents through five stages, each written and read again."""
+"""The corpus pipeline: documents through five stages, each written as Parquet and read again.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all rows of docs. All but the last return the columns of documents; the
+last returns the mix: doc_id, size, source_size, target, copies and taken.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ferrule.llm.common import staged
+from ferrule.llm.decontam import find_contamination
+from ferrule.llm.line_dedup import drop_boilerplate_lines
+from ferrule.llm.minhash import near_duplicates
+from ferrule.llm.mixing import mix_sources
+from ferrule.llm.quality import score_quality
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label quality model accepts."""
+    return score_quality(docs).where("quality_keep").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without its host's boilerplate lines; n_chars follows the text."""
+    cleaned = drop_boilerplate_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return cleaned.select(*docs.columns)
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest doc_id. Rows without doc_id stay."""
+    found = staged(near_duplicates(docs), "pipeline-near")
+    kept = found.where("kept and doc_id is not null").select("doc_id")
+    out = docs.join(kept.distinct(), "doc_id", "left_semi")
+    if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "text"])  # repeated rows are copies too
+    return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, in its own order or another."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return find_contamination(docs, benchmark).where(F.size("hits") == 0).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of each document that bring every source near its target weight."""
+    return mix_sources(docs, carry=[])
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("minhash_dedup", minhash_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mixing", mixing),
+]
+
+#: The classifier's scores cannot be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return docs

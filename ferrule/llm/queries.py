@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from ferrule.llm.chat import OP5_SQL, op5_chat_format
 from ferrule.llm.decontam import op8_decontamination
+from ferrule.llm.embedding_dedup import op1_embedding_dedup
 from ferrule.llm.html_text import op10_html_text
 from ferrule.llm.line_dedup import OP7_SQL, op7_line_dedup
+from ferrule.llm.minhash import op4_minhash
 from ferrule.llm.mixing import op6_mixing
 from ferrule.llm.quality import op3_quality
 from ferrule.llm.toxicity import op2_toxicity
 from ferrule.llm.warc_zip import op9_warc
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op4_minhash": op4_minhash,
     "op5_chat_format": op5_chat_format,
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
