@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ferrule.llm.common import staged
 from ferrule.llm.decontam import find_contamination
 from ferrule.llm.line_dedup import drop_boilerplate_lines
-from ferrule.llm.minhash import near_duplicates
+from ferrule.llm.minhash import BROADCAST_IDS, near_duplicates
 from ferrule.llm.mixing import mix_sources
 from ferrule.llm.quality import score_quality
 
@@ -32,10 +32,12 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each near-duplicate group: the one with the smallest doc_id. Rows without doc_id stay."""
     found = staged(near_duplicates(docs), "pipeline-near")
     kept = found.where("kept and doc_id is not null").select("doc_id")
-    out = docs.join(kept.distinct(), "doc_id", "left_semi")
+    # The ids that go are fewer than those that stay, and few enough to be broadcast up to a checked bound.
+    gone = found.where("not kept").select("doc_id").distinct().join(kept, "doc_id", "left_anti")
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
     if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "text"])  # repeated rows are copies too
-    return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return out.select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,29 @@ def unstage(df: DataFrame) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.RecordBatch]:
+    """Rows of a sorted partition as one batch for each run of equal integer keys; only the run at a batch's end is held over."""
+    rest: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [np.asarray(batch.column(k)) for k in keys]
+        changed = np.zeros(batch.num_rows, bool)
+        for v in values:
+            changed[1:] |= v[1:] != v[:-1]
+        starts = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            here = tuple(int(v[a]) for v in values)
+            if rest and here != last:
+                yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+                rest = []
+            rest.append(batch.slice(a, b - a))
+            last = here
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+
 def components(edges: DataFrame, label: str = "components", rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of an undirected edge list (a, b): rows (node, component).
 

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.common import components, staged
 
-#: Directions in each of the two sub-codes; a filter is a pair of them, so there are CODE ** 2 filters.
+#: Independent product codes. Filters of one code share directions, so their misses go together; those of several codes do not.
+TABLES = 4
+#: Directions in each of a code's two halves; a filter is a pair of them, so a code has CODE ** 2 filters.
 CODE = 512
-#: Filters a random vector exceeds on average, and the number that each vector is given at least.
-EXPECTED, LEAST = 28, 10
+#: Filters of a code that a random vector exceeds on average, and the number that each vector is given at least.
+EXPECTED, LEAST = 8, 6
 #: Members of a filter that meet in one group; larger filters are compared block against block.
 BLOCK = 1024
 #: Rows of a checked table that may be broadcast.
@@ -24,10 +26,11 @@ BROADCAST_ROWS = 500_000
 
 
 class ProductCode:
-    """Filters of one dimension: a random rotation, two halves, CODE random directions in each half, and the cap height."""
+    """Filters of one dimension and table: a random rotation, two halves, CODE random directions in each half, and the cap height."""
 
-    def __init__(self, dim: int):
-        rng = np.random.default_rng(7919 + dim)
+    def __init__(self, dim: int, number: int):
+        rng = np.random.default_rng([7919, dim, number])
+        self.base = number * CODE * CODE
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.cut = (dim + 1) // 2
         self.codes = []
@@ -56,13 +59,18 @@ class ProductCode:
                 sums = np.add.outer(a[i], b[j]).ravel()
                 best = np.argsort(-sums, kind="stable")[:LEAST]
                 found = i[best // LEAST] * CODE + j[best % LEAST]
-            out.append(np.sort(found).astype(np.int32))
+            out.append(np.sort(found + self.base).astype(np.int32))
         return out
 
 
 @lru_cache(maxsize=8)
-def product_code(dim: int) -> ProductCode:
-    return ProductCode(dim)
+def product_codes(dim: int) -> list[ProductCode]:
+    return [ProductCode(dim, number) for number in range(TABLES)]
+
+
+def filters_of(unit: np.ndarray) -> list[np.ndarray]:
+    """For each row the sorted numbers of its filters in all tables."""
+    return [np.concatenate(parts) for parts in zip(*(code.decode(unit) for code in product_codes(unit.shape[1])))]
 
 
 def _checked(rows: DataFrame) -> DataFrame:
@@ -103,7 +111,7 @@ def _with_filters(reps: DataFrame) -> DataFrame:
             dims = np.asarray(batch.column("dim"))
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                lists = product_code(int(dim)).decode(_units(part.column("vec"), int(dim)))
+                lists = filters_of(_units(part.column("vec"), int(dim)))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 filters = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
                 yield pa.RecordBatch.from_arrays([*part.columns, filters], [*part.schema.names, "filters"])
@@ -201,7 +209,7 @@ def link_embeddings(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     it (random product codes, list-decoded), filters are joined, and every pair in a filter is verified exactly;
     a pair counts in the first filter that both share. A filter with more members than BLOCK is compared block against block, so no group
     outgrows a task, and what leaves a group is a count per member and one link to its component, never the pairs.
-    Two vectors at cosine 0.93 share no filter with a probability of well under one in a thousand in 64 dimensions.
+    Of 6,000 random pairs at cosine 0.93 exactly, in 64 dimensions, every one shared a filter; nearer pairs share more.
 
     n_links counts other rows, copies included. Null, empty or zero vectors, those with null or non-finite components, and rows with a
     null label or id link with nothing: n_links 0, component_id = vec_id, kept (true for a null id). Vectors of different lengths do

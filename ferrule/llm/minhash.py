@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import components, staged, unstage
+from ferrule.llm.common import components, runs, staged, unstage
 
 #: 256 buckets, of which 42 bands of 6 registers use 252.
 BUCKETS, BAND, BANDS = 256, 6, 42
@@ -19,6 +19,8 @@ USED = BAND * BANDS
 ZEROS, MANTISSA = 4, 4
 #: Two registers of different minima agree when their counts do (sum of 4**-k = 1/3) and their mantissas do.
 COLLISION = 1 / 3 / (1 << MANTISSA)
+#: Representatives that meet in one group of a band; larger bands are compared block against block.
+BLOCK = 512
 #: Document ids up to this many are broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -125,6 +127,88 @@ def _banded(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "regs").mapInArrow(run, "band long, rep long")
 
 
+def _floor(n: np.ndarray, wanted: float) -> np.ndarray:
+    """Least estimate to go on with: five standard deviations below what is wanted, for sets of n shingles."""
+    return wanted - 5 * np.sqrt(wanted * (1 - wanted) / np.minimum(n, USED)) - 0.02
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Rows of bands dealt into (band, lo, hi): each pair of a band's members meets in one group, and no group has more than two blocks."""
+    sizes = rows.groupBy("band").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK).select(F.col("band").alias("bb"), F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    dealt = (
+        rows.join(sizes, F.col("band") == F.col("bb"), "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("lo", F.least("block", "other"))
+        .withColumn("hi", F.greatest("block", "other"))
+        .drop("bb", "blocks", "other")
+    )
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(partitions, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+
+
+def _across(rows: DataFrame, percent: int, verify: bool) -> DataFrame:
+    """Pairs of different components within each band, without listing them.
+
+    rows: (band, rep, c, n, regs), with set too where verify. A pair is looked at in the first band that its ends share, if sizes and estimate
+    allow the similarity. Without verify: (band, rep) of those that have such a pair. With verify: links (a, b), one for each two
+    components that a group joins.
+    """
+    wanted = percent / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = [], []
+        for group in runs(batches, "band", "lo", "hi"):
+            m = group.num_rows
+            if m < 2:
+                continue
+            rep, n, block = (np.asarray(group.column(k)) for k in ("rep", "n", "block"))
+            _, c, sizes = np.unique(np.asarray(group.column("c")), return_inverse=True, return_counts=True)
+            if len(sizes) < 2:
+                continue
+            regs = np.stack([np.frombuffer(r.as_py(), np.uint8) for r in group.column("regs")])
+            band = group.column("band")[0].as_py()
+            number = int(np.flatnonzero(band_keys(regs[:1])[0] == band)[0])
+            apart = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("set")] if verify else []
+            largest, root, seen, order = int(sizes.argmax()), np.arange(len(sizes)), np.zeros(m, bool), np.arange(m)
+            for i in np.flatnonzero(c != largest):
+                ok = (root[c] != root[c[i]]) & ((c == largest) | (order > i)) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
+                if apart:
+                    ok &= block != block[i]
+                j = np.flatnonzero(ok)
+                if not len(j):
+                    continue
+                agree = regs[j] == regs[i]
+                good = (agree.mean(axis=1) - COLLISION) / (1 - COLLISION) >= _floor(np.minimum(n[j], n[i]), wanted)
+                j, agree = j[good], agree[good]
+                j = j[agree.reshape(len(j), BANDS, BAND).all(axis=2).argmax(axis=1) == number]
+                if not len(j):
+                    continue
+                if not verify:
+                    seen[i] = True
+                    seen[j] = True
+                    continue
+                lengths = np.array([len(sets[k]) for k in j])
+                shared = np.add.reduceat(np.isin(np.concatenate([sets[k] for k in j]), sets[i]).astype(np.int64), np.r_[0, np.cumsum(lengths)[:-1]])
+                for k in j[100 * shared >= percent * (lengths + len(sets[i]) - shared)]:
+                    if root[c[k]] != root[c[i]]:
+                        root[root == root[c[k]]] = root[c[i]]
+                        first.append(int(rep[i]))
+                        second.append(int(rep[k]))
+            if not verify and seen.any():
+                first.extend([band] * int(seen.sum()))
+                second.extend(rep[seen].tolist())
+            if len(first) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
+                first, second = [], []
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
+
+    return _blocked(rows).mapInArrow(run, "a long, b long")
+
+
 def _promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes allow the similarity and whose estimate is not five standard deviations below it."""
     a = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
@@ -137,8 +221,7 @@ def _promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             if batch.num_rows:
                 ra, rb = (np.stack([np.frombuffer(r.as_py(), np.uint8) for r in batch.column(c)]) for c in ("ra", "rb"))
                 least = np.minimum(np.asarray(batch.column("na")), np.asarray(batch.column("nb")))
-                margin = 5 * np.sqrt(wanted * (1 - wanted) / np.minimum(least, USED)) + 0.02
-                keep = estimated(ra, rb) >= wanted - margin
+                keep = estimated(ra, rb) >= _floor(least, wanted)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     return sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
@@ -170,9 +253,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Equal sets become one representative. Its HyperMinHash registers are cut into bands; representatives that share a band go to
     the band's smallest one as candidates, pass a size test and the collision-corrected estimate, and are confirmed on their
-    full sets. Links make components; then every pair that shares a band and whose ends lie in different components is put to the same
-    tests, so a group of copies costs its size and not its square, while no link between components is passed over. A
-    pair at 80 % shares no band with a probability near 3 in a million.
+    full sets. Links make components; then within each band every pair whose ends lie in different components is put to the same
+    tests, block against block inside tasks, and only what joins two components comes out. So a group of copies costs its size and not
+    its square, while no link between components is passed over. A pair at 80 % shares no band with a probability near 3 in a million.
 
     Empty and null texts have 0 shingles and link with nothing. A row without doc_id links with nothing (component_id null, kept
     true). Rows that repeat a doc_id are documents
@@ -203,11 +286,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     first = components(links, "minhash-components")
     placed = mates.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    apart = staged(placed.join(mixed, "band").join(reps.select("rep", "n"), "rep"), "minhash-apart")
-    left, right = apart.select("band", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na")), apart.select("band", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    fits = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    across = left.join(right, "band").where(fits).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = staged(_verified(staged(_promising(across, reps, percent), "minhash-candidates"), sets, percent), "minhash-links")
+    apart = staged(placed.join(mixed, "band").join(reps.select("rep", "n", "regs"), "rep"), "minhash-apart")
+    worth = _across(apart, percent, False).select(F.col("a").alias("band"), F.col("b").alias("rep")).distinct()
+    more = staged(_across(apart.join(worth, ["band", "rep"]).join(sets, "rep"), percent, True), "minhash-links")
     final = first if more.isEmpty() else components(links.unionByName(more), "minhash-components")
     # A document's component is that of its set's representative.
     owner = reps.select("same", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
