@@ -133,16 +133,30 @@ def _floor(n: np.ndarray, wanted: float) -> np.ndarray:
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
-    """Rows of bands dealt into (band, lo, hi): each pair of a band's members meets in one group, and no group has more than two blocks."""
-    sizes = rows.groupBy("band").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK).select(F.col("band").alias("bb"), F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    """Rows of bands dealt into (band, lo, hi): pairs of different components meet in one group, and no group has more than two blocks.
+
+    In a band of more than BLOCK members the members of its largest component never meet each other: they form blocks of their own
+    that meet only the blocks of the rest. So a large group that is nearly one component costs its size, not its square.
+    """
+    by_component = rows.groupBy("band", "c").agg(F.count("*").alias("k"))
+    sizes = by_component.groupBy("band").agg(F.sum("k").alias("all"), F.max(F.struct("k", "c")).alias("top")).where(F.col("all") > BLOCK)
+    sizes = sizes.select(
+        F.col("band").alias("bb"),
+        F.col("top.c").alias("main"),
+        F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("rest_blocks"),
+        F.ceil(F.col("top.k") / BLOCK).cast("int").alias("main_blocks"),
+    )
+    h, small = F.xxhash64("rep"), F.col("bb").isNull()
+    block = F.when(F.col("is_main"), F.col("rest_blocks") + F.pmod(h, F.col("main_blocks"))).otherwise(F.pmod(h, F.col("rest_blocks")))
+    last = F.col("rest_blocks") - 1 + F.when(F.col("is_main"), 0).otherwise(F.col("main_blocks"))
     dealt = (
         rows.join(sizes, F.col("band") == F.col("bb"), "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("is_main", F.coalesce(F.col("c") == F.col("main"), F.lit(False)))
+        .withColumn("block", F.when(small, 0).otherwise(block).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(small, 0).otherwise(last))))
         .withColumn("lo", F.least("block", "other"))
         .withColumn("hi", F.greatest("block", "other"))
-        .drop("bb", "blocks", "other")
+        .drop("bb", "main", "rest_blocks", "main_blocks", "is_main", "other")
     )
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(partitions, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
