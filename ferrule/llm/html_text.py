@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import staged
+from ferrule.llm.common import runs, staged
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*|[^>]*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w-])(hidden)(?![\w-])")
@@ -32,8 +35,13 @@ _MAIN = re.compile(r"(?:^|\s)(?:article-?(?:body|content|text)|post-?(?:body|con
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 #: Where a block stands.
 ARTICLE, MAIN, OPEN, BOILER = 0, 1, 2, 3
-#: So many words in a row, on two pages of a host with different streams, are a repeated run.
+#: So many words in a row, on enough distinct pages of a host, are a repeated run.
 RUN = 6
+#: Minima that stand for a page.
+SKETCH = 16
+_SALTS = np.array([xxhash.xxh64_intdigest(str(i)) for i in range(SKETCH)], np.uint64)
+#: So many repeated suffixes are broadcast at once.
+KEYS = 1_000_000
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -134,13 +142,6 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         where = new
 
 
-def _settled(found: list[tuple[int, str]]) -> list[str] | None:
-    """The text blocks of a page that marks its article or main part; None where it marks neither."""
-    zones = {w for w, _ in found}
-    best = ARTICLE if ARTICLE in zones else MAIN if MAIN in zones else None
-    return None if best is None else [t for w, t in found if w == best]
-
-
 def _host(url: str | None) -> str:
     try:
         return urlsplit(url or "").netloc.lower()
@@ -148,27 +149,159 @@ def _host(url: str | None) -> str:
         return ""
 
 
-def _suffixes(words: list[str], run: int) -> list[int]:
-    """A signed 64-bit value for the first `run` words of each suffix of at least that length."""
-    codes = [xxhash.xxh64_intdigest(w) for w in words]
-    out = []
-    for i in range(len(codes) - run + 1):
-        h = 0
-        for c in codes[i : i + run]:
-            h = ((h ^ c) * 0x9E3779B97F4A7C15 + 0x7F4A7C15) & (1 << 64) - 1
-        out.append(h - (1 << 64) if h >> 63 else h)
-    return out
-
-
-def repeated_runs(streams: DataFrame) -> DataFrame:
-    """(host, stream, suffixes array<long>) to (host, key): beginnings of suffixes that two different streams of a host share.
+def _codes(words: list[str]) -> np.ndarray:
+    known: dict[str, int] = {}
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w)
+    return np.array([known[w] for w in words], np.uint64)
+
+
+def _suffixes(codes: np.ndarray, run: int, start: int = 0) -> np.ndarray:
+    """A 64-bit value for the first `run` words of each suffix of at least that length."""
+    n = len(codes) - run + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    h = np.full(n, start, np.uint64)
+    for i in range(run):
+        h = (h ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x7F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+class _Page:
+    """A page's blocks as one stream of words: its suffixes, its identity, and which blocks hold its main text."""
+
+    def __init__(self, url: str | None, page: str | None, run: int):
+        found = blocks(page)
+        zones = {w for w, _ in found}
+        best = ARTICLE if ARTICLE in zones else MAIN if MAIN in zones else None
+        self.host, self.marked = _host(url), best is not None
+        words: list[str] = []
+        content = []
+        self.kept: list[tuple[int, str]] = []
+        for w, t in found:
+            if w == best or best is None and w != BOILER:
+                self.kept.append((len(words), t))
+            here = t.split(" ")
+            content.extend([w != BOILER] * len(here))
+            words.extend(here)
+        self.codes, self.content = _codes(words), np.array(content, bool)
+        self.stream = xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
+        self.suffixes = _suffixes(self.codes, run, xxhash.xxh64_intdigest(self.host)).view(np.int64)
+
+    def sketch(self) -> list[int]:
+        """Minima of SKETCH hashes over the 3-word runs of what is not boilerplate: two pages share as many of them as they share runs."""
+        codes = self.codes[self.content]
+        if not len(codes):
+            codes = self.codes
+        grams = _suffixes(codes, min(3, len(codes)))
+        return ((grams[:, None] ^ _SALTS) * np.uint64(0xD6E8FEB86659FD93)).min(0).view(np.int64).tolist()
+
+    def text(self, gone: np.ndarray, run: int) -> str:
+        """The kept blocks without the words of the repeated suffixes; in a marked part only of runs of 2 * run words or over whole blocks."""
+        if not gone.any():
+            return "\n".join(t for _, t in self.kept)
+        change = np.zeros(len(self.codes) + 1, np.int64)
+        at = np.flatnonzero(gone)
+        np.add.at(change, at, 1)
+        np.add.at(change, at + run, -1)
+        covered = np.cumsum(change[:-1]) > 0
+        length = np.zeros(len(covered), np.int64)
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
+        for a, b in zip(edges[::2], edges[1::2]):
+            length[a:b] = b - a
+        lines = []
+        for start, t in self.kept:
+            words = t.split(" ")
+            here = length[start : start + len(words)]
+            drop = here > 0
+            if self.marked and not drop.all():
+                drop = here >= 2 * run
+            lines.append(" ".join(w for w, d in zip(words, drop) if not d))
+        return "\n".join(x for x in lines if x)
+
+
+def _pages(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[tuple[pa.RecordBatch, list[_Page]]]:
+    for batch in batches:
+        yield batch, [_Page(u, h.as_py(), run) for u, h in zip(batch.column("url").to_pylist(), batch.column("html"))]
+
+
+def _fingerprints(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket (12 bits) and fingerprint in it (24 bits)."""
+    h = suffixes.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (h >> np.uint64(52)).astype(np.int64), (h >> np.uint64(28) & np.uint64(0xFFFFFF)).astype(np.uint32)
+
+
+def _seen_twice(base: DataFrame, run: int) -> np.ndarray:
+    """2^28 bits; set wherever a suffix stands on two pages of its host, and by chance elsewhere.
+
+    Suffixes travel as 3 bytes each, packed by bucket, and each bucket owns 8 KB of the bits, so what comes to the driver does not grow.
+    """
 
-    This is the host's suffix array cut at the depth that matters: suffixes that agree in their first RUN words lie in one
-    group, and every longer repeat is a chain of such groups. Whether a group spans two streams is a minimum and a
-    maximum, combined before the shuffle, so neither a large host nor a frequent run gathers in a task.
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pages in _pages(batches, run):
+            if not (found := [np.unique(p.suffixes) for p in pages if len(p.suffixes)]):
+                continue
+            bucket, mark = _fingerprints(np.concatenate(found))
+            order = np.argsort(bucket, kind="stable")
+            bucket, raw = bucket[order], np.ascontiguousarray(mark[order].astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3]
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << 12))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["bucket", "marks"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in runs(batches, "bucket"):
+            raw = np.frombuffer(b"".join(one.column("marks").to_pylist()), np.uint8).reshape(-1, 3).astype(np.uint32)
+            mark, n = np.unique(raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16, return_counts=True)
+            bits = np.zeros(1 << 16, np.uint8)
+            bits[mark[n > 1] >> 8] = 1
+            yield pa.RecordBatch.from_arrays([one.column("bucket").slice(0, 1), pa.array([zlib.compress(np.packbits(bits).tobytes())], pa.binary())], ["bucket", "bits"])
+
+    slices = base.mapInArrow(packed, "bucket int, marks binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(counted, "bucket int, bits binary")
+    out = np.zeros((1 << 12, 1 << 13), np.uint8)
+    for row in slices.collect():
+        out[row.bucket] = np.frombuffer(zlib.decompress(row.bits), np.uint8)
+    return out.reshape(-1)
+
+
+def repeated_runs(base: DataFrame, run: int) -> DataFrame:
+    """(host, key, keeper): beginnings of suffixes that a host repeats on enough of its distinct pages.
+
+    This is the host's suffix array cut at the depth that matters: suffixes that agree in their first `run` words lie in one
+    group, and every longer repeat is a chain of such groups. A host of n distinct pages must repeat a run on
+    max(2, sqrt(n), n / 20) of them. Pages are counted by their sketches: how many different minima there are, for the place
+    of the sketch that a third of all places exceed; so copies with a changed word or menu count as one page. keeper is one page that has
+    the run in a marked part, null where none has. Only suffixes that may stand on two pages leave the tasks; counts are aggregated before each shuffle.
     """
-    each = streams.select("host", "stream", F.explode("suffixes").alias("key"))
-    return each.groupBy("host", "key").agg(F.min("stream").alias("a"), F.max("stream").alias("b")).where("a <> b").select("host", "key")
+    spark = base.sparkSession
+    twice = spark.sparkContext.broadcast(zlib.compress(_seen_twice(base, run).tobytes(), 1))
+    kinds = pa.schema([("host", pa.string()), ("stream", pa.int64()), ("marked", pa.bool_()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(zlib.decompress(twice.value), np.uint8)
+        for _, pages in _pages(batches, run):
+            made = []
+            for p in pages:
+                if not len(p.codes):
+                    continue
+                keys = np.unique(p.suffixes)
+                bucket, mark = _fingerprints(keys)
+                at = (bucket << 16) + (mark >> 8).astype(np.int64)
+                made.append({"host": p.host, "stream": p.stream, "marked": p.marked, "keys": keys[bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0].tolist(), "sketch": p.sketch()})
+            yield pa.RecordBatch.from_pylist(made, kinds)
+
+    pages = staged(base.mapInArrow(candidates, "host string, stream long, marked boolean, keys array<long>, sketch array<long>"), "html-candidates")
+    places = lambda rows, *by: (
+        rows.select(*by, F.posexplode("sketch").alias("place", "least")).distinct().groupBy(*by, "place").agg(F.count("*").alias("n"))
+        .groupBy(*by).agg(F.get(F.sort_array(F.collect_list("n")), F.lit(SKETCH * 2 // 3)).alias("n"))
+    )
+    needed = F.greatest(F.lit(2), F.ceil(F.greatest(F.sqrt("n"), F.col("n") / 20)))
+    hosts = staged(places(pages, "host").select("host", needed.cast("long").alias("needed")), "html-hosts")
+    each = pages.select("host", "stream", F.explode("keys").alias("key")).distinct()
+    common = staged(each.groupBy("host", "key").agg(F.count("*").alias("n"), F.min("stream").alias("first")).where("n > 1").join(hosts, "host").where("n >= needed").select("host", "key", "needed"), "html-common")
+    held = staged(pages.select("host", "stream", "marked", "sketch", F.explode("keys").alias("key")).join(common, ["host", "key"]), "html-held")
+    keeper = held.groupBy("host", "key").agg(F.min(F.when(F.col("marked"), F.col("stream"))).alias("keeper"))
+    return places(held, "host", "key", "needed").where("n >= needed").join(keeper, ["host", "key"]).select("host", "key", "keeper")
 
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_column: str = "html", run: int = RUN) -> DataFrame:
@@ -176,68 +309,48 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
 
     A page's blocks are placed by structure: inside <article> (or an element marked as article body), inside <main>,
     boilerplate (navigation, page headers, footers, sidebars, forms, and what class, id or role call advert, notice, comments
-    and the like), or open. A page that marks its article, or else its main part, keeps the blocks there. For other pages the open blocks count, without the runs
-    that the host repeats: token streams of what lies outside marked articles, boilerplate included, are searched by a host suffix array
-    for runs of `run` or more words on two pages with different streams; covered words go, unique runs stay. Copies of a whole page are one stream, so they do not erase each other.
+    and the like), or open. Of a page that marks its article, or else its main part, the blocks there count, of other pages the open blocks.
+    From both go the runs of `run` or more words that the host repeats (repeated_runs; boilerplate is searched too): from open blocks every
+    such word; from marked parts runs of 2 * run words or over whole blocks, and one page keeps its copy. Unique runs stay.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by newlines in page order. A page
     without text, null html included, gives an empty string. Null ids and urls are carried; pages without a url share the
     host ''. Repeated rows stay repeated. Other columns are ignored.
     """
     base = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html_column}`").alias("html"))
-    kinds = pa.schema([("host", pa.string()), ("stream", pa.int64()), ("suffixes", pa.list_(pa.int64())), ("open", pa.list_(pa.string())), ("starts", pa.list_(pa.int32()))])
-
-    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for u, h in zip(batch.column("url").to_pylist(), batch.column("html")):
-                found = blocks(h.as_py())
-                settled = _settled(found) is not None
-                words: list[str] = []
-                kept, starts = [], []
-                for w, t in found:
-                    if w in (OPEN, BOILER) or not settled:
-                        if not settled and w != BOILER:
-                            kept.append(t)
-                            starts.append(len(words))
-                        words.extend(t.split(" "))
-                made.append({"host": _host(u), "stream": xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63), "suffixes": _suffixes(words, run), "open": None if settled else kept, "starts": None if settled else starts})
-            new = pa.RecordBatch.from_pylist(made, kinds)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *new.columns], ["page_id", "url", *kinds.names])
-
-    extra = {"host": "string", "stream": "long", "suffixes": "array<long>", "open": "array<string>", "starts": "array<int>"}
-    schema = base.select("page_id", "url", *[F.lit(None).cast(kind).alias(name) for name, kind in extra.items()]).schema
-    parsed = staged(base.mapInArrow(streams, schema), "html-streams")
-
-    def settled_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [_settled(blocks(h.as_py())) for h in batch.column("html")]
-            mask = pa.array([t is not None for t in texts])
-            text = pa.array([None if t is None else "\n".join(t) for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), text], ["page_id", "url", "text"]).filter(mask)
-
-    done = base.mapInArrow(settled_text, base.select("page_id", "url", F.lit("").alias("text")).schema)
-    unmarked = parsed.where(F.col("open").isNotNull())
-    covered = (
-        unmarked.select("host", "stream", F.posexplode("suffixes").alias("at", "key"))
-        .distinct()
-        .join(repeated_runs(parsed), ["host", "key"])
-        .groupBy(F.col("host").alias("ch"), F.col("stream").alias("cs"))
-        .agg(F.sort_array(F.collect_set("at")).alias("covered"))
-    )
-    joined = unmarked.join(covered, (F.col("host") == F.col("ch")) & (F.col("stream") == F.col("cs")), "left").select("page_id", "url", "open", "starts", "covered")
-
-    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for kept, starts, at in zip(*(batch.column(c).to_pylist() for c in ("open", "starts", "covered"))):
-                gone = {p for a in at or () for p in range(a, a + run)}
-                lines = [" ".join(w for k, w in enumerate(t.split(" "), start) if k not in gone) for t, start in zip(kept, starts)]
-                texts.append("\n".join(x for x in lines if x))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    rest = joined.mapInArrow(cleaned, done.schema)
-    return done.unionByName(rest).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    spark = base.sparkSession
+    repeated = staged(repeated_runs(base, run), "html-repeated")
+    parts = max(1, -(-repeated.count() // KEYS))
+
+    def cleaned(part: int):
+        rows = repeated.where(F.pmod(F.xxhash64("host"), F.lit(parts)) == part).select("key", F.col("keeper").isNotNull().alias("kept"), F.coalesce("keeper", F.lit(0)).alias("keeper"))
+        found = rows.toArrow().sort_by("key")
+        known = spark.sparkContext.broadcast([found.column(c).to_numpy() for c in ("key", "kept", "keeper")])
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, kept, keeper = known.value
+            for batch, made in _pages(batches, run):
+                texts = []
+                for p in made:
+                    at = np.searchsorted(key, p.suffixes)
+                    at[at == len(key)] = 0
+                    gone = key[at] == p.suffixes if len(key) else np.zeros(len(at), bool)
+                    if p.marked and gone.any():
+                        gone &= ~(kept[at] & (keeper[at] == p.stream))
+                    texts.append(p.text(gone, run))
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+        return clean
+
+    shape = base.select("page_id", "url", F.lit("").alias("text")).schema
+    if parts == 1:
+        done = base.mapInArrow(cleaned(0), shape)
+    else:
+        # Hosts are dealt into parts, each with its own keys.
+        host = F.pandas_udf(lambda u: u.map(_host), "string")(F.col("url"))
+        dealt = base.withColumn("part", F.pmod(F.xxhash64(host), F.lit(parts)))
+        done = reduce(DataFrame.unionByName, [dealt.where(F.col("part") == k).drop("part").mapInArrow(cleaned(k), shape) for k in range(parts)])
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op10_html_text(spark, sf_dir: str) -> DataFrame:

@@ -185,3 +185,28 @@ def test_repeated_runs_of_a_host_go(spark):
     want = [(1, "alpha beta gamma delta one two three"), (1, "alpha beta gamma delta one two three"), (2, "other words stand on this page\nstart end"), (3, f"only page\n{foot}"), (4, ""), (5, art), (6, "x"), (7, "in main"), (8, "")]
     assert got == sorted([(i, t, len(t)) for i, t in want], key=str)
     assert extract_text(df.limit(0)).count() == 0
+
+
+def invented(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+
+
+def test_repeated_runs_inside_marked_articles_go_but_for_one_copy(spark):
+    notice, short = invented("notice", 14), invented("share", 7)
+    own = {i: invented(i, 60) for i in range(9)}
+    rows = [(i, f"http://a/{i}", f"<article><p>{own[i]}</p><p>{notice}</p><p>{short}</p><p>{invented(i + 50, 4)} {short} {invented(i + 70, 4)}</p></article>") for i in own]
+    got = {r.page_id: r.text.split("\n") for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i][0] == own[i] for i in own)
+    assert sum(notice in got[i] for i in own) == 1 and sum(short in got[i] for i in own) == 1
+    assert all(f" {short} " in got[i][-1] for i in own)  # a short run inside a paragraph is no line of the host
+
+
+def test_near_copies_and_chance_runs_stay(spark):
+    a, quote = invented("a", 80).split(), invented("quote", 12)
+    near = " ".join([*a[:40], "changed", *a[41:]])
+    rows = [(1, "http://near/1", plain(" ".join(a))), (2, "http://near/2", plain(near)), (3, "http://menu/1", f"<nav>{invented('m1', 9)}</nav>" + plain(" ".join(a))), (4, "http://menu/2", f"<nav>{invented('m2', 9)}</nav>" + plain(" ".join(a)))]
+    rows += [(10 + i, f"http://large/{i}", plain(invented(("p", i).__repr__(), 30) + (f" {quote}" if i < 2 else ""), invented("foot", 9))) for i in range(30)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[3] == got[4] == " ".join(a) and got[2] == near
+    assert all(got[10 + i].endswith(quote) == (i < 2) and "\n" not in got[10 + i] for i in range(30))
