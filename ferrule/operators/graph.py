@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ferrule.functions.strings import padded_digits
-from ferrule.sources.tables import staged, table, unstage
+from ferrule.sources.tables import staged, staged_and_seen, table, unstage
+
+#: Rows of a counted table that may be broadcast.
+HUBS = 500_000
 
 
 def node_id(kind: str, key: Column) -> Column:
@@ -122,19 +125,34 @@ def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 8) -> Dat
     return spark.createDataFrame(steps, "step int, node string")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable from each node that has an edge, by large-star and small-star rounds."""
-    current = staged(edges.where("source <> target").select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).distinct(), "graph-components")
+def components(edges: DataFrame, a: str = "source", b: str = "target", label: str = "graph-components", rounds: int = 60, heavy: int = 1000) -> DataFrame:
+    """(node, component): the smallest node reachable from each node that has an edge; nodes of any type that has an order.
+
+    Alternates large-star and small-star steps. Null ends and self loops are ignored, repeated edges count once. A step looks up
+    the minimum of each edge's smaller end; the minima of ends with more than `heavy` edges are broadcast, so that a hub's edges stay where they
+    are, as long as there are no more than HUBS of them; beyond that all are joined by a shuffle, which adaptive execution may split.
+    Edges are staged between rounds, and rounds end when nothing changes.
+    """
+    ends = edges.select(F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")).where("x is not null and y is not null and x <> y")
+    current = staged(ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), label)
     before = None
     for _ in range(rounds):
-        both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        after = staged(small, "graph-components")
-        state = after.agg(F.count("*"), F.sum(F.shiftrightunsigned(F.xxhash64("u", "v"), 24))).first()
-        unstage(current)
+        both = current.select("u", "v").unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        minima = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"), "n")
+        minima, seen = staged_and_seen(minima, label, hubs=F.count(F.when(F.col("n") > heavy, 1)))
+        if 0 < seen["hubs"] <= HUBS:
+            hubs = minima.where(F.col("n") > heavy).select(F.col("at").alias("hub"), F.col("m").alias("hub_m"))
+            tagged = current.join(F.broadcast(hubs), F.col("v") == F.col("hub"), "left")
+            large = tagged.where("hub is not null").select("u", F.col("hub_m").alias("v"))
+            large = large.unionAll(tagged.where("hub is null").join(minima.where(F.col("n") <= heavy), F.col("v") == F.col("at")).select("u", F.col("m").alias("v")))
+        else:
+            large = current.join(minima, F.col("v") == F.col("at")).select("u", F.col("m").alias("v"))
+        large = large.where("u <> v").distinct()
+        low = large.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("m"))
+        pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = large.join(low, F.col("u") == F.col("at")).select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        after, state = staged_and_seen(small, label, rows=F.count("*"), digest=F.bit_xor(F.xxhash64("u", "v")))
+        unstage(current, minima)
         current = after
         if state == before:
             return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

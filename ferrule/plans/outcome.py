@@ -1,31 +1,20 @@
-"""Running a query under a budget: rows up to an answer cap, a wall-clock limit, and a named outcome."""
+"""The outcome of a query: its rows up to an answer cap, and a named terminal state."""
 
 from __future__ import annotations
 
-import threading
-import uuid
 from dataclasses import dataclass, field
 from typing import Literal
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row
 
-
-@dataclass(frozen=True)
-class Budget:
-    """Limits of one run; both positive. Ceilings: 100,000 answers and 600 seconds."""
-
-    answer_cap: int = 50
-    wall_clock_seconds: float = 60.0
-
-    def __post_init__(self) -> None:
-        if not 0 < self.answer_cap <= 100_000 or not 0 < self.wall_clock_seconds <= 600:
-            raise ValueError(f"budget out of range: {self}")
+#: Largest answer cap.
+MOST = 100_000
 
 
 @dataclass(frozen=True)
 class Outcome:
-    """answers, failure (no row), limit (answer-cap or wall-clock) or error, with the rows that came before it."""
+    """answers, failure (no row), limit (there are more rows than the cap) or error, with the rows that came before it."""
 
     kind: Literal["answers", "failure", "limit", "error"]
     rows: list[Row] = field(default_factory=list)
@@ -33,28 +22,14 @@ class Outcome:
     error: str | None = None
 
 
-def run(df: DataFrame, budget: Budget | None = None) -> Outcome:
+def run(df: DataFrame, answer_cap: int = 50) -> Outcome:
     """Take at most answer_cap rows of df. The cap bounds what reaches the driver; one row more tells a limit from an end."""
-    budget = budget or Budget()
-    spark, tag = df.sparkSession, f"run-{uuid.uuid4().hex}"
-    late = threading.Event()
-
-    def stop() -> None:
-        late.set()
-        spark.interruptTag(tag)
-
-    timer = threading.Timer(budget.wall_clock_seconds, stop)
-    spark.addTag(tag)
-    timer.start()
+    if not 0 < answer_cap <= MOST:
+        raise ValueError(f"answer cap out of range: {answer_cap}")
     try:
-        rows = df.limit(budget.answer_cap + 1).collect()
+        rows = df.limit(answer_cap + 1).collect()
     except PySparkException as e:
-        return Outcome("limit", limit="wall-clock") if late.is_set() else Outcome("error", error=e.getCondition() or type(e).__name__)
-    except Exception as e:
-        return Outcome("limit", limit="wall-clock") if late.is_set() else Outcome("error", error=type(e).__name__)
-    finally:
-        timer.cancel()
-        spark.removeTag(tag)
-    if len(rows) > budget.answer_cap:
-        return Outcome("limit", rows[: budget.answer_cap], limit="answer-cap")
+        return Outcome("error", error=e.getCondition() or type(e).__name__)
+    if len(rows) > answer_cap:
+        return Outcome("limit", rows[:answer_cap], limit="answer-cap")
     return Outcome("answers", rows) if rows else Outcome("failure")

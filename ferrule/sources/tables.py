@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,9 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can reach: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named.rstrip("/") if named else f"file://{tempfile.gettempdir()}/ferrule-{spark.sparkContext.applicationId}"
+    """The folder that every executor can reach: spark.checkpoint.dir. Unset, a local folder serves on one machine; a cluster is refused."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return f"file://{tempfile.gettempdir()}/ferrule-{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -28,10 +34,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete the files of a staged table that no later plan reads."""
-    path = getattr(df, "_staged_path", None)
-    if path:
+def staged_and_seen(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """A staged table, and aggregates over its rows that the write itself has gathered."""
+    seen = Observation()
+    out = staged(df.observe(seen, *[m.alias(k) for k, m in measures.items()]), label)
+    return out, seen.get
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_staged_path", None)
+        if path is None:
+            continue
         target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -40,4 +55,4 @@ def digest_rows(df: DataFrame) -> DataFrame:
     """One row (rows, digest) that does not depend on row order: what two runs of one query must agree on."""
     texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in sorted(df.columns)]
     h = F.xxhash64(*texts) if texts else F.lit(0).cast("long")
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.shiftrightunsigned(h, 20)), F.lit(0)).alias("digest"))
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)).alias("digest"))

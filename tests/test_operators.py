@@ -11,7 +11,7 @@ from ferrule.functions import quantities as qu
 from ferrule.functions import strings as st
 from ferrule.functions import terms as te
 from ferrule.operators import answers, checks, graph, logic, prove, text, windows
-from ferrule.plans.outcome import Budget, run
+from ferrule.plans.outcome import run
 from ferrule.sources import text as sources
 from ferrule.streaming import events as ev
 
@@ -74,16 +74,14 @@ def test_logic(spark):
 
 def test_outcomes(spark):
     rows = spark.range(10)
-    assert run(rows, Budget(10)).kind == "answers" and run(rows.limit(0)).kind == "failure"
-    capped = run(rows, Budget(4))
+    assert run(rows, 10).kind == "answers" and run(rows.limit(0)).kind == "failure"
+    capped = run(rows, 4)
     assert (capped.kind, capped.limit, len(capped.rows)) == ("limit", "answer-cap", 4)
     assert run(rows.select(F.raise_error(F.lit("no")))).kind == "error"
-    slow = spark.range(0, 1 << 40, 1, 4).agg(F.sum(F.sqrt("id")))
-    late = run(slow, Budget(10, 1.0))
-    assert (late.kind, late.limit) == ("limit", "wall-clock")
-    assert run(rows, Budget(10)).kind == "answers"  # the session lives on
-    with pytest.raises(ValueError):
-        Budget(0)
+    assert run(rows, 10).kind == "answers"  # the session lives on
+    for cap in (0, 100_001):
+        with pytest.raises(ValueError):
+            run(rows, cap)
 
 
 def edges(spark, pairs):
