@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Largest magnitude of a bounded integer (62 bits).
 LIMIT = 4611686018427387903
 EPSILON = 2.220446049250313e-16
+#: Named constants.
+CONSTANTS = {"pi": 3.141592653589793, "e": 2.718281828459045, "inf": float("inf"), "nan": float("nan"), "epsilon": EPSILON}
 
 
 def bounded(x: Column) -> Column:
@@ -63,3 +65,65 @@ def reduced(numerator: Column, denominator: Column) -> Column:
     """A fraction in lowest terms with a positive denominator: struct(n, d)."""
     g = F.greatest(greatest_divisor(numerator, denominator), F.lit(1)) * F.when(denominator < 0, -1).otherwise(1)
     return F.struct(truncated(numerator, g).alias("n"), truncated(denominator, g).alias("d"))
+
+
+def constant(name: str) -> Column:
+    return F.lit(CONSTANTS[name])
+
+
+def divided(a: Column, b: Column) -> Column:
+    """a / b of integers: struct(whole, fraction), whole where b divides a and fraction, a double, where it does not."""
+    even = a % b == 0
+    return F.struct(F.when(even, truncated(a, b)).alias("whole"), F.when(~even, a.cast("double") / b).alias("fraction"))
+
+
+def to_integer(x: Column) -> Column:
+    """Nearest integer, halves away from zero."""
+    return F.round(x).cast("bigint")
+
+
+def toward_zero(x: Column) -> Column:
+    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("bigint")
+
+
+def raised(x: Column) -> Column:
+    return F.ceil(x).cast("bigint")
+
+
+def lowered(x: Column) -> Column:
+    return F.floor(x).cast("bigint")
+
+
+def to_float(x: Column) -> Column:
+    return x.cast("double")
+
+
+def exponential(x: Column) -> Column:
+    return F.exp(x)
+
+
+def negated(x: Column) -> Column:
+    return bounded(-x)
+
+
+def shifted_right(x: Column, n: int) -> Column:
+    """x / 2 ** n, rounded down."""
+    return F.shiftright(x, n)
+
+
+def successor(x: Column | None = None, y: Column | None = None) -> Column:
+    """The unknown one of x and y = x + 1, both natural numbers; null where y is 0, which no natural number precedes."""
+    if x is not None:
+        return F.when(x < 0, F.raise_error(F.lit("not a natural number")).cast("bigint")).otherwise(bounded(x + 1))
+    return F.when(y > 0, y - 1)
+
+
+def added(x: Column, y: Column, z: Column) -> Column:
+    """struct(x, y, z) with x + y = z, the one of the three that is null found from the others; null where the three do not agree."""
+    full = F.struct(F.coalesce(x, z - y).alias("x"), F.coalesce(y, z - x).alias("y"), F.coalesce(z, x + y).alias("z"))
+    return F.when(full["x"] + full["y"] == full["z"], full)
+
+
+def between(low: Column, high: Column) -> Column:
+    """The integers from low to high, none where high is less, for explode."""
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))

@@ -45,8 +45,12 @@ def grouped_in_order(rows: DataFrame, keys: list[str], order: list[str], value:
 
 
 def merged_statements(rows: DataFrame, text: str = "text", source: str = "source", place: str = "place") -> DataFrame:
-    """One row per distinct statement with the place it was first seen and its sources in order, each once."""
-    return rows.groupBy(text).agg(F.min(place).alias("first"), sorted_set(F.col(source)).alias("sources"))
+    """(text, source, first): every statement's distinct sources, a row each, with the place the statement was first seen.
+
+    Sources stay rows, so that a statement that most sources share gathers in no task; the first places are a partial aggregate.
+    """
+    first = rows.groupBy(text).agg(F.min(place).alias("first"))
+    return rows.select(text, source).distinct().join(first, text)
 
 
 def representatives(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ferrule.sources.tables import staged
+
 
 def shown_once_per_run(rows: DataFrame, part: list[str], order: list[str], value: str, name: str = "shown") -> DataFrame:
     """value where it differs from the row before, '' inside a run; run numbers the runs of a part from 1."""
@@ -62,3 +64,13 @@ def parallel_offsets(rows: DataFrame, a: str, b: str, order: list[str]) -> DataF
     """Offset of each of n lines between one pair of ends, whichever way they point: k - (n - 1) / 2 for k from 0."""
     pair = Window.partitionBy(F.least(a, b), F.greatest(a, b))
     return rows.withColumn("offset", F.row_number().over(pair.orderBy(*order)) - 1 - (F.count("*").over(pair) - 1) / 2)
+
+
+def numbered(rows: DataFrame, key: Column, name: str) -> DataFrame:
+    """rows numbered from 1 along key. Ranges of the key are numbered apart, then offset by the sizes of the ranges before, so no task sorts everything."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(rows.withColumn("__k", key).repartitionByRange(partitions, "__k").withColumn("__range", F.spark_partition_id()), "numbered")
+    # One row for each range, of which there are as many as shuffle partitions.
+    before = dealt.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).drop("__n")
+    own = F.row_number().over(Window.partitionBy("__range").orderBy("__k"))
+    return dealt.join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + own).drop("__k", "__range", "__before")
