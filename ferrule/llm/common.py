@@ -1,69 +1,76 @@
-"""Helpers shared by the corpus operators: staged tables, words, components."""
+"""Helpers shared by the corpus operators: staged tables, words, runs of sorted rows, components, free column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.operators import graph
+from ferrule.sources.tables import shared_dir, staged, staged_and_seen, table, unstage
+
+__all__ = ["WORD", "BROADCAST_ROWS", "components", "free_names", "looked_up", "runs", "shared_dir", "staged", "staged_and_seen", "table", "unstage"]
+
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of a counted table that may be broadcast.
+BROADCAST_ROWS = 500_000
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Each wanted name, with underscores before it until no column of df has it (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can reach.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset, as in tests on one
-    machine, a local temporary folder is used.
+def looked_up(rows: DataFrame, facts: DataFrame, key: Column, fact: str, spread: Column, hot: Column, counts: dict) -> DataFrame:
+    """rows left-joined to staged facts by key, a text; fact names the facts' key, unique there. Facts' other columns are added.
+
+    counts holds n, the number of facts, and hot, that of those with many rows. Few facts are broadcast whole. Of many, the hot ones are broadcast, and
+    their rows take part in the shuffle under `spread`, a text that is no key and differs from row to row; so no task gathers a
+    hot key. Where even the hot ones are too many, all are joined by a shuffle, which adaptive execution may split.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    return f"file://{tempfile.gettempdir()}/ferrule-{spark.sparkContext.applicationId}"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends in files that survive executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
+    if counts["n"] <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(facts), key == F.col(fact), "left").drop(fact)
+    if not 0 < counts["hot"] <= BROADCAST_ROWS:
+        return rows.join(facts, key == F.col(fact), "left").drop(fact)
+    names = [c for c in facts.columns if c != fact]
+    first = facts.where(hot).select(F.col(fact).alias("hot_key"), F.struct(*names).alias("hot_facts"))
+    rest = facts.where(~hot).select(fact, F.struct(*names).alias("cold_facts"))
+    dealt = rows.join(F.broadcast(first), key == F.col("hot_key"), "left")
+    both = dealt.join(rest, F.when(F.col("hot_key").isNotNull(), spread).otherwise(key) == F.col(fact), "left").withColumn("hot_facts", F.coalesce("hot_facts", "cold_facts"))
+    return both.select(*rows.columns, *[F.col(f"hot_facts.{n}").alias(n) for n in names])
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete the files of a staged table that no later plan reads."""
-    path = getattr(df, "_staged_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+def components(edges: DataFrame, label: str = "components") -> DataFrame:
+    """Smallest node reachable from each node of an undirected edge list (a, b): rows (node, component)."""
+    return graph.components(edges, "a", "b", label)
 
 
 def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.RecordBatch]:
-    """Rows of a sorted partition as one batch for each run of equal integer keys; only the run at a batch's end is held over."""
+    """Rows of a sorted partition as one batch for each run of equal keys (numbers or bytes); only the run at a batch's end is held over."""
     rest: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        values = [np.asarray(batch.column(k)) for k in keys]
+        values = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
         changed = np.zeros(batch.num_rows, bool)
         for v in values:
             changed[1:] |= v[1:] != v[:-1]
         starts = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
         for a, b in zip(starts, starts[1:]):
-            here = tuple(int(v[a]) for v in values)
+            here = tuple(v[a] for v in values)
             if rest and here != last:
                 yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
                 rest = []
@@ -71,42 +78,3 @@ def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.RecordBat
             last = here
     if rest:
         yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
-
-
-def components(edges: DataFrame, label: str = "components", rounds: int = 60) -> DataFrame:
-    """Smallest node reachable from each node of an undirected edge list (a, b): rows (node, component).
-
-    Alternates large-star and small-star steps: every step groups edges by one end, and only
-    minima travel, so a hub costs one partial aggregate and no task gathers its neighbours. Null ends and
-    self loops are ignored; repeated edges count once. Nodes without an edge are not returned.
-    Edges are staged between rounds, and rounds end when nothing changes.
-    """
-    current = staged(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        label,
-    )
-    before = None
-    for _ in range(rounds):
-        both = current.select("u", "v").unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        after = staged(small, label)
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
-        unstage(current)
-        current = after
-        if state == before:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
-                current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

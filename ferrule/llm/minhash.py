@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import components, runs, staged, unstage
+from ferrule.llm.common import components, runs, staged, staged_and_seen, unstage
 
 #: 256 buckets, of which 42 bands of 6 registers use 252.
 BUCKETS, BAND, BANDS = 256, 6, 42
@@ -100,7 +100,7 @@ def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("regs", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("body", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("regs", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(shingle)
@@ -111,9 +111,9 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 n.append(len(values))
                 same.append(xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None)
                 regs.append(registers(values).tobytes() if len(values) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(regs, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body"), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(regs, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, same binary, regs binary")
+    return docs.mapInArrow(run, "doc_id long, body long, n long, same binary, regs binary")
 
 
 def _banded(reps: DataFrame) -> DataFrame:
@@ -122,9 +122,10 @@ def _banded(reps: DataFrame) -> DataFrame:
             if batch.num_rows:
                 regs = np.stack([np.frombuffer(r.as_py(), np.uint8) for r in batch.column("regs")])
                 keys = band_keys(regs).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.asarray(batch.column("rep")), BANDS))], ["band", "rep"])
+                number = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(number), batch.column("rep").take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], ["band", "number", "rep"])
 
-    return reps.select("rep", "regs").mapInArrow(run, "band long, rep long")
+    return reps.select("rep", "regs").mapInArrow(run, "band long, number int, rep binary")
 
 
 def _floor(n: np.ndarray, wanted: float) -> np.ndarray:
@@ -165,11 +166,12 @@ def _blocked(rows: DataFrame) -> DataFrame:
 def _across(rows: DataFrame, percent: int, verify: bool) -> DataFrame:
     """Pairs of different components within each band, without listing them.
 
-    rows: (band, rep, c, n, regs), with set too where verify. A pair is looked at in the first band that its ends share, if sizes and estimate
-    allow the similarity. Without verify: (band, rep) of those that have such a pair. With verify: links (a, b), one for each two
+    rows: (band, number, rep, c, n, regs), with set too where verify. A pair is looked at in the first band that its ends share, if sizes and
+    estimate allow the similarity. Without verify: (band, rep) of those that have such a pair. With verify: links (a, b), one for each two
     components that a group joins.
     """
     wanted = percent / 100
+    kind, names = (pa.binary(), ["a", "b"]) if verify else (pa.int64(), ["band", "rep"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = [], []
@@ -177,13 +179,12 @@ def _across(rows: DataFrame, percent: int, verify: bool) -> DataFrame:
             m = group.num_rows
             if m < 2:
                 continue
-            rep, n, block = (np.asarray(group.column(k)) for k in ("rep", "n", "block"))
-            _, c, sizes = np.unique(np.asarray(group.column("c")), return_inverse=True, return_counts=True)
+            rep, n, block = group.column("rep").to_pylist(), np.asarray(group.column("n")), np.asarray(group.column("block"))
+            _, c, sizes = np.unique(group.column("c").to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
             if len(sizes) < 2:
                 continue
             regs = np.stack([np.frombuffer(r.as_py(), np.uint8) for r in group.column("regs")])
-            band = group.column("band")[0].as_py()
-            number = int(np.flatnonzero(band_keys(regs[:1])[0] == band)[0])
+            band, number = group.column("band")[0].as_py(), group.column("number")[0].as_py()
             apart = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
             sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("set")] if verify else []
             largest, root, seen, order = int(sizes.argmax()), np.arange(len(sizes)), np.zeros(m, bool), np.arange(m)
@@ -209,18 +210,18 @@ def _across(rows: DataFrame, percent: int, verify: bool) -> DataFrame:
                 for k in j[100 * shared >= percent * (lengths + len(sets[i]) - shared)]:
                     if root[c[k]] != root[c[i]]:
                         root[root == root[c[k]]] = root[c[i]]
-                        first.append(int(rep[i]))
-                        second.append(int(rep[k]))
+                        first.append(rep[i])
+                        second.append(rep[k])
             if not verify and seen.any():
                 first.extend([band] * int(seen.sum()))
-                second.extend(rep[seen].tolist())
+                second.extend(rep[k] for k in np.flatnonzero(seen))
             if len(first) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(first, kind), pa.array(second, pa.binary())], names)
                 first, second = [], []
         if first:
-            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(first, kind), pa.array(second, pa.binary())], names)
 
-    return _blocked(rows).mapInArrow(run, "a long, b long")
+    return _blocked(rows).mapInArrow(run, "a binary, b binary" if verify else "band long, rep binary")
 
 
 def _promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -238,7 +239,7 @@ def _promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 keep = estimated(ra, rb) >= _floor(least, wanted)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    return sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    return sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -255,64 +256,93 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * inter >= percent * (len(u) + len(v) - inter))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+
+
+def _sets(narrow: DataFrame, owners: DataFrame, shingle: int) -> DataFrame:
+    """(rep, set) of the representatives in owners (rep, doc_id, body), made anew from one document of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(shingle)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([shingles(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], ["rep", "set"])
+
+    return narrow.join(owners, ["doc_id", "body"]).select("rep", "text").mapInArrow(run, "rep binary, set binary").dropDuplicates(["rep"])
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs.
+    """(doc_id, n_shingles, component_id, kept, body, first) for every row of docs.
 
     A document's set holds its distinct shingles of `shingle` words (all its words, where they are fewer); documents
     with 100 * intersection >= percent * union are linked, component_id is the smallest doc_id reachable over links, and kept says that it is
-    the document's own.
+    the document's own. body is a hash of the text, so (doc_id, body) names a row of docs even where ids repeat; first marks the one
+    such name of each component that stands for it.
 
-    Equal sets become one representative. Its HyperMinHash registers are cut into bands; representatives that share a band go to
-    the band's smallest one as candidates, pass a size test and the collision-corrected estimate, and are confirmed on their
-    full sets. Links make components; then within each band every pair whose ends lie in different components is put to the same
+    Equal sets become one representative, named by the digest of the set. Its HyperMinHash registers are cut into bands. Within a
+    band all meet its smallest member, then the members of other components that with most links and a third one by hash: they pass a
+    size test and the collision-corrected estimate, and are confirmed on their full sets. Bands with equal members count once.
+    Links make components; then within each band every pair whose ends still lie in different components is put to the same
     tests, block against block inside tasks, and only what joins two components comes out. So a group of copies costs its size and not
     its square, while no link between components is passed over. A pair at 80 % shares no band with a probability near 3 in a million.
 
-    Empty and null texts have 0 shingles and link with nothing. A row without doc_id links with nothing (component_id null, kept
-    true). Rows that repeat a doc_id are documents
-    of their own, told apart by their sets. No rows give no rows; other columns are ignored.
+    Empty and null texts have 0 shingles and link with nothing. A row without doc_id links with nothing (component_id null, kept and
+    first true). Rows that repeat a doc_id are documents of their own: each takes the links of its own set. No rows give no rows;
+    other columns are ignored.
     """
-    narrow = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    narrow = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("body"))
     signed = staged(_signatures(narrow, shingle), "minhash-signatures")
     solid = signed.where(F.col("same").isNotNull() & F.col("doc_id").isNotNull())
-    reps = staged(solid.groupBy("same").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("regs").alias("regs")), "minhash-representatives")
+    reps = solid.groupBy(F.col("same").alias("rep")).agg(F.min(F.struct("doc_id", "body")).alias("least"), F.any_value("n").alias("n"), F.any_value("regs").alias("regs"))
+    reps = staged(reps, "minhash-representatives")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bands = _banded(reps).repartition(partitions, "band")  # one exchange, read by the aggregate and by the join
-    shared = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("k")).where("k > 1").select("band", "hub")
+    shared = bands.groupBy("band", "number").agg(F.min("rep").alias("hub"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("k > 1")
+    shared = shared.groupBy("hub", "k", "members").agg(F.min(F.struct("number", "band")).alias("b")).select("b.band", "hub")
     mates = staged(bands.join(shared, "band"), "minhash-mates")
     # Sets of the documents that share a band with another.
-    nodes = mates.select("rep").distinct()
-    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
-    schema = pa.schema([("rep", pa.int64()), ("set", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(shingle)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([shingles(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], schema=schema)
-
-    wanted = narrow.join(nodes, F.col("doc_id") == F.col("rep")).where(F.col("text").isNotNull())
-    sets = staged(wanted.select("rep", "text").mapInArrow(run, "rep long, set binary"), "minhash-sets")
-    stars = mates.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    links = staged(_verified(staged(_promising(stars, reps, percent), "minhash-candidates"), sets, percent), "minhash-links")
-    first = components(links, "minhash-components")
-    placed = mates.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    apart = staged(placed.join(mixed, "band").join(reps.select("rep", "n", "regs"), "rep"), "minhash-apart")
-    worth = _across(apart, percent, False).select(F.col("a").alias("band"), F.col("b").alias("rep")).distinct()
-    more = staged(_across(apart.join(worth, ["band", "rep"]).join(sets, "rep"), percent, True), "minhash-links")
-    final = first if more.isEmpty() else components(links.unionByName(more), "minhash-components")
-    # A document's component is that of its set's representative.
-    owner = reps.select("same", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
-    unstage(mates)
-    unstage(apart)
+    nodes = mates.select("rep").distinct().join(reps.select("rep", "least.*"), "rep")
+    nodes, seen = staged_and_seen(nodes, "minhash-nodes", n=F.count("*"))
+    sets = staged(_sets(narrow.where("text is not null"), F.broadcast(nodes) if seen["n"] <= BROADCAST_IDS else nodes, shingle), "minhash-sets")
+
+    def confirmed(pairs: DataFrame) -> tuple[DataFrame, int]:
+        apart = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        tried = staged(_promising(apart, reps, percent), "minhash-candidates")
+        found, seen = staged_and_seen(_verified(tried, sets, percent), "minhash-links", n=F.count("*"))
+        unstage(tried)
+        return found, seen["n"]
+
+    def placed(of: DataFrame) -> DataFrame:
+        known = of.withColumnRenamed("node", "rep").withColumnRenamed("component", "c")
+        return mates.join(known, "rep", "left").select("band", "number", "rep", "hub", F.coalesce("c", "rep").alias("c"))
+
+    links, _ = confirmed(mates.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+    # Those that are not with another member of their band: the one with most links, and one by hash.
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    here = placed(components(links, "minhash-components")).join(degree, "rep", "left")
+    by_links, by_hash = F.struct(F.coalesce("links", F.lit(0)).alias("by"), "rep", "c"), F.struct(F.xxhash64("rep").alias("by"), "rep", "c")
+    tops = here.groupBy("band").agg(F.array(F.max(by_links), F.max(by_hash)).alias("tops")).select("band", F.explode("tops").alias("top"))
+    further, _ = confirmed(here.join(tops, "band").where("c <> top.c and top.rep <> hub").select(F.col("rep").alias("a"), F.col("top.rep").alias("b")))
+    both = links.unionByName(further)
+    final = components(both, "minhash-components")
+    here = placed(final)
+    mixed = here.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
+    apart = staged(here.drop("hub").join(mixed, "band").join(reps.select("rep", "n", "regs"), "rep"), "minhash-apart")
+    worth = _across(apart, percent, False).distinct()
+    more, seen = staged_and_seen(_across(apart.join(worth, ["band", "rep"]).join(sets, "rep"), percent, True), "minhash-links", n=F.count("*"))
+    if seen["n"]:
+        final = components(both.unionByName(more), "minhash-components")
+    unstage(mates, apart, more, nodes, sets, links, further)
+    # A component's document is the least of its representatives' least ones.
+    owner = reps.select("rep", "least").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "least", F.coalesce("component", "rep").alias("component"))
+    least = owner.groupBy("component").agg(F.min("least").alias("least"))
+    owner = owner.select(F.col("rep").alias("same"), "component").join(least, "component").drop("component")
     out = signed.join(owner, "same", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "doc_id")).alias("component_id"), "body", "least"
     )
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    first = F.coalesce((F.col("doc_id") == F.col("least.doc_id")) & (F.col("body") == F.col("least.body")), F.lit(True))
+    return out.withColumn("kept", kept).withColumn("first", first).select("doc_id", "n_shingles", "component_id", "kept", "body", "first")
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2).drop("body", "first")

@@ -11,6 +11,7 @@ from ferrule.llm.common import components
 from ferrule.llm.embedding_dedup import link_embeddings
 from ferrule.llm.line_dedup import drop_boilerplate_lines
 from ferrule.llm.minhash import near_duplicates
+from pyspark.sql import functions as F
 
 
 def classes(nodes, edges):
@@ -80,6 +81,27 @@ def test_vectors_that_cannot_link(spark):
     assert link_embeddings(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_have_the_links_of_their_own_vector(spark):
+    a, near, other = [1.0, 0.0, 0.0, 0.0], [1.0, 0.01, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(1, a, 1), (1, other, 1), (0, near, 1), (1, a, 2)], f"vec_id long, embedding array<{kind}>, label int")
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in link_embeddings(df).collect()) == [(0, 1, 0), (1, 0, 1), (1, 0, 1), (1, 1, 0)]
+
+
+def test_pairs_at_the_threshold_share_a_filter():
+    from ferrule.llm import embedding_dedup
+
+    rng = np.random.default_rng(8)
+    for code, n in ((512, 3000), (4096, 500)):
+        a, b = rng.standard_normal((2, n, 64))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(1, keepdims=True) * a
+        b = 0.93 * a + math.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        x, y = embedding_dedup.filters_of(a, code), embedding_dedup.filters_of(b, code)
+        assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y)]) >= 0.998
+    assert embedding_dedup.code_for(10**5) == 512 < embedding_dedup.code_for(10**8) < embedding_dedup.code_for(10**10) == embedding_dedup.CODES[1]
+
+
 def sets(text, k):
     words = text.encode().lower().split() if text else []
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
@@ -125,6 +147,27 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_a_doc_id_with_another_text(spark):
+    w, z = " ".join(f"w{i}" for i in range(60)), " ".join(f"z{i}" for i in range(60))
+    df = spark.createDataFrame([(0, w), (1, w + " tail"), (1, z), (1, z), (3, z.upper())], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept, r.first) for r in near_duplicates(df).collect())
+    assert got == [(0, 0, True, True), (1, 0, False, False), (1, 1, True, True), (1, 1, True, True), (3, 1, False, False)]
+
+
+@pytest.mark.parametrize("size", [12, 60, 400])
+def test_share_of_similar_pairs_that_meet(size):
+    """Sets at 80 to 90 %, short ones with borrowed registers included: they share a band, and the estimate lets them through."""
+    rng, met, passed, tried = np.random.default_rng(size), 0, 0, 300
+    for _ in range(tried):
+        extra = int(rng.integers(0, max(1, size // 5) + 1))
+        pool = np.unique(rng.integers(0, 1 << 62, size + extra, dtype=np.uint64) << np.uint64(2))
+        a, b = pool, np.sort(rng.permutation(pool)[: len(pool) - extra]) if extra * 5 <= len(pool) else pool
+        ra, rb = minhash.registers(a)[None], minhash.registers(b)[None]
+        met += bool((minhash.band_keys(ra) == minhash.band_keys(rb)).any())
+        passed += bool(minhash.estimated(ra, rb)[0] >= minhash._floor(np.array([len(b)]), 0.8)[0])
+    assert met >= 0.99 * tried and passed >= 0.99 * tried
+
+
 def test_estimate_follows_similarity():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):
@@ -148,3 +191,21 @@ def test_lines_that_a_host_repeats(spark):
     out = drop_boilerplate_lines(df)
     assert out.count() == len(rows) and out.columns == ["doc_id", "source", "text", "c", "n_lines", "n_dropped"]
     assert drop_boilerplate_lines(df.limit(0)).count() == 0
+    odd = df.select("doc_id", F.col("source").alias("h"), F.col("text").alias("te.xt"), F.lit(1).alias("t"), F.lit(2).alias("row"), F.lit(3).alias("gone"), F.lit(4).alias("page"))
+    got = drop_boilerplate_lines(odd, text="te.xt", host="h", max_ratio=0.5)
+    assert got.columns == ["doc_id", "h", "te.xt", "t", "row", "gone", "page", "n_lines", "n_dropped"] and {(r.t, r.row, r.gone, r.page) for r in got.collect()} == {(1, 2, 3, 4)}
+
+
+def test_hot_lines_hosts_and_texts_give_the_same(spark, monkeypatch):
+    from ferrule.llm import common, line_dedup
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "a", "b", None]), "\n".join(rng.choice(["menu", "foot", f"own {i}", "x", "", " menu "]) for _ in range(4))) for i in range(120)]
+    rows += [(200 + i, "a", "menu\nsame") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = sorted(map(str, drop_boilerplate_lines(df, max_ratio=0.4).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    for hot in (1, 10, 1000):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        assert sorted(map(str, drop_boilerplate_lines(df, max_ratio=0.4).collect())) == want
+    assert any("n_dropped=2" in r for r in want)
