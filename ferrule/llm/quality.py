@@ -5,15 +5,18 @@ from __future__ import annotations
 import operator
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ferrule.llm.common import staged
+from ferrule.llm.common import staged, unstage
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 #: Name, value index, value below which it votes GOOD, value above which it votes BAD; between them it abstains.
@@ -27,7 +30,9 @@ LABELLERS = (
     ("bare_marks", 6, 0.04, 0.15),
     ("digit_share", 7, 0.10, 0.75),
 )
-DIMS = 1 << 13
+#: Hashed features: runs of character classes, words, and pairs of words, each in a part of its own.
+SHAPES, WORDS, PAIRS = 1 << 13, 1 << 14, 1 << 14
+DIMS = SHAPES + WORDS + PAIRS
 _CLASSES = 12
 
 
@@ -66,21 +71,39 @@ def votes(values: list[float]) -> list[int]:
     return [GOOD if values[k] <= low else BAD if values[k] > high else ABSTAIN for _, k, low, high in LABELLERS]
 
 
-def hashed(text: str, values: list[float]) -> dict[int, float]:
-    """Hashed features: runs of four character classes (runs of one class count once) and the measures in steps."""
+@lru_cache(maxsize=1 << 17)
+def _code(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def _counted(bins: np.ndarray, size: int, offset: int) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.bincount(bins, minlength=1)[:size]
+    at = np.flatnonzero(counts)
+    return at + offset, np.sqrt(counts[at] / len(bins))
+
+
+def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(places in order, values): runs of four character classes (runs of one class count once), lower-cased words, and pairs of neighbouring words.
+
+    What the labellers measure is left out, so that the scorer learns from the text and not from the votes.
+    """
     raw = _CLASS[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)].astype(np.int64)
     runs = raw[np.flatnonzero(np.diff(raw, prepend=-1))]
-    out: dict[int, float] = {}
+    words = text.lower().split()
+    codes = np.fromiter(map(_code, words), np.uint64, len(words))
+    parts = []
     if len(runs) >= 4:
         grams = ((runs[:-3] * _CLASSES + runs[1:-2]) * _CLASSES + runs[2:-1]) * _CLASSES + runs[3:]
-        counts = np.bincount((grams * 2654435761 >> 7) % (DIMS - 512), minlength=1)
-        at = np.flatnonzero(counts)
-        weights = np.sqrt(counts[at] / len(grams))
-        out = dict(zip(at.tolist(), weights.tolist()))
-    for k, v in enumerate(values):
-        step = DIMS - 512 + (k * 61 + min(30, int(v * 40))) % 512
-        out[step] = out.get(step, 0.0) + 1.0
-    return out
+        parts.append(_counted((grams * 2654435761 >> 7) % SHAPES, SHAPES, 0))
+    if len(codes):
+        parts.append(_counted((codes % np.uint64(WORDS)).astype(np.int64), WORDS, SHAPES))
+    if len(codes) > 1:
+        pairs = (codes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ codes[1:]
+        pairs = (pairs ^ (pairs >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        parts.append(_counted((pairs >> np.uint64(50)).astype(np.int64), PAIRS, SHAPES + WORDS))
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def count_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -101,11 +124,11 @@ def count_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
 class LabelModel:
     """Labellers' vote probabilities given the hidden class, and the class's share, by expectation-maximisation."""
 
-    def __init__(self, patterns: dict[str, int], prior: float = 0.85, rounds: int = 200, trust: float = 0.5):
-        """trust: weight, as a share of all documents, of the belief that labellers seldom call a good document bad.
+    def __init__(self, patterns: dict[str, int], prior: float = 0.85, rounds: int = 300, trust: float = 0.02):
+        """trust: weight, as a share of all documents, of the prior belief that labellers seldom call a good document bad.
 
-        Each labeller knows one kind of junk, so silence of the others says little; without that belief EM would
-        rather see a lone bad vote as an error than as the one kind of junk it is.
+        Each labeller knows one kind of junk, so silence of the others says little; where EM starts from that belief it does not
+        take a lone bad vote for an error. At 0.02 the belief counts as much as every fiftieth document, and what EM estimates is the votes' own.
         """
         names = sorted(patterns)
         v = np.array([[int(c) for c in p] for p in names], int).reshape(len(names), len(LABELLERS))
@@ -146,8 +169,9 @@ def score_quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
 
     Eight heuristic labellers vote bad, abstain or good on each text. Their vote patterns are counted over all
     documents, and expectation-maximisation on those counts estimates each labeller's accuracy and the share of good
-    documents without any true label. Posteriors then are the soft labels of a logistic regression on hashed features, fitted on about
-    sample_rows documents picked by a hash of the id; it scores every whole text.
+    documents without any true label. Posteriors then are the soft labels of a logistic regression on hashed words, pairs of words and character
+    shapes, fitted on about sample_rows documents picked by a hash of the id; it scores every whole text. Where the sample's posteriors hold
+    less than one document of a class there is nothing to fit, and each document's own posterior is its score.
 
     A null text, and one of white space alone, has no evidence: posterior and score 0, not kept. A null doc_id is never
     in the sample but is scored; repeated rows are scored alike. An empty table gives no rows. Columns of docs with the new
@@ -156,36 +180,37 @@ def score_quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     made = ("weak_posterior", "quality_score", "quality_keep")
     docs = docs.drop(*made)
     names, sc = docs.columns, docs.sparkSession.sparkContext
-    model = LabelModel({r.pattern: r.n for r in count_patterns(docs, text).collect()})  # at most 3 ** 8 rows
-    rows = docs.count()
+    patterns = {r.pattern: r.n for r in count_patterns(docs, text).collect()}  # at most 3 ** 8 rows
+    model, rows = LabelModel(patterns), sum(patterns.values())
     parts = 1 << 20
     cut = int(parts * min(1.0, sample_rows / max(1, rows)))
     picked = docs.where(F.col(f"`{doc_id}`").isNotNull()).where(F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.lit("quality")), F.lit(parts)) < cut).select(F.col(f"`{text}`").alias("text"))
 
+    # The parts of a sparse vector, written as such and read back as vectors.
+    inner = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+
     def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {"at": [], "value": [], "p": []}
+            vectors, p = [], []
             for t in batch.column(0):
                 value = t.as_py()
                 if value and not value.isspace():
-                    m = measures(value)
-                    x = sorted(hashed(value, m).items())
-                    found["at"].append([k for k, _ in x])
-                    found["value"].append([w for _, w in x])
-                    found["p"].append(model.posterior(votes(m)))
-            yield pa.RecordBatch.from_pydict(found, schema=pa.schema([("at", pa.list_(pa.int32())), ("value", pa.list_(pa.float64())), ("p", pa.float64())]))
-
-    sample = staged(picked.mapInArrow(teach, "at array<int>, value array<double>, p double"), "quality-sample")
-    vector = F.udf(lambda at, value: SparseVector(DIMS, at, value), VectorUDT())  # on the bounded sample only
+                    at, weights = hashed(value)
+                    vectors.append({"type": 0, "size": DIMS, "indices": at, "values": weights})
+                    p.append(model.posterior(votes(measures(value))))
+            yield pa.RecordBatch.from_arrays([pa.array(vectors, inner), pa.array(p, pa.float64())], ["features", "p"])
+
+    written = staged(picked.mapInArrow(teach, "features struct<type:tinyint,size:int,indices:array<int>,values:array<double>>, p double"), "quality-sample")
+    sample = docs.sparkSession.read.schema(StructType([StructField("features", VectorUDT()), StructField("p", DoubleType())])).parquet(written._staged_path)
     both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w"))))
-    train = sample.select(vector("at", "value").alias("features"), both.alias("y")).select("features", "y.label", "y.w").where("w > 1e-6").cache()
+    train = sample.select("features", both.alias("y")).select("features", "y.label", "y.w").where("w > 1e-6").cache()
     weights = {r.label: r.w for r in train.groupBy("label").agg(F.sum("w").alias("w")).collect()}
+    coef, bias = None, 0.0
     if len(weights) == 2 and min(weights.values()) > 1.0:
         fitted = LogisticRegression(weightCol="w", regParam=1e-3, maxIter=60, standardization=False).fit(train)
         coef, bias = fitted.coefficients.toArray(), float(fitted.intercept)
-    else:  # one class only: the posterior's own share
-        coef, bias = np.zeros(DIMS), float(np.log(model.prior / (1 - model.prior)))
     train.unpersist()
+    unstage(written)
     shared = sc.broadcast((coef, bias))
     schema = docs.withColumns({"weak_posterior": F.lit(0.0), "quality_score": F.lit(0.0), "quality_keep": F.lit(True)}).schema
 
@@ -199,9 +224,12 @@ def score_quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
                     weak.append(0.0)
                     score.append(0.0)
                     continue
-                m = measures(value)
-                weak.append(model.posterior(votes(m)))
-                score.append(float(1 / (1 + np.exp(-np.clip(b + sum(c[k] * w for k, w in hashed(value, m).items()), -50, 50)))))
+                weak.append(model.posterior(votes(measures(value))))
+                if c is None:
+                    score.append(weak[-1])
+                    continue
+                at, weights = hashed(value)
+                score.append(float(1 / (1 + np.exp(-np.clip(b + c[at] @ weights, -50, 50)))))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array(weak, pa.float64()), pa.array(score, pa.float64()), pa.array([s >= threshold for s in score], pa.bool_())], [*names, *made]
             )

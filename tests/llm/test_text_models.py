@@ -3,7 +3,8 @@
 import random
 
 import pytest
-from ferrule.llm.decontam import _Index, find_contamination, matches, tile
+from ferrule.llm import decontam
+from ferrule.llm.decontam import codes, compared, find_contamination, tile, tokens
 from ferrule.llm.quality import LABELLERS, LabelModel, score_quality
 from ferrule.llm.toxicity import FEATURES, Reader, score_toxicity
 from pyspark.sql import functions as F
@@ -105,21 +106,63 @@ def test_tiles_against_brute_force():
 
 
 def test_reordered_passages_are_caught():
-    index = _Index([(1, "a b c d e f g h i j"), (2, "x y")], 5)
-    assert matches("f g h i j and A, b c d e!", index, 3, 0.6) == [(1, 1.0, 2)]
-    assert matches("a b c d e zz", index, 3, 0.6) == [] and matches("q x y q", index, 3, 0.6) == [(2, 1.0, 1)]
-    assert matches(None, index, 3, 0.6) == []
-
-
-def test_contamination_blocks_and_odd_rows(spark):
+    assert compared("a b c d e f g h i j", "f g h i j and A, b c d e!", 3, 0.6) == (1.0, 2)
+    assert compared("a b c d e f g h i j", "a b c d e zz", 3, 0.6) == (0.0, 0) and compared("x y", "q x y q", 3, 0.6) == (1.0, 1)
+    assert compared("", "a", 3, 0.6) == (0.0, 0) and compared("a", "", 3, 0.6) == (0.0, 0)
+    assert compared("a " * 60 + "b", "a " * 20_000, 3, 0.6)[0] >= 0.9  # very repetitive texts end
+
+
+def plainly(docs, items, least, threshold):
+    """Every pair tiled, whatever it shares."""
+    out = {}
+    for d, text in docs:
+        for i, passage in items:
+            a, b = codes(passage).tolist(), codes(text).tolist()
+            if a and b:
+                found = tile(a, b, min(least, len(a)))
+                if sum(n for _, _, n in found) >= threshold * len(a):
+                    out[d, i] = (round(sum(n for _, _, n in found) / len(a), 9), len(found))
+    return out
+
+
+def test_hits_are_those_of_tiling_every_pair(spark, monkeypatch):
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(60)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 7, 16, 16, 40])))) for i in range(30)]
+    items += [(30, items[10][1]), (31, "the the the the the the the the")]
+    docs = []
+    for d in range(80):
+        body = [rng.choice(words) for _ in range(rng.randrange(1, 60))]
+        for _ in range(rng.randrange(3)):
+            own = tokens(rng.choice(items)[1])
+            size = rng.choice([3, 4])
+            pieces = [own[k : k + size] for k in range(0, len(own), size)]
+            rng.shuffle(pieces)
+            kept = pieces[: max(1, round(len(pieces) * rng.choice([0.5, 0.7, 1])))]
+            for piece in kept:
+                at = rng.randrange(len(body) + 1)
+                body[at:at] = ["x"] + piece
+        docs.append((d, " ".join(body)))
+    docs += [(80, docs[3][1]), (81, "the " * 300)]
+    want = plainly(docs, items, 3, 0.6)
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for rows, bits in ((decontam.BROADCAST_ROWS, decontam.FILTER_BITS), (0, 1 << 16)):
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(decontam, "FILTER_BITS", bits)
+        got = {(r.doc_id, h.item_id): (round(h.coverage, 9), h.tiles) for r in find_contamination(a, b).collect() for h in r.hits}
+        assert got == want and len(want) > 60
+
+
+def test_contamination_of_odd_rows(spark):
     bench = spark.createDataFrame([(i, " ".join(f"t{i}w{k}" for k in range(20)), "k") for i in range(12)] + [(50, None, "k"), (51, "", "k"), (None, "null id passage of several words here", "k")], "item_id long, text string, hits string")
     docs = spark.createDataFrame(
-        [(1, "before " + " ".join(f"t3w{k}" for k in [*range(10, 20), *range(10)]) + " after", 0), (2, "clean text", 0), (3, None, 0), (4, "", 0), (5, " ".join(f"t4w{k}" for k in range(9)), 0), (1, "clean", 0),
-         (6, "null id passage of several words here " * 400, 0)],
-        "doc_id long, text string, hits int",
+        [(1, "before " + " ".join(f"t3w{k}" for k in [*range(10, 20), *range(10)]) + " after", 0, 1, "a"), (2, "clean text", 0, 1, "a"), (3, None, 0, 1, "a"), (4, "", 0, 1, "a"), (5, " ".join(f"t4w{k}" for k in range(9)), 0, 1, "a"),
+         (1, "clean", 0, 1, "a"), (6, "null id passage of several words here " * 400, 0, 1, "a")],
+        "doc_id long, text string, hits int, key int, found string",
     )
-    for words in (2_000_000, 20):
-        got = sorted(((r.doc_id, [h.item_id for h in r.hits]) for r in find_contamination(docs, bench, block_words=words).collect()), key=str)
-        assert got == sorted([(1, [3]), (1, []), (2, []), (3, []), (4, []), (5, []), (6, [None])], key=str)
+    out = find_contamination(docs, bench)
+    assert out.columns == ["doc_id", "text", "key", "found", "hits"]
+    got = sorted(((r.doc_id, [h.item_id for h in r.hits]) for r in out.collect()), key=str)
+    assert got == sorted([(1, [3]), (1, []), (2, []), (3, []), (4, []), (5, []), (6, [None])], key=str)
     assert find_contamination(docs, bench.limit(0)).where(F.size("hits") > 0).isEmpty()
     assert find_contamination(docs.limit(0), bench).count() == 0
