@@ -15,26 +15,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import runs, staged
+from ferrule.llm.common import runs, staged, unstage
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*|[^>]*)>|<[!?/][^>]*>", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w-])(hidden)(?![\w-])")
-RAW = frozenset("script style noscript template iframe object svg math canvas title textarea select head audio video".split())
+#: A tag from its name on. Quotes count after an equals sign only. Nothing is tried twice, so a failed match costs one pass to the end of the page.
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_ATTR = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
+#: Elements whose content is text up to their end tag, and whose text is not part of the page's.
+RAW = frozenset("script style noscript iframe title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav footer aside form menu dialog button fieldset label".split())
+#: Elements that are not the page's text. Of EMBEDDED ones, those without an end tag are taken as empty.
+EMBEDDED = frozenset("select option video audio object canvas svg math template button label dialog".split())
+DROPPED = frozenset("nav footer aside form menu fieldset head".split()) | EMBEDDED
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|breadcrumbs?|side-?bar|rail|widget|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|sign-?up|login|"
-    r"share|sharing|social|related|recommend\w*|comments?|comment-?list|disqus|respond|replies|footer|masthead|nav|navbar|navigation|menu|toolbar|pagination|pager|skip-?link)(?:$|[\s_-])",
-    re.I,
-)
-_MAIN = re.compile(r"(?:^|\s)(?:article-?(?:body|content|text)|post-?(?:body|content|text)|entry-?content|story-?body|main-?content)(?:$|\s)", re.I)
+#: Whole class or id names by which containers (HOLDERS) say what the structure cannot: adverts, notices, comments. Prose elements are never asked.
+NAMED = frozenset("ad ads advert advertisement sponsored comments comment-list disqus_thread cookie-notice cookie-banner consent newsletter sidebar breadcrumbs related-posts share-buttons".split())
+HOLDERS = frozenset("div section ul ol dl table".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
+_ARTICLES = frozenset("articlebody article-body article-content post-body post-content entry-content story-body".split())
 #: Where a block stands.
 ARTICLE, MAIN, OPEN, BOILER = 0, 1, 2, 3
+#: So many open elements, from the innermost on, are looked through for the one that an end tag ends.
+DEEP = 512
 #: So many words in a row, on enough distinct pages of a host, are a repeated run.
 RUN = 6
 #: Minima that stand for a page.
@@ -45,9 +49,9 @@ KEYS = 1_000_000
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    out = {}
+    out: dict[str, str] = {}
     for m in _ATTR.finditer(raw):
-        out.setdefault((m[1] or m[5]).lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
     return out
 
 
@@ -62,10 +66,10 @@ def _place(name: str, raw: str, at: int) -> int:
         role = a.get("role", "").lower()
         if role in _ROLES or "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
             return BOILER
-        named = f"{a.get('class', '')} {a.get('id', '')}"
-        if name not in ("html", "body", "main", "article") and _HINT.search(named):
+        named = {x.lower() for x in f"{a.get('class', '')} {a.get('id', '')}".split()}
+        if name in HOLDERS and named & NAMED:
             return BOILER
-        if at != ARTICLE and (a.get("itemprop") == "articleBody" or role == "article" or _MAIN.search(named)):
+        if at != ARTICLE and (a.get("itemprop") == "articleBody" or role == "article" or named & _ARTICLES):
             return ARTICLE
         if at == OPEN and role == "main":
             return MAIN
@@ -74,12 +78,48 @@ def _place(name: str, raw: str, at: int) -> int:
     return MAIN if name == "main" and at == OPEN else at
 
 
+class _Finder:
+    """Searches forward in a page that remember what is not there any more, so that all of them together stay linear."""
+
+    def __init__(self, page: str):
+        self.page, self.lower, self.gone, self.last, self.quoted = page, page.lower(), set(), {}, True
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def closes(self, name: str, at: int) -> bool:
+        """Whether an end tag of that name comes later."""
+        if name not in self.last:
+            self.last[name] = self.lower.rfind("</" + name)
+        return self.last[name] >= at
+
+    def tag(self, at: int) -> tuple[str, str, str, int] | None:
+        """(slash, name, attributes, end) of the tag whose name or slash is at `at`. Where quotes run to the page's end, tags from there on end at the next >."""
+        if self.quoted:
+            m = _TAG.match(self.page, at)
+            if m:
+                return m[1], m[2], m[3], m.end()
+            self.quoted = False
+        end = self.find(">", at)
+        if end < 0:
+            return None
+        slash = "/" if self.page[at] == "/" else ""
+        m = re.compile(r"[^\s/>]+").match(self.page, at + len(slash))
+        return slash, m[0], self.page[m.end() : end], end + 1
+
+
 def blocks(page: str | None) -> list[tuple[int, str]]:
     """(where, text) of a page's blocks in order; white space inside a block is one space, empty blocks are left out."""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
     where, parts, at = OPEN, [], 0
     page = page or ""
+    finder = _Finder(page)
 
     def flush() -> None:
         if parts:
@@ -88,54 +128,76 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 out.append((where, text))
             parts.clear()
 
+    def unwind(k: int) -> int:
+        """The place outside of the k-th open element, which ends with all inside it."""
+        if stack[k][1] != where:
+            flush()
+        place = stack[k][1]
+        del stack[k:]
+        return place
+
     while True:
-        m = _TAG.search(page, at)
-        if m is None:
+        open_at = finder.find("<", at)
+        if open_at < 0:
             parts.append(page[at:])
             flush()
             return out
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        parts.append(page[at:open_at])
+        after = page[open_at + 1 : open_at + 2]
+        if after in ("!", "?"):
+            long = page.startswith("<!--", open_at)
+            end = finder.find("-->", open_at + 4) + 2 if long and "-->" not in finder.gone else -1
+            end = end if end > 1 else finder.find(">", open_at)  # a comment that nothing ends is over at the next >
+            if end < 0:
+                parts.append("<")
+                at = open_at + 1
+            else:
+                at = end + 1
+            continue
+        if not (after.isascii() and after.isalpha() or after == "/" and page[open_at + 2 : open_at + 3].isascii() and page[open_at + 2 : open_at + 3].isalpha()):
+            parts.append("<")
+            at = open_at + 1
+            continue
+        tag = finder.tag(open_at + 1)
+        if tag is None:
+            parts.append("<")
+            at = open_at + 1
             continue
-        if m[1]:
+        slash, name, raw, at = tag
+        name = name.lower()
+        if slash:
             if name in BLOCK:
                 flush()
             elif name in ("td", "th"):
                 parts.append(" ")
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, max(-1, len(stack) - DEEP), -1):
                 if stack[k][0] == name:
-                    changed = stack[k][1] != where
-                    if changed:
-                        flush()
-                    where = stack[k][1]
-                    del stack[k:]
+                    where = unwind(k)
                     break
             continue
-        if name in RAW and not (m[3] or "").endswith("/"):
-            if name != "head":
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-                continue
+        if name in RAW:
+            end = finder.lower.find("</" + name, at) if finder.closes(name, at) else -1
+            close = finder.find(">", end) if end >= 0 else -1
+            at = close + 1 if close >= 0 else len(page)
+            continue
         if name in BLOCK:
             flush()
+            while stack and stack[-1][0] == "head":
+                where = unwind(len(stack) - 1)
             # A paragraph or item that was left open ends where the next block of its kind begins.
-            if stack and name in ("p", "li", "dt", "dd", "tr", *HEADINGS, "div", "ul", "ol", "table", "section"):
-                for k in range(len(stack) - 1, -1, -1):
+            if name in ("p", "li", "dt", "dd", "tr", *HEADINGS, "div", "ul", "ol", "table", "section"):
+                for k in range(len(stack) - 1, max(-1, len(stack) - DEEP), -1):
                     open_name = stack[k][0]
                     if open_name == "p" or (open_name == name and name in ("li", "dt", "dd", "tr")):
-                        where = stack[k][1]
-                        del stack[k:]
+                        where = unwind(k)
                         break
                     if open_name in BLOCK:
                         break
-        elif name in ("br", "td", "th", "wbr", "img"):
-            parts.append(" " if name != "wbr" else "")
-        if name in VOID or (m[3] or "").endswith("/"):
+        elif name in ("br", "td", "th", "img"):
+            parts.append(" ")
+        if name in VOID or raw.endswith("/") or name in EMBEDDED and not finder.closes(name, at):
             continue
-        new = _place(name, m[3] or "", where)
+        new = _place(name, raw, where)
         if new != where:
             flush()
         stack.append((name, where))
@@ -172,11 +234,10 @@ def _suffixes(codes: np.ndarray, run: int, start: int = 0) -> np.ndarray:
 class _Page:
     """A page's blocks as one stream of words: its suffixes, its identity, and which blocks hold its main text."""
 
-    def __init__(self, url: str | None, page: str | None, run: int):
-        found = blocks(page)
+    def __init__(self, host: str, found: list[tuple[int, str]], run: int):
         zones = {w for w, _ in found}
         best = ARTICLE if ARTICLE in zones else MAIN if MAIN in zones else None
-        self.host, self.marked = _host(url), best is not None
+        self.host, self.marked = host, best is not None
         words: list[str] = []
         content = []
         self.kept: list[tuple[int, str]] = []
@@ -199,32 +260,49 @@ class _Page:
         return ((grams[:, None] ^ _SALTS) * np.uint64(0xD6E8FEB86659FD93)).min(0).view(np.int64).tolist()
 
     def text(self, gone: np.ndarray, run: int) -> str:
-        """The kept blocks without the words of the repeated suffixes; in a marked part only of runs of 2 * run words or over whole blocks."""
+        """The kept blocks without the words of the repeated suffixes; a marked part loses only blocks that they cover whole."""
         if not gone.any():
             return "\n".join(t for _, t in self.kept)
-        change = np.zeros(len(self.codes) + 1, np.int64)
-        at = np.flatnonzero(gone)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + run, -1)
-        covered = np.cumsum(change[:-1]) > 0
-        length = np.zeros(len(covered), np.int64)
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
-        for a, b in zip(edges[::2], edges[1::2]):
-            length[a:b] = b - a
+        covered = self.covered(gone, run)
         lines = []
         for start, t in self.kept:
             words = t.split(" ")
-            here = length[start : start + len(words)]
-            drop = here > 0
-            if self.marked and not drop.all():
-                drop = here >= 2 * run
-            lines.append(" ".join(w for w, d in zip(words, drop) if not d))
+            drop = covered[start : start + len(words)]
+            if self.marked:
+                lines.append("" if drop.all() else t)
+            else:
+                lines.append(" ".join(w for w, d in zip(words, drop) if not d))
         return "\n".join(x for x in lines if x)
 
+    def covered(self, gone: np.ndarray, run: int) -> np.ndarray:
+        """The words under the suffixes' first `run` words: together, the page's share of the repeated substrings."""
+        change = np.zeros(len(self.codes) + 1, np.int64)
+        at = np.flatnonzero(gone)
+        np.add.at(change, at, 1)
+        np.add.at(change, at + run, -1)
+        return np.cumsum(change[:-1]) > 0
+
 
 def _pages(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[tuple[pa.RecordBatch, list[_Page]]]:
     for batch in batches:
-        yield batch, [_Page(u, h.as_py(), run) for u, h in zip(batch.column("url").to_pylist(), batch.column("html"))]
+        found = [[(b["place"], b["text"]) for b in x] for x in batch.column("blocks").to_pylist()]
+        yield batch, [_Page(h, b, run) for h, b in zip(batch.column("host").to_pylist(), found)]
+
+
+def _parsed(base: DataFrame) -> DataFrame:
+    """(page_id, url, html) to (page_id, url, host, blocks)."""
+    kind = pa.list_(pa.struct([("place", pa.int8()), ("text", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                some = batch.slice(start, 500)
+                made = [[{"place": w, "text": t} for w, t in blocks(h.as_py())] for h in some.column("html")]
+                hosts = [_host(u) for u in some.column("url").to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), pa.array(hosts, pa.string()), pa.array(made, kind)], ["page_id", "url", "host", "blocks"])
+
+    shape = base.select("page_id", "url", F.lit("").alias("host"), F.array().cast("array<struct<place:tinyint,text:string>>").alias("blocks")).schema
+    return base.mapInArrow(run, shape)
 
 
 def _fingerprints(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,17 +343,18 @@ def _seen_twice(base: DataFrame, run: int) -> np.ndarray:
 
 
 def repeated_runs(base: DataFrame, run: int) -> DataFrame:
-    """(host, key, keeper): beginnings of suffixes that a host repeats on enough of its distinct pages.
-
-    This is the host's suffix array cut at the depth that matters: suffixes that agree in their first `run` words lie in one
-    group, and every longer repeat is a chain of such groups. A host of n distinct pages must repeat a run on
-    max(2, sqrt(n), n / 20) of them. Pages are counted by their sketches: how many different minima there are, for the place
-    of the sketch that a third of all places exceed; so copies with a changed word or menu count as one page. keeper is one page that has
-    the run in a marked part, null where none has. Only suffixes that may stand on two pages leave the tasks; counts are aggregated before each shuffle.
+    """(host, key, common): beginnings of suffixes that a host repeats on enough of its distinct pages.
+
+    These are the intervals of the host's suffix array at depth `run`: suffixes that agree in their first `run` words
+    lie in one interval, and a longer repeat is a chain of intervals at following places, so the words under their beginnings are those of all repeated
+    substrings of `run` words or more. An interval is counted with partial sums, so no task gathers a hot one. A host of n distinct pages must
+    repeat a run on max(2, sqrt(n), n / 20) of them; common says that it does on max(3, n / 2). Pages are counted by their sketches: how many
+    different minima there are, for the place of the sketch that a third of all places exceed; so copies with a changed word or menu
+    count as one page. Only suffixes that may stand on two pages leave the tasks.
     """
     spark = base.sparkSession
     twice = spark.sparkContext.broadcast(zlib.compress(_seen_twice(base, run).tobytes(), 1))
-    kinds = pa.schema([("host", pa.string()), ("stream", pa.int64()), ("marked", pa.bool_()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    kinds = pa.schema([("host", pa.string()), ("stream", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(zlib.decompress(twice.value), np.uint8)
@@ -287,48 +366,51 @@ def repeated_runs(base: DataFrame, run: int) -> DataFrame:
                 keys = np.unique(p.suffixes)
                 bucket, mark = _fingerprints(keys)
                 at = (bucket << 16) + (mark >> 8).astype(np.int64)
-                made.append({"host": p.host, "stream": p.stream, "marked": p.marked, "keys": keys[bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0].tolist(), "sketch": p.sketch()})
+                made.append({"host": p.host, "stream": p.stream, "keys": keys[bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0].tolist(), "sketch": p.sketch()})
             yield pa.RecordBatch.from_pylist(made, kinds)
 
-    pages = staged(base.mapInArrow(candidates, "host string, stream long, marked boolean, keys array<long>, sketch array<long>"), "html-candidates")
+    pages = staged(base.mapInArrow(candidates, "host string, stream long, keys array<long>, sketch array<long>"), "html-candidates")
     places = lambda rows, *by: (
         rows.select(*by, F.posexplode("sketch").alias("place", "least")).distinct().groupBy(*by, "place").agg(F.count("*").alias("n"))
         .groupBy(*by).agg(F.get(F.sort_array(F.collect_list("n")), F.lit(SKETCH * 2 // 3)).alias("n"))
     )
-    needed = F.greatest(F.lit(2), F.ceil(F.greatest(F.sqrt("n"), F.col("n") / 20)))
-    hosts = staged(places(pages, "host").select("host", needed.cast("long").alias("needed")), "html-hosts")
+    needed = F.ceil(F.greatest(F.lit(2), F.sqrt("n"), F.col("n") / 20)).cast("long")
+    hosts = staged(places(pages, "host").select("host", needed.alias("needed"), F.greatest(F.lit(3), F.col("n") / 2).alias("most")), "html-hosts")
     each = pages.select("host", "stream", F.explode("keys").alias("key")).distinct()
-    common = staged(each.groupBy("host", "key").agg(F.count("*").alias("n"), F.min("stream").alias("first")).where("n > 1").join(hosts, "host").where("n >= needed").select("host", "key", "needed"), "html-common")
-    held = staged(pages.select("host", "stream", "marked", "sketch", F.explode("keys").alias("key")).join(common, ["host", "key"]), "html-held")
-    keeper = held.groupBy("host", "key").agg(F.min(F.when(F.col("marked"), F.col("stream"))).alias("keeper"))
-    return places(held, "host", "key", "needed").where("n >= needed").join(keeper, ["host", "key"]).select("host", "key", "keeper")
+    common = staged(each.groupBy("host", "key").agg(F.count("*").alias("n")).where("n > 1").join(hosts, "host").where("n >= needed").select("host", "key", "needed", "most"), "html-common")
+    held = pages.select("host", "sketch", F.explode("keys").alias("key")).join(common, ["host", "key"])
+    out = staged(places(held, "host", "key", "needed", "most").where("n >= needed").select("host", "key", (F.col("n") >= F.col("most")).alias("common")), "html-repeated")
+    unstage(pages, hosts, common)
+    return out
 
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_column: str = "html", run: int = RUN) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of each page.
 
     A page's blocks are placed by structure: inside <article> (or an element marked as article body), inside <main>,
-    boilerplate (navigation, page headers, footers, sidebars, forms, and what class, id or role call advert, notice, comments
-    and the like), or open. Of a page that marks its article, or else its main part, the blocks there count, of other pages the open blocks.
-    From both go the runs of `run` or more words that the host repeats (repeated_runs; boilerplate is searched too): from open blocks every
-    such word; from marked parts runs of 2 * run words or over whole blocks, and one page keeps its copy. Unique runs stay.
-
-    Character references are decoded, white space inside a block becomes one space, blocks are joined by newlines in page order. A page
+    boilerplate (elements, roles and hidden parts that are no text of the page, and containers whose class or id is one of NAMED), or open. Of a page
+    that marks its article, or else its main part, the blocks there count, of other pages the open blocks.
+    From both go the runs of `run` or more words that the host repeats (repeated_runs; the streams of all pages, boilerplate included, are searched):
+    from open blocks every such word, unique runs stay; from marked parts only whole blocks, and only where half of the host's distinct pages have
+    them, since an article that quotes or copies another is still the article.
+
+    Character references are decoded, white space inside a block becomes one space, blocks are joined by newlines in page order. Elements that
+    are never closed end with the page or where the next of their kind begins; only script, style and the like swallow what follows. A page
     without text, null html included, gives an empty string. Null ids and urls are carried; pages without a url share the
     host ''. Repeated rows stay repeated. Other columns are ignored.
     """
     base = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html_column}`").alias("html"))
     spark = base.sparkSession
-    repeated = staged(repeated_runs(base, run), "html-repeated")
+    parsed = staged(_parsed(base), "html-parsed")
+    repeated = repeated_runs(parsed, run)
     parts = max(1, -(-repeated.count() // KEYS))
 
     def cleaned(part: int):
-        rows = repeated.where(F.pmod(F.xxhash64("host"), F.lit(parts)) == part).select("key", F.col("keeper").isNotNull().alias("kept"), F.coalesce("keeper", F.lit(0)).alias("keeper"))
-        found = rows.toArrow().sort_by("key")
-        known = spark.sparkContext.broadcast([found.column(c).to_numpy() for c in ("key", "kept", "keeper")])
+        found = repeated.where(F.pmod(F.xxhash64("host"), F.lit(parts)) == part).select("key", "common").toArrow().sort_by("key")
+        known = spark.sparkContext.broadcast([found.column(c).to_numpy() for c in ("key", "common")])
 
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, kept, keeper = known.value
+            key, common = known.value
             for batch, made in _pages(batches, run):
                 texts = []
                 for p in made:
@@ -336,20 +418,15 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
                     at[at == len(key)] = 0
                     gone = key[at] == p.suffixes if len(key) else np.zeros(len(at), bool)
                     if p.marked and gone.any():
-                        gone &= ~(kept[at] & (keeper[at] == p.stream))
+                        gone &= common[at]
                     texts.append(p.text(gone, run))
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
         return clean
 
-    shape = base.select("page_id", "url", F.lit("").alias("text")).schema
-    if parts == 1:
-        done = base.mapInArrow(cleaned(0), shape)
-    else:
-        # Hosts are dealt into parts, each with its own keys.
-        host = F.pandas_udf(lambda u: u.map(_host), "string")(F.col("url"))
-        dealt = base.withColumn("part", F.pmod(F.xxhash64(host), F.lit(parts)))
-        done = reduce(DataFrame.unionByName, [dealt.where(F.col("part") == k).drop("part").mapInArrow(cleaned(k), shape) for k in range(parts)])
+    shape = parsed.select("page_id", "url", F.lit("").alias("text")).schema
+    # Hosts are dealt into parts, each with its own keys.
+    done = reduce(DataFrame.unionByName, [parsed.where(F.pmod(F.xxhash64("host"), F.lit(parts)) == k).mapInArrow(cleaned(k), shape) for k in range(parts)])
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.llm.common import looked_up, staged_and_seen, unstage
+
+#: Rows from which a host, a line of a host or a text counts as a hot one.
+HOT = 1000
+
 
 def _key(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
@@ -25,43 +30,46 @@ def drop_boilerplate_lines(
     a text whose lines all go becomes empty, and its row stays. Repeated rows stay repeated. Columns of
     docs named n_lines or n_dropped are replaced; others, whatever their names, are carried along.
 
-    Only hashes of lines are grouped, with partial counts before the shuffle. Texts move at most once,
-    in the last join, which has one row for each page on its other side.
+    Only hashes of lines are grouped, with partial counts before the shuffle; the totals of hot hosts, the verdicts of hot lines and the lines of
+    texts with many copies are broadcast, counted first. Texts move at most once, in the last join, which has one row for each changed page on its
+    other side.
     """
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    lines = F.split(F.col(text), "\n", -1)
+    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    body, site = F.col(f"`{text}`"), F.col(f"`{host}`")
+    lines = F.split(body, "\n", -1)
     hashes = F.transform(lines, lambda x: F.when(_key(x) != "", F.xxhash64(_key(x))))
+    # A host's key is its text after an h, and n for null.
+    host_key, page_key = F.coalesce(F.concat(F.lit("h"), site.cast("string")), F.lit("n")), F.xxhash64(body, F.length(body))
     pages = (
-        docs.where(F.col(text).isNotNull())
-        .select(F.col(host).alias("__h"), F.xxhash64(text, F.length(text)).alias("__t"), F.array_compact(F.array_distinct(hashes)).alias("__l"))
-        .groupBy("__h", "__t")
-        .agg(F.first("__l").alias("__l"))
-    )
-    each = pages.select("__h", "__t", F.explode("__l").alias("__x"))
-    totals = pages.groupBy("__h").agg(F.count("*").alias("__n"))
-    counted = each.groupBy("__h", "__x").agg(F.count("*").alias("__k")).where(F.col("__k") >= min_pages)
-    bad = (
-        counted.alias("c")
-        .join(totals.alias("t"), F.col("c.__h").eqNullSafe(F.col("t.__h")))
-        .where(F.col("__k") > F.lit(max_ratio) * F.col("__n"))
-        .select(F.col("c.__h").alias("__bh"), F.col("__x").alias("__bx"))
-    )
-    drops = (
-        each.join(bad, F.col("__h").eqNullSafe(F.col("__bh")) & (F.col("__x") == F.col("__bx")))
-        .groupBy(F.col("__h").alias("__dh"), F.col("__t").alias("__dt"))
-        .agg(F.collect_set("__x").alias("__drop"))
-    )
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(text, F.length(text)).alias("__t")).join(
-        drops, F.col(host).eqNullSafe(F.col("__dh")) & (F.col("__t") == F.col("__dt")), "left"
+        docs.where(body.isNotNull())
+        .select(host_key.alias("h"), page_key.alias("t"), F.array_compact(F.array_distinct(hashes)).alias("l"))
+        .groupBy("h", "t")
+        .agg(F.first("l").alias("l"), F.count("*").alias("copies"))
     )
-    gone = lambda x: (_key(x) != "") & F.array_contains(F.col("__drop"), F.xxhash64(_key(x)))
+    each = pages.select("h", "t", "copies", F.explode("l").alias("x"))
+    totals = pages.groupBy(F.col("h").alias("site")).agg(F.count("*").alias("n"))
+    totals, seen = staged_and_seen(totals, "lines-hosts", n=F.count("*"), hot=F.count_if(F.col("n") >= HOT))
+    counted = each.groupBy("h", "x").agg(F.count("*").alias("k")).where(F.col("k") >= min_pages)
+    bad = looked_up(counted, totals, F.col("h"), "site", F.concat(F.lit("~"), F.col("x").cast("string")), F.col("n") >= HOT, seen).where(F.col("k") > F.lit(max_ratio) * F.col("n"))
+    line = lambda: F.concat(F.col("x").cast("string"), F.lit("/"), F.col("h"))
+    bad, seen = staged_and_seen(bad.select(line().alias("line"), "k"), "lines-bad", n=F.count("*"), hot=F.count_if(F.col("k") >= HOT))
+    found = looked_up(each, bad, line(), "line", F.concat(F.lit("~"), F.col("t").cast("string"), F.lit("/"), F.col("x").cast("string")), F.col("k") >= HOT, seen).where("k is not null")
+    drops = found.groupBy("h", "t").agg(F.collect_set("x").alias("gone"), F.max("copies").alias("copies"))
+    page = lambda h, t: F.concat(t.cast("string"), F.lit("/"), h)
+    drops, seen = staged_and_seen(drops.select(page(F.col("h"), F.col("t")).alias("page"), "gone", "copies"), "lines-pages", n=F.count("*"), hot=F.count_if(F.col("copies") >= HOT))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), host_key.alias("h"), page_key.alias("t"))
+    out = looked_up(rows, drops, page(F.col("h"), F.col("t")), "page", F.concat(F.lit("~"), F.monotonically_increasing_id().cast("string")), F.col("copies") >= HOT, seen)
+    unstage(totals, bad)
+    body = F.col("row").getField(text)
+    lines = F.split(body, "\n", -1)
+    gone = lambda x: (_key(x) != "") & F.array_contains(F.col("gone"), F.xxhash64(_key(x)))
     kept = F.filter(lines, lambda x: ~gone(x))
-    n = F.coalesce(F.size(F.when(F.col(text).isNotNull(), lines)), F.lit(0))
-    cleaned = F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    n = F.coalesce(F.size(F.when(body.isNotNull(), lines)), F.lit(0))
+    cleaned = F.when(F.col("gone").isNull(), body).otherwise(F.array_join(kept, "\n"))
     return out.select(
-        *[(cleaned.alias(c) if c == text else F.col(f"`{c}`")) for c in keep],
-        F.when(F.col(text).isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_lines"),
-        F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(n - F.size(kept)).cast("long").alias("n_dropped"),
+        *[(cleaned if c == text else F.col("row").getField(c)).alias(c) for c in keep],
+        F.when(body.isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(n - F.size(kept)).cast("long").alias("n_dropped"),
     )
 
 

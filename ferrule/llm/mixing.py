@@ -6,48 +6,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ferrule.llm.common import WORD, staged, unstage
+from ferrule.llm.common import BROADCAST_ROWS, WORD, staged, staged_and_seen, unstage
 
 CAP = 3
-#: So many of a source's largest sizes are rounded one after another, each correcting the error so far.
-EXACT_SIZES = 2000
+#: Sizes that are rounded one after another, each correcting the error so far.
+SIZES_A_BLOCK = 1000
 
 
 def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
+def _weighted(sizes: DataFrame) -> DataFrame:
+    """sizes with weight: 1, 2, 3, 1, 2, 3, ... along the sources in code-point order, null last. Ranges of sources are numbered apart, then offset by the ranges before."""
+    partitions = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(sizes.repartitionByRange(partitions, F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    # One row for each range, of which there are as many as shuffle partitions.
+    before = dealt.groupBy("range").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("range")) - F.col("n")).drop("n")
+    own = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last()))
+    return dealt.join(F.broadcast(before), "range").withColumn("weight", (F.col("before") + own - 1) % 3 + 1).drop("range", "before")
+
+
 def water_filled(sizes: DataFrame, cap: int = CAP, share: float = 1.0) -> DataFrame:
     """(source, total) to (source, total, target): shares by weights 1, 2, 3, ..., held to cap * total, the excess reshared by weight.
 
-    Sources are ordered by cap * total / weight, the level at which each is full. With those before one
-    source full, the level of the others is (all - their room) / (their weight); the level sought is the first that
-    does not exceed that source's own. The windows run over one row per source.
+    At a level each source takes level * weight, or its room, cap * total, if that is less. Given which sources are full, the level that uses everything
+    up follows; it only rises as more become full, so rounds of one aggregate end when no further source does.
     """
-    order = Window.orderBy("full_at", F.col("source").asc_nulls_last())
-    before, everyone = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
-    ranked = (
-        sizes.withColumn("weight", ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1).cast("double"))
-        .withColumn("room", F.lit(float(cap)) * F.col("total"))
-        .withColumn("full_at", F.col("room") / F.col("weight"))
-        .withColumn("held", F.coalesce(F.sum("room").over(before), F.lit(0.0)))
-        .withColumn("rest", F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", (F.sum("total").over(everyone) * share - F.col("held")) / F.col("rest"))
-        .withColumn("level", F.min(F.when(F.col("full_at") >= F.col("level"), F.struct("full_at", "level"))).over(everyone)["level"])
-    )
-    return ranked.select("source", "total", F.least("room", F.coalesce(F.col("level") * F.col("weight"), F.col("room"))).alias("target"))
+    ranked = staged(_weighted(sizes).withColumn("room", F.lit(float(cap)) * F.col("total")), "mix-weights")
+    wanted, level = (ranked.agg(F.sum("total")).first()[0] or 0) * share, 0.0
+    while True:
+        full = F.col("room") <= F.lit(level) * F.col("weight")
+        held, rest = ranked.agg(F.sum(F.when(full, F.col("room"))), F.sum(F.when(~full, F.col("weight")))).first()
+        after = (wanted - (held or 0.0)) / rest if rest else level
+        if after <= level:
+            break
+        level = after
+    return ranked.select("source", "total", F.least(F.col("room"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _rate(lam: Column, x: Column, cap: int) -> Column:
     return F.least(F.lit(float(cap)), F.exp(F.least(lam * x, F.lit(50.0))))
 
 
-def tilts(hist: DataFrame, targets: DataFrame, cap: int = CAP, steps: int = 80, tolerance: float = 1e-7) -> DataFrame:
+def tilts(hist: DataFrame, targets: DataFrame, cap: int = CAP, steps: int = 90, tolerance: float = 1e-7) -> DataFrame:
     """(source, lam) with sum(n * size * min(cap, exp(lam * x))) = target for each source.
 
     hist has (source, size, n, x). The dual is convex and separates by source. One Newton step for all sources is one
     aggregate over the histogram; a bracket keeps each multiplier where its gradient changes
-    sign, and its middle is taken where Newton leaves it. State, one row per source, is staged every round.
+    sign, and its middle is taken where Newton leaves it. State, one row per source, is staged every three steps. A source that has not come to its
+    target within `steps` is an error.
     """
     spread = hist.where("size > 0").groupBy(F.col("source").alias("s")).agg(F.sum(F.col("n") * F.col("size")).alias("all"), F.min("x").alias("least"))
     state = staged(
@@ -57,63 +65,61 @@ def tilts(hist: DataFrame, targets: DataFrame, cap: int = CAP, steps: int = 80,
         ),
         "mix-dual",
     )
-    for _ in range(steps):
-        if state.where("not done").isEmpty():
-            break
+    def step(state: DataFrame) -> DataFrame:
         rate = _rate(F.col("lam"), F.col("x"), cap)
         mass = F.col("n") * F.col("size") * rate
         sums = (
             hist.alias("h")
             .join(state.where("not done").alias("t"), _same("h.source", "t.source"))
             .groupBy(F.col("h.source").alias("s"))
-            .agg(F.sum(mass).alias("g"), F.sum(F.when(rate < cap, mass * F.col("x")).otherwise(0.0)).alias("h"))
+            .agg(F.sum(mass).alias("g"), F.sum(F.when(rate < cap, mass * F.col("x")).otherwise(0.0)).alias("h"), F.count("*").alias("met"))
         )
         gap = F.col("g") - F.col("target")
         lo, hi = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap > 0, F.col("lam")).otherwise(F.col("hi"))
         newton = F.col("lam") - gap / F.nullif(F.col("h"), F.lit(0.0))
-        step = F.when((newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
-        settled = F.col("s").isNull() | (F.abs(gap) <= F.lit(tolerance) * F.col("target"))
-        after = staged(
-            state.join(sums, _same("s", "source"), "left").select(
-                "source", "target", F.when(settled, F.col("lam")).otherwise(step).alias("lam"), F.coalesce(lo, "lo").alias("lo"), F.coalesce(hi, "hi").alias("hi"), "full", settled.alias("done")
-            ),
-            "mix-dual",
+        next_lam = F.when((newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
+        settled = F.col("met").isNull() | (F.abs(gap) <= F.lit(tolerance) * F.col("target"))
+        return state.join(sums, _same("s", "source"), "left").select(
+            "source", "target", F.when(settled, F.col("lam")).otherwise(next_lam).alias("lam"), F.coalesce(lo, "lo").alias("lo"), F.coalesce(hi, "hi").alias("hi"), "full", settled.alias("done")
         )
+
+    for _ in range(0, steps, 3):
+        after, seen = staged_and_seen(step(step(step(state))), "mix-dual", left=F.count_if(~F.col("done")))
         unstage(state)
         state = after
-    return state.select("source", F.when(F.col("full"), F.col("hi")).otherwise(F.col("lam")).alias("lam"))
+        if not seen["left"]:
+            return state.select("source", F.when(F.col("full"), F.col("hi")).otherwise(F.col("lam")).alias("lam"))
+    raise RuntimeError(f"{seen['left']} sources did not come to their targets in {steps} steps")
 
 
-def whole_copies(groups: DataFrame, cap: int = CAP, exact_sizes: int = EXACT_SIZES) -> DataFrame:
+def whole_copies(groups: DataFrame, cap: int = CAP, block: int = SIZES_A_BLOCK) -> DataFrame:
     """(source, size, n, rate) to (source, size, n, k): k whole copies dealt among the n documents of a size.
 
-    From large sizes to small, each k brings the words taken so far nearest to the words wanted so far, so what
-    is left at the end is about half the smallest size. After exact_sizes sizes the running sum of rates is rounded
-    instead; that part errs by half the largest of its own sizes at most.
+    From large sizes to small, each k brings the words taken so far nearest to the words wanted so far. A source's sizes are cut into
+    blocks, counted from the smallest; blocks are rounded apart, but for the block of the smallest sizes, which starts with what the others have left and so
+    ends about half the smallest size from the target. A source has as many sizes as its documents have different numbers of words.
     """
-    ranked = groups.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("size"))))
-    top = ranked.where(F.col("i") <= exact_sizes).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("i", "size", "n", "rate"))).alias("g"))
-    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<bigint>").alias("ks"))
+    ranked = groups.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("source").orderBy("size")) - 1) / block))
+    listed = ranked.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("g"))
 
     def step(acc: Column, x: Column) -> Column:
         owed = acc["owed"] + x["size"] * x["n"] * x["rate"]
         k = F.least(F.lit(cap) * x["n"], F.greatest(F.lit(0).cast("long"), F.round(owed / F.greatest(x["size"], F.lit(1))).cast("long")))
         return F.struct((owed - k * x["size"]).alias("owed"), F.concat(acc["ks"], F.array(k)).alias("ks"))
 
-    first = (
-        top.withColumn("ks", F.aggregate("g", start, step)["ks"])
-        .select("source", F.explode(F.arrays_zip("g", "ks")).alias("z"))
-        .select("source", "z.g.size", "z.g.n", F.col("z.ks").alias("k"))
-    )
-    upto = Window.partitionBy("source").orderBy("i")
-    sofar = F.sum(F.col("n") * F.col("rate")).over(upto)
-    rest = ranked.where(F.col("i") > exact_sizes).select("source", "size", "n", (F.floor(sofar + 0.5) - F.floor(sofar - F.col("n") * F.col("rate") + 0.5)).alias("k"))
-    return first.unionByName(rest)
+    def rounded(rows: DataFrame, start: Column) -> DataFrame:
+        return rows.withColumn("done", F.aggregate("g", F.struct(start.alias("owed"), F.array().cast("array<bigint>").alias("ks")), step))
+
+    first = rounded(listed.where("block > 0"), F.lit(0.0))
+    owed = first.groupBy(F.col("source").alias("s")).agg(F.sum("done.owed").alias("owed"))
+    last = rounded(listed.where("block = 0").join(owed, _same("source", "s"), "left"), F.coalesce("owed", F.lit(0.0)))
+    every = first.select("source", "g", "done").unionByName(last.select("source", "g", "done"))
+    return every.select("source", F.explode(F.arrays_zip(F.col("g").alias("g"), F.col("done.ks").alias("ks"))).alias("z")).select("source", "z.g.size", "z.g.n", F.col("z.ks").alias("k"))
 
 
 def mix_sources(
     docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", cap: int = CAP, share: float = 1.0,
-    carry: list[str] | None = None, rows_per_chunk: int = 1_000_000,
+    carry: list[str] | None = None, rows_per_chunk: int = 20_000,
 ) -> DataFrame:
     """Copies of each document so that each source's words come near its target.
 
@@ -127,15 +133,17 @@ def mix_sources(
     of (source, size); then the copies of a size are dealt to its documents in the order of a hash of their id.
 
     Returns doc_id, the columns in carry (None: all of docs), and size, source_size, target, copies, taken
-    = copies * size. Columns of docs with those names are replaced. Null ids and repeated rows
-    are documents like any other; a null source is a source; no rows give no rows. Reruns agree. A size with more
-    documents than rows_per_chunk is numbered in chunks of the hash, so no task gathers a source.
+    = copies * size. Columns of docs with those names are replaced; other names do not matter. Null ids and repeated rows
+    are documents like any other; a null source is a source; no rows give no rows. Reruns agree. Sizes are counted once, and staged with
+    what is carried. A size with more documents than rows_per_chunk is numbered in chunks of the hash, so no task gathers a source.
     """
     made = ("size", "source_size", "target", "copies", "taken")
-    names = [c for c in (docs.columns if carry is None else [doc_id, *carry]) if c not in made]
+    names = [c for c in dict.fromkeys(docs.columns if carry is None else [doc_id, *carry]) if c.lower() not in made]
     words = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    base = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{source}`").alias("__s"), words.alias("__z"), F.xxhash64(F.col(f"`{doc_id}`")).alias("__k"), F.col(f"`{doc_id}`").alias("__id"))
-    counts = staged(docs.select(F.col(f"`{source}`").alias("source"), words.alias("size")).groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
+    ident = F.col(f"`{doc_id}`")
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{source}`").alias("s"), words.alias("z"), F.xxhash64(ident).alias("h"), ident.alias("id"))
+    base = staged(base, "mix-sizes")
+    counts = staged(base.groupBy(F.col("s").alias("source"), F.col("z").alias("size")).agg(F.count("*").alias("n")), "mix-counts")
     sums = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("total"), F.sum("n").alias("docs"))
     targets = staged(water_filled(sums.select("source", "total"), cap, share).join(sums.select(F.col("source").alias("s"), "docs"), _same("s", "source")).drop("s"), "mix-targets")
     hist = staged(
@@ -146,21 +154,26 @@ def mix_sources(
     lam = tilts(hist, targets.select("source", "target"), cap)
     rated = hist.alias("h").join(lam.alias("l"), _same("h.source", "l.source"), "left").select("h.source", "h.size", "h.n", F.coalesce(_rate(F.col("lam"), F.col("x"), cap), F.lit(1.0)).alias("rate"))
     dealt = whole_copies(rated, cap).alias("g").join(targets.alias("t"), _same("g.source", "t.source")).select(
-        F.col("g.source").alias("__gs"), F.col("g.size").alias("__gz"), F.col("g.n").alias("__n"), F.col("k").alias("__copies"), F.col("t.total").alias("source_size"), "target"
+        F.col("g.source").alias("gs"), F.col("g.size").alias("gz"), F.col("g.n").alias("n"), F.col("k").alias("total_copies"), F.col("t.total").alias("source_size"), "target"
     )
-    # At most rows / rows_per_chunk sizes are so large; that bounds this broadcast.
-    large = counts.where(F.col("n") > rows_per_chunk).select(F.col("source").alias("__ls"), F.col("size").alias("__lz"), F.ceil(F.col("n") / rows_per_chunk).alias("__c"))
-    chunked = base.join(F.broadcast(large), _same("__s", "__ls") & (F.col("__z") == F.col("__lz")), "left").withColumn("__chunk", F.coalesce(F.pmod(F.shiftrightunsigned("__k", 32), F.col("__c")), F.lit(0)))
+    dealt, seen = staged_and_seen(dealt, "mix-dealt", n=F.count("*"), large=F.count_if(F.col("n") > rows_per_chunk))
+    # A size's documents are dealt into chunks of about rows_per_chunk by the hash of their id; at most rows / rows_per_chunk sizes have more than one.
+    large = dealt.where(F.col("n") > rows_per_chunk).select(F.col("gs").alias("ls"), F.col("gz").alias("lz"), F.ceil(F.col("n") / rows_per_chunk).alias("chunks"))
+    large = F.broadcast(large) if seen["large"] <= BROADCAST_ROWS else large
+    chunked = base.join(large, _same("s", "ls") & (F.col("z") == F.col("lz")), "left").withColumn("chunk", F.coalesce(F.pmod(F.shiftrightunsigned("h", 32), F.col("chunks")), F.lit(0)))
     ahead = (
-        chunked.where(F.col("__c").isNotNull()).groupBy("__s", "__z", "__chunk").agg(F.count("*").alias("m"))
-        .select(F.col("__s").alias("__os"), F.col("__z").alias("__oz"), F.col("__chunk").alias("__oc"), (F.sum("m").over(Window.partitionBy("__s", "__z").orderBy("__chunk")) - F.col("m")).alias("__ahead"))
+        chunked.where(F.col("chunks").isNotNull()).groupBy("s", "z", "chunk").agg(F.count("*").alias("m"))
+        .select(F.col("s").alias("os"), F.col("z").alias("oz"), F.col("chunk").alias("oc"), (F.sum("m").over(Window.partitionBy("s", "z").orderBy("chunk")) - F.col("m")).alias("ahead"))
     )
-    numbered = chunked.withColumn("__r", F.row_number().over(Window.partitionBy("__s", "__z", "__chunk").orderBy("__k", "__id")))
-    ranked = numbered.join(F.broadcast(ahead), _same("__s", "__os") & (F.col("__z") == F.col("__oz")) & (F.col("__chunk") == F.col("__oc")), "left").withColumn("__r", F.col("__r") + F.coalesce("__ahead", F.lit(0)))
-    joined = ranked.join(dealt, _same("__s", "__gs") & (F.col("__z") == F.col("__gz")))
-    share_of = lambda r: F.floor(r * F.col("__copies") / F.col("__n"))
-    copies = (share_of(F.col("__r")) - share_of(F.col("__r") - 1)).cast("long")
-    return joined.select(*[F.col(f"`{c}`") for c in names], F.col("__z").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("__z")).alias("taken"))
+    ahead, before = staged_and_seen(ahead, "mix-chunks", n=F.count("*"))
+    ahead = F.broadcast(ahead) if before["n"] <= BROADCAST_ROWS else ahead
+    numbered = chunked.withColumn("r", F.row_number().over(Window.partitionBy("s", "z", "chunk").orderBy("h", "id")))
+    ranked = numbered.join(ahead, _same("s", "os") & (F.col("z") == F.col("oz")) & (F.col("chunk") == F.col("oc")), "left").withColumn("r", F.col("r") + F.coalesce("ahead", F.lit(0)))
+    joined = ranked.join(F.broadcast(dealt) if seen["n"] <= BROADCAST_ROWS else dealt, _same("s", "gs") & (F.col("z") == F.col("gz")))
+    share_of = lambda r: F.floor(r * F.col("total_copies") / F.col("n"))
+    copies = (share_of(F.col("r")) - share_of(F.col("r") - 1)).cast("long")
+    unstage(counts, targets, hist)
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("z").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("z")).alias("taken"))
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

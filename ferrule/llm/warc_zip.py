@@ -7,19 +7,26 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import shared_dir, staged
+from ferrule.llm.common import looked_up, shared_dir, staged, staged_and_seen
 
+#: Where this package's writer puts records and index; the reader finds members by the patterns below.
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdx"
+_INDEXES = re.compile(r"^indexes/[^/]+\.cdxj?(?:\.gz)?$")
+#: Bytes of records that one task reads, and rows of one payload from which it counts as a hot one.
+TASK_BYTES, HOT = 64 << 20, 1000
 MANIFEST = "path string, records long, bytes long"
 RECORD = "uid long, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
@@ -47,26 +54,44 @@ def record_bytes(uid: int, page_id: int | None, url: str | None, payload: bytes,
     return gzip.compress(lines.encode() + block + b"\r\n\r\n", 6, mtime=0)
 
 
+_PAGE, _REFERS = re.compile(r"<urn:page:(-?\d*):(-?\d+)>"), re.compile(r"<urn:page:(-?\d+)>")
+
+
 def parse_record(data: bytes) -> dict:
-    """A gzip member back to the columns of RECORD; the payload of a revisit is null."""
+    """A gzip member back to the columns of RECORD; the payload of a revisit is null.
+
+    Records of other writers have no page_id, uid and refers_to; where they carry no digest or HTTP head, digest and size are those of what they hold.
+    """
     raw = gzip.decompress(data)
     head, _, rest = raw.partition(b"\r\n\r\n")
-    first, *lines = head.decode().split("\r\n")
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError(f"not a WARC record: {first[:40]!r}")
-    field = dict(line.split(": ", 1) for line in lines)
-    block = rest[: int(field["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = next(int(x.split(b": ")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length"))
-    page, uid = field["WARC-Record-ID"][len("<urn:page:") : -1].rsplit(":", 1)
-    refers, url = field.get("WARC-Refers-To"), field.get("WARC-Target-URI")
+    field = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+    block = rest[: int(field["content-length"])]
+    http, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+    size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
+    page, refers, url = _PAGE.fullmatch(field.get("warc-record-id", "")), _REFERS.fullmatch(field.get("warc-refers-to", "")), field.get("warc-target-uri")
+    if url is not None and page:
+        url = json.loads(f'"{url}"')
+    kind, found = field.get("warc-type", "resource"), field.get("warc-payload-digest", "")
     return {
-        "uid": int(uid), "page_id": int(page) if page else None, "url": None if url is None else json.loads(f'"{url}"'), "record_type": field["WARC-Type"],
-        "refers_to": int(refers[len("<urn:page:") : -1]) if refers else None, "payload_digest": field["WARC-Payload-Digest"].split(":", 1)[1],
-        "payload_bytes": size, "payload": payload if field["WARC-Type"] == "response" else None,
+        "uid": int(page[2]) if page else None, "page_id": int(page[1]) if page and page[1] else None, "url": url, "record_type": kind,
+        "refers_to": int(refers[1]) if refers else None, "payload_digest": found[5:] if found.startswith("sha1:") else digest(payload),
+        "payload_bytes": size, "payload": payload if kind != "revisit" else None,
     }
 
 
+def surt(url: str | None) -> str:
+    """Sort key of an index line: the host's labels reversed, then path and query, without white space."""
+    try:
+        parts = urlsplit(url or "")
+    except ValueError:
+        parts = urlsplit("")
+    key = ",".join(reversed(parts.netloc.lower().split("."))) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    return re.sub(r"\s", lambda m: f"%{ord(m[0]):02X}", key)
+
+
 class _Counted(io.RawIOBase):
     """A sink that cannot seek, so that the archive streams to any store."""
 
@@ -97,7 +122,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = 256 <<
         pending = next(rows, None)
         while pending is not None:
             name = f"{uuid.uuid4().hex}.wacz"
-            index = io.StringIO()
+            index: list[str] = []
             count = at = 0
             with fs.open_output_stream(f"{root}/{name}") as out, zipfile.ZipFile(_Counted(out), "w", zipfile.ZIP_STORED, allowZip64=True) as z:
                 with z.open(WARC_MEMBER, "w", force_zip64=True) as member:
@@ -106,12 +131,14 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = 256 <<
                         get = lambda c: b.column(c)[i].as_py()  # noqa: B023, E731
                         data = record_bytes(get("uid"), get("page_id"), get("url"), get("payload"), get("record_type"), get("refers_to"))
                         member.write(data)
-                        index.write(f"{at} {len(data)}\n")
+                        about = {"url": get("url"), "offset": str(at), "length": str(len(data)), "filename": WARC_MEMBER.split("/")[-1]}
+                        index.append(f"{surt(get('url'))} 20240101000000 {json.dumps(about)}\n")
                         at += len(data)
                         count += 1
                         pending = next(rows, None)
                 with z.open(INDEX_MEMBER, "w", force_zip64=True) as member:
-                    member.write(index.getvalue().encode())
+                    for line in sorted(index):
+                        member.write(line.encode())
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [count], "bytes": [at]})
 
     return staged(records.select("uid", "page_id", "url", "payload", "record_type", "refers_to").mapInArrow(run, MANIFEST), "warc-manifest")
@@ -163,33 +190,57 @@ def central_directory(f, size: int) -> dict[str, tuple[int, int, int]]:
     return found
 
 
+def _index_lines(f, start: int, length: int, packed: bool) -> Iterator[bytes]:
+    """Lines of a stored index member, read by range and, where packed, through gzip of one or many members."""
+    unzip, done, rest = zlib.decompressobj(31), 0, b""
+    while done < length:
+        part = f.read_at(min(1 << 20, length - done), start + done)
+        done += len(part)
+        while packed and part:
+            rest += unzip.decompress(part)
+            part = unzip.unused_data
+            if unzip.eof:
+                unzip = zlib.decompressobj(31)
+        *lines, rest = (rest if packed else rest + part).split(b"\n")
+        yield from lines
+    yield rest
+
+
 def list_records(archives: DataFrame) -> DataFrame:
-    """(path, size) or (path) of archives to (path, start, length) of their records, in runs that lie together.
+    """Archives given by path to (path, start, length) of their records, as their index members (CDXJ) list them.
 
-    A task reads an archive's end records, central directory and index member by range, nothing else. Members must be stored.
+    A task reads an archive's end records, central directory and index members by range, nothing else. An archive may hold several members of
+    records, archive/<filename>, and several indexes, indexes/*.cdx or *.cdxj, also with .gz. Members must be stored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("length", pa.int64())])
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 fs, at = _open_fs(path)
                 with fs.open_input_file(at) as f:
                     members = central_directory(f, f.size())
-                    data, _, method = members[WARC_MEMBER]
-                    index, length, index_method = members[INDEX_MEMBER]
-                    if method or index_method:
-                        raise ValueError(f"{path}: a member is compressed, so its records cannot be read by range")
-                    done, rest = 0, b""
-                    while done < length or rest:
-                        part = f.read_at(min(1 << 20, length - done), index + done) if done < length else b""
-                        done += len(part)
-                        lines = (rest + part).split(b"\n")
-                        rest = lines.pop() if done < length else b""
-                        pairs = [tuple(map(int, x.split())) for x in lines if x]
-                        yield pa.RecordBatch.from_pydict(
-                            {"path": [path] * len(pairs), "start": [data + p[0] for p in pairs], "length": [p[1] for p in pairs]},
-                            schema=pa.schema([("path", pa.string()), ("start", pa.int64()), ("length", pa.int64())]),
-                        )
+                    indexes = [name for name in members if _INDEXES.match(name)]
+                    if not indexes:
+                        raise ValueError(f"{path}: no index member")
+                    for name in indexes:
+                        start, length, method = members[name]
+                        if method:
+                            raise ValueError(f"{path}: {name} is compressed by the archive, so it cannot be read by range")
+                        out: dict[str, list] = {"path": [], "start": [], "length": []}
+                        for line in _index_lines(f, start, length, name.endswith(".gz")):
+                            if not line.strip() or line.startswith(b"!"):
+                                continue
+                            about = json.loads(line.split(b" ", 2)[2])
+                            data, _, method = members[f"archive/{about['filename']}"]
+                            if method:
+                                raise ValueError(f"{path}: {about['filename']} is compressed by the archive, so it cannot be read by range")
+                            for c, v in zip(out, (path, data + int(about["offset"]), int(about["length"]))):
+                                out[c].append(v)
+                            if len(out["path"]) >= 50_000:
+                                yield pa.RecordBatch.from_pydict(out, schema=schema)
+                                out = {c: [] for c in out}
+                        yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return archives.select("path").mapInArrow(run, "path string, start long, length long")
 
@@ -256,8 +307,10 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         again = rows.join(repeats, F.col("uid") == F.col("ru")).groupBy("d", "page_id", "url", "uid", "n").agg(F.any_value("payload").alias("payload"))
         again = again.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
         rows = rows.join(repeats, F.col("uid") == F.col("ru"), "left_anti").withColumn("nth", F.lit(1)).unionByName(again.drop("n"))
-    joined = rows.join(top, F.col("d") == F.col("td"), "left")
-    first = F.col("td").isNull() | (F.octet_length("payload") < least) | ((F.col("uid") == F.col("top.uid")) & (F.col("nth") == 1))
+    top, seen = staged_and_seen(top, "warc-top", n=F.count("*"), hot=F.count_if(F.col("rows") >= HOT))
+    spread = F.concat(F.lit("~"), F.col("uid").cast("string"), F.lit("."), F.col("nth").cast("string"))  # digests are hexadecimal
+    joined = looked_up(rows, top, F.col("d"), "td", spread, F.col("rows") >= HOT, seen)
+    first = F.col("rows").isNull() | (F.octet_length("payload") < least) | ((F.col("uid") == F.col("top.uid")) & (F.col("nth") == 1))
     return joined.select("uid", "page_id", "url", "payload", F.when(first, "response").otherwise("revisit").alias("record_type"), F.when(~first, F.col("top.page_id")).alias("refers_to"))
 
 
@@ -265,9 +318,16 @@ def write_pages(pages: DataFrame, folder: str, archive_bytes: int = 256 << 20, *
     return write_archives(with_revisits(pages, **columns), folder, archive_bytes)
 
 
-def read_archives(archives: DataFrame, payloads: bool = True, per_task: int = 20_000) -> DataFrame:
-    """RECORD rows of archives given by path. Ranges, a few bytes each, are dealt anew so that large archives are read by many tasks."""
-    return read_records(list_records(archives).repartition("path", (F.col("start") / (64 << 20)).cast("long")).sortWithinPartitions("path", "start"), payloads)
+def read_archives(archives: DataFrame, payloads: bool = True, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """RECORD rows of archives given by path.
+
+    Ranges, a few bytes each, are staged and dealt anew by place, so that a task reads about task_bytes of neighbouring records, however few or large
+    the archives are; small inputs are still dealt over all cores.
+    """
+    ranges, seen = staged_and_seen(list_records(archives), "warc-ranges", bytes=F.sum("length"), n=F.count("*"))
+    wanted = -(-(seen["bytes"] or 0) // task_bytes)
+    tasks = max(1, wanted, min(archives.sparkSession.sparkContext.defaultParallelism, -(-seen["n"] // 100)))
+    return read_records(ranges.repartitionByRange(tasks, "path", "start").sortWithinPartitions("path", "start"), payloads)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
