@@ -13,8 +13,9 @@ SPAN = "document string, grp int, side string, start int, text string"
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, text) of every line of the files under path, lines numbered from 1 in each file."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value"))
-    return whole.select("path", F.posexplode(F.split("value", "\n", -1)).alias("p", "text")).select("path", (F.col("p") + 1).alias("line"), "text")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
+    numbered = F.transform(F.split("value", "\n", -1), lambda x, k: F.struct((k + 1).alias("line"), x.alias("text")))
+    return whole.select("path", F.explode(numbered).alias("l")).select("path", "l.line", "l.text")
 
 
 def tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
