@@ -101,18 +101,20 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, start: str, depth: int, ca
 
 
 def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 8) -> DataFrame:
-    """(step, node) along a shortest path, of equal ones that with the smallest predecessor at every step; no row where goal is further than most."""
+    """(step, node) along a shortest path, of equal ones that with the smallest predecessor at every step.
+
+    No row means that there is no path of at most `most` steps; a longer one is not looked for.
+    """
     spark = edges.sparkSession
     ties = staged(neighbours(edges), "graph-neighbours")
     seen = staged(spark.createDataFrame([(start, None, 0)], "node string, parent string, depth int"), "graph-path")
-    frontier = seen
+    frontier, met = seen, {"n": 1, "hits": int(start == goal)}
     for k in range(1, most + 1):
-        if start == goal or not frontier.where(F.col("node") == goal).isEmpty():
+        if met["hits"] or not met["n"]:
             break
         reached = frontier.select("node").join(ties, "node").groupBy(F.col("peer").alias("node")).agg(F.min("node").alias("parent"))
-        frontier = staged(reached.join(seen, "node", "left_anti").select("node", "parent", F.lit(k).alias("depth")), "graph-path")
-        if frontier.isEmpty():
-            break
+        new = reached.join(seen, "node", "left_anti").select("node", "parent", F.lit(k).alias("depth"))
+        frontier, met = staged_and_seen(new, "graph-path", n=F.count("*"), hits=F.count_if(F.col("node") == goal))
         seen = seen.unionByName(frontier)
     # The way back is a handful of single rows, so the driver walks it.
     steps, at = [], goal
@@ -216,8 +218,9 @@ def scope_chains(parents: DataFrame, most: int = 8) -> DataFrame:
     at = parents.select("id", "parent", F.array("operator").alias("chain"))
     done = at.where("parent is null")
     for _ in range(most):
-        at = staged(at.where("parent is not null").join(up, F.col("parent") == F.col("pid")).select("id", F.col("pparent").alias("parent"), F.concat("chain", F.array("poperator")).alias("chain")), "graph-chains")
-        if at.isEmpty():
+        new = at.where("parent is not null").join(up, F.col("parent") == F.col("pid")).select("id", F.col("pparent").alias("parent"), F.concat("chain", F.array("poperator")).alias("chain"))
+        at, seen = staged_and_seen(new, "graph-chains", n=F.count("*"))
+        if not seen["n"]:
             return done.select("id", "chain", F.size("chain").alias("depth"))
         done = done.unionByName(at.where("parent is null"))
     raise ValueError(f"a chain has more than {most} operators or a cycle")

@@ -6,16 +6,18 @@ is the number of rounds; each round is one join, one aggregate by rule, and a st
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.sources.tables import staged
+from ferrule.sources.tables import staged, staged_and_seen
 
 STATUS = ("failed", "limit", "proved")
 
 
-def derive(facts: DataFrame, rules: DataFrame, depth: int, assumptions: DataFrame | None = None) -> DataFrame:
-    """(goal, round, via): each goal that can be proved in at most depth rounds, with the first round and the smallest rule that does.
+def derive(facts: DataFrame, rules: DataFrame, depth: int | None, assumptions: DataFrame | None = None) -> DataFrame:
+    """(goal, round, via): each goal that can be proved in at most depth rounds (None: in any number), with the first round and the smallest rule that does.
 
     via is 'fact', 'assumption' or the rule. An assumed goal is not looked for in facts or rules. Negated literals must be decided: they
     range over goals that no rule concludes, so a negation holds where the goal is neither a fact nor assumed. A rule that negates
@@ -38,12 +40,12 @@ def derive(facts: DataFrame, rules: DataFrame, depth: int, assumptions: DataFram
     need = live.groupBy("rule", "head").agg(F.sum(F.when(F.col("negated"), 0).otherwise(1)).alias("need"))
     body = staged(live.where("not negated").select("rule", "goal").distinct(), "proof-body")
     need = staged(need.join(body.groupBy("rule").agg(F.count("*").alias("distinct_need")), "rule", "left").select("rule", "head", F.coalesce("distinct_need", F.lit(0)).alias("need")), "proof-need")
-    for k in range(1, depth + 1):
+    for k in count(1) if depth is None else range(1, depth + 1):
         met = body.join(known, "goal", "left_semi").groupBy("rule").agg(F.count("*").alias("met"))
         fired = need.join(met, "rule", "left").where(F.coalesce("met", F.lit(0)) == F.col("need"))
         new = fired.groupBy(F.col("head").alias("goal")).agg(F.min("rule").alias("via")).join(known, "goal", "left_anti")
-        new = staged(new.select("goal", F.lit(k).alias("round"), "via"), "proof-round")
-        if new.isEmpty():
+        new, seen = staged_and_seen(new.select("goal", F.lit(k).alias("round"), "via"), "proof-round", n=F.count("*"))
+        if not seen["n"]:
             break
         known = known.unionByName(new)
     return known
@@ -52,12 +54,11 @@ def derive(facts: DataFrame, rules: DataFrame, depth: int, assumptions: DataFram
 def status(goals: DataFrame, facts: DataFrame, rules: DataFrame, depth: int) -> DataFrame:
     """(goal, status): proved within depth, limit where more rounds could still prove it, failed where they could not.
 
-    Whether more rounds could prove a goal is found by letting derivation settle.
+    Whether more rounds could prove a goal is found by deriving until a round brings nothing; the round a goal is first proved in tells the two apart.
     """
-    bounded = derive(facts, rules, depth).select("goal").withColumn("b", F.lit(True))
-    settled = derive(facts, rules, 64).select("goal").withColumn("s", F.lit(True))
-    joined = goals.select("goal").distinct().join(bounded, "goal", "left").join(settled, "goal", "left")
-    return joined.select("goal", F.when(F.col("b"), "proved").when(F.col("s"), "limit").otherwise("failed").alias("status"))
+    first = derive(facts, rules, None).select("goal", "round")
+    joined = goals.select("goal").distinct().join(first, "goal", "left")
+    return joined.select("goal", F.when(F.col("round") <= depth, "proved").when(F.col("round").isNotNull(), "limit").otherwise("failed").alias("status"))
 
 
 def negation_status(inner: DataFrame) -> DataFrame:
@@ -73,7 +74,9 @@ def proof_steps(proved: DataFrame, rules: DataFrame, roots: DataFrame, depth: in
     out = None
     for k in range(depth + 1):
         kind = F.when(F.col("via") == "fact", "fact").when(F.col("via") == "assumption", "assumption").otherwise("clause")
-        here = staged(at.select("root", F.lit(k).alias("depth"), "goal", "parent", kind.alias("kind"), "via"), "proof-steps")
+        here, seen = staged_and_seen(at.select("root", F.lit(k).alias("depth"), "goal", "parent", kind.alias("kind"), "via"), "proof-steps", n=F.count("*"))
+        if not seen["n"] and out is not None:
+            break
         out = here if out is None else out.unionByName(here)
         below = here.where("kind = 'clause'").select("root", F.col("goal").alias("parent"), F.col("via").alias("rule")).join(rules.select("rule", "goal", "negated"), "rule")
         out = out.unionByName(below.where("negated").select("root", F.lit(k + 1).alias("depth"), "goal", "parent", F.lit("negation").alias("kind"), F.lit(None).cast("string").alias("via")))

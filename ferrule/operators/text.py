@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.functions.strings import folded
+from ferrule.functions.strings import folded, occurrences
+from ferrule.sources.tables import staged_and_seen
+
+#: Rows of a counted table that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def located(pages: DataFrame, passages: DataFrame, page_text: str, passage_text: str, page_id: str, passage_id: str, seed: int = 24) -> DataFrame:
@@ -17,22 +21,30 @@ def located(pages: DataFrame, passages: DataFrame, page_text: str, passage_text:
     """
     wanted = passages.select(F.col(passage_id), folded(F.col(passage_text)).alias("needle")).where("needle <> ''")
     wanted = wanted.withColumn("k", F.least(F.length("needle"), F.lit(seed))).withColumn("h", F.xxhash64(F.substr(F.col("needle"), F.lit(1), F.col("k"))))
-    lengths = wanted.select("k").distinct()  # at most `seed` rows
+    wanted, seen = staged_and_seen(wanted, "passages", n=F.count("*"))
     page = pages.select(F.col(page_id), folded(F.col(page_text)).alias("hay"))
-    starts = page.crossJoin(F.broadcast(lengths)).where(F.length("hay") >= F.col("k"))
+    starts = page.crossJoin(F.broadcast(wanted.select("k").distinct())).where(F.length("hay") >= F.col("k"))  # at most `seed` rows
     # A look-ahead matches at every place and takes k characters, so a text of n characters costs n * k, not n * n.
     every = F.regexp_extract_all(F.col("hay"), F.concat(F.lit("(?s)(?=(.{"), F.col("k").cast("string"), F.lit("}))")), 1)
     windows = starts.select(page_id, "k", F.explode(F.array_distinct(F.transform(every, lambda x: F.xxhash64(x)))).alias("h"))
-    candidates = windows.join(wanted.select(passage_id, "k", "h"), ["k", "h"]).select(page_id, passage_id).distinct()
-    found = candidates.join(page, page_id).join(wanted.select(passage_id, "needle"), passage_id)
+    heads = wanted.select(passage_id, "k", "h")
+    # Up to BROADCAST_ROWS heads are broadcast, and then no window leaves its task but those that begin a passage.
+    candidates = windows.join(F.broadcast(heads) if seen["n"] <= BROADCAST_ROWS else heads, ["k", "h"]).select(page_id, passage_id).distinct()
+    candidates, met = staged_and_seen(candidates, "passage-candidates", n=F.count("*"))
+    pairs = candidates.join(F.broadcast(wanted.select(passage_id, "needle")) if seen["n"] <= BROADCAST_ROWS else wanted.select(passage_id, "needle"), passage_id)
+    found = page.join(F.broadcast(pairs) if met["n"] <= BROADCAST_ROWS else pairs, page_id)
     return found.withColumn("at", F.instr(F.col("hay"), F.col("needle")) - 1).where("at >= 0").select(page_id, passage_id, "at")
 
 
 def longest_continuation(hay: Column, needle: Column, least: int = 20) -> Column:
-    """Length of the longest beginning of needle, shorter than it and of at least `least` characters, that ends hay; 0 where there is none."""
+    """Length of the longest beginning of needle, shorter than it and of at least `least` characters, that ends hay; 0 where there is none.
+
+    Only places where the first `least` characters of needle stand in hay's end are tried.
+    """
     top = F.least(F.length(hay), F.length(needle) - 1)
-    sizes = F.when(top >= least, F.sequence(top, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.get(F.filter(sizes, lambda n: F.right(hay, n) == F.left(needle, n)), F.lit(0)), F.lit(0))
+    tail = F.right(hay, F.greatest(top, F.lit(0)))
+    sizes = F.transform(occurrences(tail, F.left(needle, F.lit(least))), lambda i: F.length(tail) - i)  # long ones first
+    return F.when(top >= least, F.coalesce(F.get(F.filter(sizes, lambda n: F.right(hay, n) == F.left(needle, n)), F.lit(0)), F.lit(0))).otherwise(0)
 
 
 def in_order(page: Column, sentences: Column) -> Column:
@@ -50,19 +62,18 @@ def segments(rows: DataFrame, key: str, text: str, spans: str) -> DataFrame:
 
     What lies between spans comes out with a null grp; the pieces put together are the text again.
     """
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,grp:int>>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        here = F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["grp"].cast("int").alias("grp"))
-        gap = F.struct(acc["at"].alias("start"), s["start"].cast("int").alias("end"), F.lit(None).cast("int").alias("grp"))
-        return F.struct(s["end"].cast("int").alias("at"), F.concat(acc["out"], F.when(s["start"] > acc["at"], F.array(gap, here)).otherwise(F.array(here))).alias("out"))
-
-    def finish(acc: Column) -> Column:
-        rest = F.struct(acc["at"].alias("start"), F.length(text).alias("end"), F.lit(None).cast("int").alias("grp"))
-        return F.concat(acc["out"], F.when(F.length(text) > acc["at"], F.array(rest)).otherwise(F.array().cast("array<struct<start:int,end:int,grp:int>>")))
-
-    cut = rows.withColumn("__c", F.aggregate(F.col(spans), start, step, finish))
-    return cut.select(key, text, F.posexplode("__c").alias("ord", "c")).select(key, "ord", "c.grp", F.substr(F.col(text), F.col("c.start") + 1, F.col("c.end") - F.col("c.start")).alias("piece"))
+    piece = lambda a, b, g: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), g.cast("int").alias("grp"))
+    ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"].cast("int")))  # where the piece before each span ends, then the last end
+    none = F.lit(None)
+
+    def cut(s: Column, k: Column) -> Column:
+        before = F.get(ends, k)
+        return F.when(s["start"] > before, F.array(piece(before, s["start"], none), piece(s["start"], s["end"], s["grp"]))).otherwise(F.array(piece(s["start"], s["end"], s["grp"])))
+
+    last = F.element_at(ends, -1)
+    rest = F.when(F.length(text) > last, F.array(piece(last, F.length(text), none))).otherwise(F.array().cast("array<struct<start:int,end:int,grp:int>>"))
+    pieces = rows.withColumn("__c", F.concat(F.flatten(F.transform(spans, cut)), rest))
+    return pieces.select(key, text, F.posexplode("__c").alias("ord", "c")).select(key, "ord", "c.grp", F.substr(F.col(text), F.col("c.start") + 1, F.col("c.end") - F.col("c.start")).alias("piece"))
 
 
 def lexical_score(label_words: Column, text_words: Column, phrase: Column, phrase_weight: int = 1000) -> Column:
