@@ -21,6 +21,15 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def escape_role(role: Column) -> Column:
+    """Roles end at a newline, so in them it is written as a backslash and n, which escape() never makes."""
+    return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"))
+
+
 def format_chat(
     turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", trained: tuple[str, ...] = ("assistant",)
 ) -> DataFrame:
@@ -45,7 +54,7 @@ def format_chat(
     def piece(t: Column, i: Column) -> Column:
         joined = (i > 0) & (F.get("turns", i - 1)["role"] == t["role"])
         last = (i == n - 1) | (F.get("turns", i + 1)["role"] != t["role"])
-        head = F.when(joined, F.lit(BREAK)).otherwise(F.concat(F.lit(START), escape(t["role"]), F.lit(SEP)))
+        head = F.when(joined, F.lit(BREAK)).otherwise(F.concat(F.lit(START), escape_role(t["role"]), F.lit(SEP)))
         return F.struct(
             head.alias("head"), escape(t["text"]).alias("body"), F.when(last, F.lit(END)).otherwise(F.lit("")).alias("tail"), t["role"].isin(*trained).alias("on")
         )
@@ -53,13 +62,27 @@ def format_chat(
     pieces = grouped.select(conv, F.transform("turns", piece).alias("pieces"))
     formatted = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "")
     lens = F.transform("pieces", lambda p: F.struct(F.length(p["head"]).alias("h"), F.length(p["body"]).alias("b"), F.length(p["tail"]).alias("t"), p["on"].alias("on")))
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    return pieces.select(conv, formatted.alias("formatted"), lens.alias("lens")).select(conv, "formatted", _spans(F.col("lens")).alias("loss_spans"))
+
+
+def _spans(lens: Column) -> Column:
+    """Ranges of the texts that are on. Running sums go block by block, about the square root of the turns each, so that a long conversation does not copy its list at every turn."""
+    kind = "array<struct<start:bigint,length:bigint>>"
+    size = F.greatest(F.ceil(F.sqrt(F.size(lens))).cast("int"), F.lit(1))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(lens) - 1, F.lit(0)), size), lambda at: F.slice(lens, at + 1, size))
+    whole = lambda x: (x["h"] + x["b"] + x["t"]).cast("long")
+    sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda n, x: n + whole(x)))
+    begin = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    starts = F.aggregate(sums, begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))["starts"]
 
     def step(acc: Column, x: Column) -> Column:
         here = F.struct((acc["at"] + x["h"]).alias("start"), x["b"].cast("long").alias("length"))
-        return F.struct((acc["at"] + x["h"] + x["b"] + x["t"]).alias("at"), F.when(x["on"], F.concat(acc["spans"], F.array(here))).otherwise(acc["spans"]).alias("spans"))
+        return F.struct((acc["at"] + whole(x)).alias("at"), F.when(x["on"], F.concat(acc["spans"], F.array(here))).otherwise(acc["spans"]).alias("spans"))
+
+    def spans(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(kind).alias("spans")), step)["spans"]
 
-    return pieces.select(conv, formatted.alias("formatted"), F.aggregate(lens, start, step)["spans"].alias("loss_spans"))
+    return F.flatten(F.zip_with(blocks, starts, spans))
 
 
 def read_chat(formatted: Column) -> Column:
@@ -69,7 +92,7 @@ def read_chat(formatted: Column) -> Column:
     def block(b: Column) -> Column:
         body = F.substring_index(b, START, -1)
         at = F.instr(body, SEP)
-        name = unescape(F.substr(body, F.lit(1), at - 1))
+        name = unescape_role(F.substr(body, F.lit(1), at - 1))
         texts = F.split(F.substr(body, at + 1), r"<\|turn\|>", -1)
         return F.transform(texts, lambda x: F.struct(name.alias("role"), unescape(x).alias("text")))
 
@@ -104,10 +127,8 @@ with t as (
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
   union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e as (
-  select *,
-    regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'),
-      '<|', '<\|'), '</s>', '<\/s>'), '<s>', '<\s>'), '</SYS', '<\/SYS'), '<SYS', '<\SYS'), '<</SYS', '<\</SYS'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'),
-      '<<(\\?/?\\?SYS)', '<\\<\1', 'g') as esc,
+  -- a backslash is doubled, and one goes into every place where a control string could begin
+  select *, length(text) + list_sum(list_transform(['\', '<|', '<s>', '</s>', '<<SYS', '<</SYS', '[INST]', '[/INST]'], lambda x: (length(text) - length(replace(text, x, ''))) // length(x))) as esc,
     lag(role) over w as before, lead(role) over w as after
   from t window w as (partition by conv_id order by turn nulls first, role, text)
 )
@@ -115,7 +136,7 @@ select conv_id, count(*)::bigint as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-  sum(length(esc) + case when before is not distinct from role then 8 else 13 + length(role) end
+  sum(esc + case when before is not distinct from role then 8 else 13 + length(role) end
       + case when after is not distinct from role then 0 else 11 end)::bigint as formatted_chars
 from e group by conv_id
 """

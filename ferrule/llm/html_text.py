@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import runs, staged, unstage
+from ferrule.llm.common import BROADCAST_ROWS, runs, staged, staged_and_seen, unstage
 
 #: A tag from its name on. Quotes count after an equals sign only. Nothing is tried twice, so a failed match costs one pass to the end of the page.
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
@@ -46,6 +46,7 @@ SKETCH = 16
 _SALTS = np.array([xxhash.xxh64_intdigest(str(i)) for i in range(SKETCH)], np.uint64)
 #: So many repeated suffixes are broadcast at once.
 KEYS = 1_000_000
+BUCKETS = 1 << 12
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -211,12 +212,19 @@ def _host(url: str | None) -> str:
         return ""
 
 
+_known: dict[str, int] = {}
+
+
+def _code(word: str) -> int:
+    if len(_known) >= 500_000:
+        _known.clear()
+    code = _known[word] = xxhash.xxh64_intdigest(word)
+    return code
+
+
 def _codes(words: list[str]) -> np.ndarray:
-    known: dict[str, int] = {}
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w)
-    return np.array([known[w] for w in words], np.uint64)
+    get = _known.get
+    return np.fromiter((get(w) or _code(w) for w in words), np.uint64, len(words))
 
 
 def _suffixes(codes: np.ndarray, run: int, start: int = 0) -> np.ndarray:
@@ -231,25 +239,29 @@ def _suffixes(codes: np.ndarray, run: int, start: int = 0) -> np.ndarray:
     return h
 
 
+def _best(places: list[int]) -> int | None:
+    """The place whose blocks are the main text, None where nothing is marked."""
+    return ARTICLE if ARTICLE in places else MAIN if MAIN in places else None
+
+
+def _is_kept(place: int, best: int | None) -> bool:
+    return place == best or best is None and place != BOILER
+
+
 class _Page:
     """A page's blocks as one stream of words: its suffixes, its identity, and which blocks hold its main text."""
 
-    def __init__(self, host: str, found: list[tuple[int, str]], run: int):
-        zones = {w for w, _ in found}
-        best = ARTICLE if ARTICLE in zones else MAIN if MAIN in zones else None
+    def __init__(self, host: str, places: list[int], texts: list[str], run: int):
+        best = _best(places)
         self.host, self.marked = host, best is not None
-        words: list[str] = []
-        content = []
-        self.kept: list[tuple[int, str]] = []
-        for w, t in found:
-            if w == best or best is None and w != BOILER:
-                self.kept.append((len(words), t))
-            here = t.split(" ")
-            content.extend([w != BOILER] * len(here))
-            words.extend(here)
-        self.codes, self.content = _codes(words), np.array(content, bool)
-        self.stream = xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
-        self.suffixes = _suffixes(self.codes, run, xxhash.xxh64_intdigest(self.host)).view(np.int64)
+        words = [t.split(" ") for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes) - sizes
+        self.kept = [(int(starts[k]), texts[k]) for k, w in enumerate(places) if _is_kept(w, best)]
+        self.codes = _codes([w for x in words for w in x])
+        self.content = np.repeat(np.array(places) != BOILER, sizes) if places else np.zeros(0, bool)
+        self.stream = xxhash.xxh64_intdigest(self.codes.tobytes()) - (1 << 63)
+        self.suffixes = _suffixes(self.codes, run, xxhash.xxh64_intdigest(host)).view(np.int64)
 
     def sketch(self) -> list[int]:
         """Minima of SKETCH hashes over the 3-word runs of what is not boilerplate: two pages share as many of them as they share runs."""
@@ -283,48 +295,57 @@ class _Page:
         return np.cumsum(change[:-1]) > 0
 
 
-def _pages(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[tuple[pa.RecordBatch, list[_Page]]]:
-    for batch in batches:
-        found = [[(b["place"], b["text"]) for b in x] for x in batch.column("blocks").to_pylist()]
-        yield batch, [_Page(h, b, run) for h, b in zip(batch.column("host").to_pylist(), found)]
+def _lists(batch: pa.RecordBatch) -> Iterator[tuple[str, list[int], list[str]]]:
+    """Host, places and texts of each page."""
+    yield from zip(batch.column("host").to_pylist(), batch.column("places").to_pylist(), batch.column("texts").to_pylist())
 
 
 def _parsed(base: DataFrame) -> DataFrame:
-    """(page_id, url, html) to (page_id, url, host, blocks)."""
-    kind = pa.list_(pa.struct([("place", pa.int8()), ("text", pa.string())]))
+    """(page_id, url, html) to (page_id, url, host, marked, places, texts): a place and a text for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 some = batch.slice(start, 500)
-                made = [[{"place": w, "text": t} for w, t in blocks(h.as_py())] for h in some.column("html")]
-                hosts = [_host(u) for u in some.column("url").to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), pa.array(hosts, pa.string()), pa.array(made, kind)], ["page_id", "url", "host", "blocks"])
-
-    shape = base.select("page_id", "url", F.lit("").alias("host"), F.array().cast("array<struct<place:tinyint,text:string>>").alias("blocks")).schema
+                made = [blocks(h.as_py()) for h in some.column("html")]
+                places = [[w for w, _ in x] for x in made]
+                columns = [
+                    some.column("page_id"), some.column("url"), pa.array([_host(u) for u in some.column("url").to_pylist()], pa.string()), pa.array([_best(p) is not None for p in places], pa.bool_()),
+                    pa.array(places, pa.list_(pa.int8())), pa.array([[t for _, t in x] for x in made], pa.list_(pa.string())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "marked", "places", "texts"])
+
+    shape = base.select("page_id", "url", F.lit("").alias("host"), F.lit(True).alias("marked"), F.array().cast("array<tinyint>").alias("places"), F.array().cast("array<string>").alias("texts")).schema
     return base.mapInArrow(run, shape)
 
 
 def _fingerprints(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket (12 bits) and fingerprint in it (24 bits)."""
+    """Bucket (12 bits, one of BUCKETS) and fingerprint in it (24 bits)."""
     h = suffixes.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     return (h >> np.uint64(52)).astype(np.int64), (h >> np.uint64(28) & np.uint64(0xFFFFFF)).astype(np.uint32)
 
 
-def _seen_twice(base: DataFrame, run: int) -> np.ndarray:
-    """2^28 bits; set wherever a suffix stands on two pages of its host, and by chance elsewhere.
+def _seen_often(base: DataFrame, run: int, is_open) -> np.ndarray:
+    """Two parts of 2^28 bits, as bytes: for hosts with an open page, bits set wherever a suffix stands on two pages of its host, and for other hosts on three; by chance elsewhere.
 
     Suffixes travel as 3 bytes each, packed by bucket, and each bucket owns 8 KB of the bits, so what comes to the driver does not grow.
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, pages in _pages(batches, run):
-            if not (found := [np.unique(p.suffixes) for p in pages if len(p.suffixes)]):
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            for host, places, texts in _lists(batch):
+                suffixes = _Page(host, places, texts, run).suffixes
+                if len(suffixes):
+                    bucket, mark = _fingerprints(np.unique(suffixes))
+                    found[0].append(bucket + (0 if is_open(host) else BUCKETS))
+                    found[1].append(mark)
+            if not found[0]:
                 continue
-            bucket, mark = _fingerprints(np.concatenate(found))
+            bucket, mark = np.concatenate(found[0]), np.concatenate(found[1])
             order = np.argsort(bucket, kind="stable")
             bucket, raw = bucket[order], np.ascontiguousarray(mark[order].astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << 12))
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=2 * BUCKETS))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["bucket", "marks"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,11 +353,13 @@ def _seen_twice(base: DataFrame, run: int) -> np.ndarray:
             raw = np.frombuffer(b"".join(one.column("marks").to_pylist()), np.uint8).reshape(-1, 3).astype(np.uint32)
             mark, n = np.unique(raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16, return_counts=True)
             bits = np.zeros(1 << 16, np.uint8)
-            bits[mark[n > 1] >> 8] = 1
-            yield pa.RecordBatch.from_arrays([one.column("bucket").slice(0, 1), pa.array([zlib.compress(np.packbits(bits).tobytes())], pa.binary())], ["bucket", "bits"])
+            bits[mark[n > (1 if one.column("bucket")[0].as_py() < BUCKETS else 2)] >> 8] = 1
+            yield pa.RecordBatch.from_arrays([one.column("bucket").slice(0, 1), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["bucket", "bits"])
 
-    slices = base.mapInArrow(packed, "bucket int, marks binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(counted, "bucket int, bits binary")
-    out = np.zeros((1 << 12, 1 << 13), np.uint8)
+    columns = base.select("host", "places", "texts")
+    partitions = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = columns.mapInArrow(packed, "bucket int, marks binary").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(counted, "bucket int, bits binary")
+    out = np.zeros((2 * BUCKETS, 1 << 13), np.uint8)
     for row in slices.collect():
         out[row.bucket] = np.frombuffer(zlib.decompress(row.bits), np.uint8)
     return out.reshape(-1)
@@ -348,34 +371,41 @@ def repeated_runs(base: DataFrame, run: int) -> DataFrame:
     These are the intervals of the host's suffix array at depth `run`: suffixes that agree in their first `run` words
     lie in one interval, and a longer repeat is a chain of intervals at following places, so the words under their beginnings are those of all repeated
     substrings of `run` words or more. An interval is counted with partial sums, so no task gathers a hot one. A host of n distinct pages must
-    repeat a run on max(2, sqrt(n), n / 20) of them; common says that it does on max(3, n / 2). Pages are counted by their sketches: how many
+    repeat a run on max(2, sqrt(n), n / 20) of them; common says that it does on max(3, n / 2), which is all that a host without open pages needs to
+    know. Pages are counted by their sketches: how many
     different minima there are, for the place of the sketch that a third of all places exceed; so copies with a changed word or menu
     count as one page. Only suffixes that may stand on two pages leave the tasks.
     """
     spark = base.sparkSession
-    twice = spark.sparkContext.broadcast(zlib.compress(_seen_twice(base, run).tobytes(), 1))
-    kinds = pa.schema([("host", pa.string()), ("stream", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    open_hosts, seen = staged_and_seen(base.where("not marked").select("host").distinct(), "html-open", n=F.count("*"))
+    # Hosts with an open page; where they are too many to be broadcast every host is taken for one, which costs work and changes nothing.
+    known = spark.sparkContext.broadcast({r.host for r in open_hosts.toLocalIterator()} if seen["n"] <= BROADCAST_ROWS else None)
+    is_open = lambda host: known.value is None or host in known.value
+    often = spark.sparkContext.broadcast(zlib.compress(_seen_often(base, run, is_open).tobytes(), 1))
+    kinds = pa.schema([("host", pa.string()), ("open", pa.bool_()), ("stream", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(zlib.decompress(twice.value), np.uint8)
-        for _, pages in _pages(batches, run):
+        bits = np.frombuffer(zlib.decompress(often.value), np.uint8)
+        for batch in batches:
             made = []
-            for p in pages:
+            for host, places, texts in _lists(batch):
+                p = _Page(host, places, texts, run)
                 if not len(p.codes):
                     continue
-                keys = np.unique(p.suffixes)
+                keys, opened = np.unique(p.suffixes), is_open(host)
                 bucket, mark = _fingerprints(keys)
-                at = (bucket << 16) + (mark >> 8).astype(np.int64)
-                made.append({"host": p.host, "stream": p.stream, "keys": keys[bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0].tolist(), "sketch": p.sketch()})
-            yield pa.RecordBatch.from_pylist(made, kinds)
+                at = (bucket + (0 if opened else BUCKETS) << 16) + (mark >> 8).astype(np.int64)
+                made.append((host, opened, p.stream, keys[bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0], p.sketch()))
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], f.type) for k, f in enumerate(kinds)], schema=kinds)
 
-    pages = staged(base.mapInArrow(candidates, "host string, stream long, keys array<long>, sketch array<long>"), "html-candidates")
+    pages = staged(base.select("host", "places", "texts").mapInArrow(candidates, "host string, open boolean, stream long, keys array<long>, sketch array<long>"), "html-candidates")
     places = lambda rows, *by: (
         rows.select(*by, F.posexplode("sketch").alias("place", "least")).distinct().groupBy(*by, "place").agg(F.count("*").alias("n"))
         .groupBy(*by).agg(F.get(F.sort_array(F.collect_list("n")), F.lit(SKETCH * 2 // 3)).alias("n"))
     )
-    needed = F.ceil(F.greatest(F.lit(2), F.sqrt("n"), F.col("n") / 20)).cast("long")
-    hosts = staged(places(pages, "host").select("host", needed.alias("needed"), F.greatest(F.lit(3), F.col("n") / 2).alias("most")), "html-hosts")
+    most = F.greatest(F.lit(3), F.ceil(F.col("n") / 2))
+    needed = F.when(F.col("open"), F.ceil(F.greatest(F.lit(2), F.sqrt("n"), F.col("n") / 20))).otherwise(most)
+    hosts = staged(places(pages, "host", "open").select("host", needed.cast("long").alias("needed"), most.alias("most")), "html-hosts")
     each = pages.select("host", "stream", F.explode("keys").alias("key")).distinct()
     common = staged(each.groupBy("host", "key").agg(F.count("*").alias("n")).where("n > 1").join(hosts, "host").where("n >= needed").select("host", "key", "needed", "most"), "html-common")
     held = pages.select("host", "sketch", F.explode("keys").alias("key")).join(common, ["host", "key"])
@@ -406,17 +436,22 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     parts = max(1, -(-repeated.count() // KEYS))
 
     def cleaned(part: int):
-        found = repeated.where(F.pmod(F.xxhash64("host"), F.lit(parts)) == part).select("key", "common").toArrow().sort_by("key")
-        known = spark.sparkContext.broadcast([found.column(c).to_numpy() for c in ("key", "common")])
+        found = repeated.where(F.pmod(F.xxhash64("host"), F.lit(parts)) == part).select("host", "key", "common").toArrow().sort_by("key")
+        known = spark.sparkContext.broadcast([found.column(c).to_numpy() for c in ("key", "common")] + [set(found.column("host").unique().to_pylist())])
 
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, common = known.value
-            for batch, made in _pages(batches, run):
+            key, common, hosts = known.value
+            for batch in batches:
                 texts = []
-                for p in made:
+                for host, places, lines in _lists(batch):
+                    if host not in hosts:
+                        best = _best(places)
+                        texts.append("\n".join(t for w, t in zip(places, lines) if _is_kept(w, best)))
+                        continue
+                    p = _Page(host, places, lines, run)
                     at = np.searchsorted(key, p.suffixes)
                     at[at == len(key)] = 0
-                    gone = key[at] == p.suffixes if len(key) else np.zeros(len(at), bool)
+                    gone = key[at] == p.suffixes
                     if p.marked and gone.any():
                         gone &= common[at]
                     texts.append(p.text(gone, run))

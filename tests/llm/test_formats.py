@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import math
 import random
 import time
 import zipfile
@@ -11,7 +12,7 @@ import duckdb
 import pytest
 from ferrule.llm.chat import OP5_SQL, escape, format_chat, loss_texts, op5_chat_format, read_chat, unescape
 from ferrule.llm.html_text import blocks, extract_text
-from ferrule.llm.mixing import mix_sources, water_filled
+from ferrule.llm.mixing import mix_sources, tilts, water_filled, whole_copies
 from ferrule.llm.warc_zip import _open_fs, central_directory, list_records, read_archives, record_bytes, surt, write_pages
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as hs
@@ -29,6 +30,15 @@ def chats():
     return rows
 
 
+def test_roles_with_control_characters_and_long_conversations(spark):
+    roles = ["us\ner", "\\n", "\\\n", "a\\", "\n", "", "<|im_end|>\n", "x\\nb", "assistant"]
+    rows = [(1, k, r, f"text {k}\n") for k, r in enumerate(roles)] + [(2, k, "assistant" if k % 3 else "user", f"t{k}" * (k % 4)) for k in range(997)]
+    out = format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).withColumn("back", read_chat(F.col("formatted"))).withColumn("loss", loss_texts(F.col("formatted"), F.col("loss_spans")))
+    for r in out.collect():
+        mine = [x for x in rows if x[0] == r.conv_id]
+        assert [(t.role, t.text) for t in r.back] == [x[2:] for x in mine] and r.loss == "".join(x[3] for x in mine if x[2] == "assistant")
+
+
 def test_chat_round_trip_and_mask(spark):
     rows = chats()
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, formatted int")
@@ -61,7 +71,7 @@ def test_chat_query_against_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     got = sorted(tuple(r) for r in op5_chat_format(spark, str(tmp_path)).collect())
-    assert [g[:5] for g in got] == [tuple(w[:5]) for w in sorted(con.execute(OP5_SQL).fetchall())]
+    assert got == [tuple(w) for w in sorted(con.execute(OP5_SQL).fetchall())]
 
 
 def sizes(spark, spec, tail=()):
@@ -104,6 +114,44 @@ def test_mixing_of_odd_rows(spark):
     assert mix_sources(df.limit(0)).count() == 0
 
 
+def test_mixing_carries_columns_whatever_their_names(spark):
+    df = sizes(spark, [("a", 20, 1, 30), ("b", 20, 1, 30)]).select("doc_id", "text", "source", *[F.lit(k).alias(n) for k, n in enumerate(["s", "z", "h", "row", "__s", "chunk", "n", "target", "Size"])])
+    got = mix_sources(df)
+    assert got.columns == ["doc_id", "text", "source", "s", "z", "h", "row", "__s", "chunk", "n", "size", "source_size", "target", "copies", "taken"]
+    assert {(r.s, r.z, r.h, r.row, r["__s"], r.chunk, r.n) for r in got.collect()} == {(0, 1, 2, 3, 4, 5, 6)} and got.count() == 40
+
+
+def test_tilts_against_bisection(spark):
+    """The multipliers of the convex dual, found once more by halving for each source alone."""
+    rng = random.Random(3)
+    hist = [(s, z, rng.randrange(1, 9), z / 40) for s in "abc" for z in rng.sample(range(1, 90), 25)]
+    total = {s: sum(n * z for t, z, n, _ in hist if t == s) for s in "abc"}
+    wanted = {"a": 0.4 * total["a"], "b": 1.7 * total["b"], "c": 2.9 * total["c"]}
+    got = {r.source: r.lam for r in tilts(spark.createDataFrame(hist, "source string, size long, n long, x double"), spark.createDataFrame(list(wanted.items()), "source string, target double")).collect()}
+    for s, target in wanted.items():
+        words = lambda lam, s=s: sum(n * z * min(3, math.exp(min(lam * x, 50))) for t, z, n, x in hist if t == s)
+        lo, hi = -4000.0, 4000.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if words(mid) < target else (lo, mid)
+        assert abs(words(got[s]) - target) <= 1e-6 * target and abs(got[s] - lo) < 1e-4
+    with pytest.raises(RuntimeError, match="did not come"):
+        tilts(spark.createDataFrame(hist, "source string, size long, n long, x double"), spark.createDataFrame(list(wanted.items()), "source string, target double"), steps=3)
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_rounding_ends_near_the_words_wanted(spark, block):
+    rng = random.Random(block)
+    groups = [(s, z, rng.randrange(1, 7), rng.random() * 3) for s in "ab" for z in rng.sample(range(1, 5000), 40)]
+    out = whole_copies(spark.createDataFrame(groups, "source string, size long, n long, rate double"), block=block).collect()
+    assert sorted((r.source, r.size) for r in out) == sorted((s, z) for s, z, *_ in groups)
+    rate = {(s, z): r for s, z, _, r in groups}
+    for s in "ab":
+        mine = [r for r in out if r.source == s]
+        assert all(0 <= r.k <= 3 * r.n for r in mine)
+        assert abs(sum(r.k * r.size - r.n * r.size * rate[s, r.size] for r in mine)) <= max(min(r.size for r in mine), 50)
+
+
 def test_water_filling(spark):
     got = {r.source: r.target for r in water_filled(spark.createDataFrame([("a", 100), ("b", 10), ("c", 890)], "source string, total long")).collect()}
     assert got["b"] == 30 and abs(got["a"] - 970 / 4) < 1e-9 and abs(got["c"] - 970 * 3 / 4) < 1e-9

@@ -59,3 +59,28 @@ def test_run_gives_the_mix(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     words = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", F.regexp_count("text", F.lit(WORD)).alias("n"))
     assert out.count() > 150 and out.join(words, "doc_id").where("size > n").isEmpty()
+
+
+def test_stages_with_clashing_columns_and_odd_rows(spark, folder):
+    """Columns named like what the operators make or use inside come through with their values; repeated ids, nulls and long texts too."""
+    w = " ".join(f"word{i} goes here." for i in range(40))
+    z = " ".join(f"other{i} text stands there." for i in range(40))
+    rows = [(0, w), (1, w + " tail"), (1, z), (1, z), (2, None), (3, ""), (None, z), (4, "Long lines of words. " * 20_000)]
+    extra = {"hits": 1, "quality_keep": 2, "n_lines": 3, "body": 4, "key": 5, "row": 6, "size": 7, "first": 8, "h": 9}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    docs = docs.select("*", *[F.lit(v).alias(k) for k, v in extra.items()])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        got = out.collect()
+        assert got and all(r[k] == v for r in got for k, v in extra.items()), name
+        if name == "minhash_dedup":
+            assert sorted(((r.doc_id, (r.text or "")[:8]) for r in got), key=str) == sorted([(0, "word0 go"), (1, "other0 t"), (2, ""), (3, ""), (None, "other0 t"), (4, "Long lin")], key=str)
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert mixed.count() == len(rows)
+
+
+def test_stages_of_an_empty_table(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).count() == 0, name
