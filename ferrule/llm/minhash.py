@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     such name of each component that stands for it.
 
     Equal sets become one representative, named by the digest of the set. Its HyperMinHash registers are cut into bands. Within a
-    band all meet its smallest member, then the members of other components that with most links and a third one by hash: they pass a
+    band all meet its smallest member, then those that it is not linked to the one with most links and a third one by hash: they pass a
     size test and the collision-corrected estimate, and are confirmed on their full sets. Bands with equal members count once.
     Links make components; then within each band every pair whose ends still lie in different components is put to the same
     tests, block against block inside tasks, and only what joins two components comes out. So a group of copies costs its size and not
@@ -316,21 +316,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return mates.join(known, "rep", "left").select("band", "number", "rep", "hub", F.coalesce("c", "rep").alias("c"))
 
     links, _ = confirmed(mates.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-    # Those that are not with another member of their band: the one with most links, and one by hash.
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    here = placed(components(links, "minhash-components")).join(degree, "rep", "left")
-    by_links, by_hash = F.struct(F.coalesce("links", F.lit(0)).alias("by"), "rep", "c"), F.struct(F.xxhash64("rep").alias("by"), "rep", "c")
-    tops = here.groupBy("band").agg(F.array(F.max(by_links), F.max(by_hash)).alias("tops")).select("band", F.explode("tops").alias("top"))
-    further, _ = confirmed(here.join(tops, "band").where("c <> top.c and top.rep <> hub").select(F.col("rep").alias("a"), F.col("top.rep").alias("b")))
-    both = links.unionByName(further)
-    final = components(both, "minhash-components")
+    # Members that their hub is not linked to meet two more: the one with most links, and one by hash.
+    ends = links.select(F.col("a").alias("rep"), F.col("b").alias("hub")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("hub")))
+    degree = ends.groupBy("rep").agg(F.count("*").alias("links"))
+    here = mates.join(ends.withColumn("with_hub", F.lit(True)), ["rep", "hub"], "left").join(degree, "rep", "left")
+    by_links, by_hash = F.struct(F.coalesce("links", F.lit(0)).alias("by"), "rep"), F.struct(F.xxhash64("rep").alias("by"), "rep")
+    tops = here.groupBy("band").agg(F.array(F.max(by_links), F.max(by_hash)).alias("tops")).select("band", F.explode("tops.rep").alias("top"))
+    apart = here.where("with_hub is null and rep <> hub").select("band", "rep", "hub").join(tops, "band").where("top <> hub")
+    further, _ = confirmed(apart.select(F.col("rep").alias("a"), F.col("top").alias("b")))
+    final = components(links.unionByName(further), "minhash-components")
     here = placed(final)
     mixed = here.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
     apart = staged(here.drop("hub").join(mixed, "band").join(reps.select("rep", "n", "regs"), "rep"), "minhash-apart")
     worth = _across(apart, percent, False).distinct()
     more, seen = staged_and_seen(_across(apart.join(worth, ["band", "rep"]).join(sets, "rep"), percent, True), "minhash-links", n=F.count("*"))
-    if seen["n"]:
-        final = components(both.unionByName(more), "minhash-components")
+    if seen["n"]:  # components of components: only what the last links touch is gone through again
+        known = final.select(F.col("node").alias("rep"), F.col("component").alias("c"))
+        ends = more.join(known, F.col("a") == F.col("rep"), "left").select(F.coalesce("c", "a").alias("a"), "b")
+        ends = ends.join(known, F.col("b") == F.col("rep"), "left").select("a", F.coalesce("c", "b").alias("b"))
+        merged = components(ends, "minhash-components").select(F.col("node").alias("c"), F.col("component").alias("now"))
+        lone = merged.join(final.select(F.col("component").alias("c")), "c", "left_anti").select(F.col("c").alias("node"), F.col("now").alias("component"))
+        moved = final.withColumnRenamed("component", "c").join(merged, "c", "left").select("node", F.coalesce("now", "c").alias("component"))
+        final = moved.unionByName(lone)
     unstage(mates, apart, more, nodes, sets, links, further)
     # A component's document is the least of its representatives' least ones.
     owner = reps.select("rep", "least").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "least", F.coalesce("component", "rep").alias("component"))
