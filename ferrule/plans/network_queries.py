@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ferrule.operators import census, clauses, graph, resolve
+from ferrule.operators import census, clauses, concepts, graph, resolve
 from ferrule.operators.rules import Literal, Rule, consequences
 from ferrule.plans.registry import query
 from ferrule.sources.tables import table
@@ -147,6 +147,73 @@ def kb_priority_order(spark, d):
     return resolve.by_rank(rows, ("customer", "supplier"), "kind", "weight", "id", ["nation"]).select("kind", "id", "nation", "place")
 
 
+_CONCEPT_KINDS = ("supplier", "part", "nation")
+
+
+@query(f"""with {_E}, n as (select 'part:' || p_partkey as id, 'part' as kind, p_name as label from part where p_partkey in (select l_partkey from lineitem) union all select 'supplier:' || s_suppkey, 'supplier', s_name from supplier)
+           select id, kind, label, case when lower(label) like 'ring%' then 2 when lower(label) like '% ring%' then 3 else 4 end as score from n where lower(label) || ' ' || lower(id) || ' ' || kind like '%ring%' order by score, label, kind, id limit 10""")
+def kb_concept_search(spark, d):
+    nodes = graph.star_nodes(spark, d)
+    return concepts.search_concepts(nodes, census.concept_relations(_edges(spark, d), nodes, _CONCEPT_KINDS), "ring", 10, _CONCEPT_KINDS)
+
+
+@query("""with recursive e as (select 'supplier:' || l_suppkey as a, 'part:' || l_partkey as b from lineitem union select 'part:' || l_partkey, 'supplier:' || l_suppkey from lineitem union select 'supplier:' || s_suppkey, 'nation:' || s_nationkey from supplier
+            union select 'nation:' || s_nationkey, 'supplier:' || s_suppkey from supplier),
+          b(node, depth) as (select 'supplier:1', 0 union select e.b, depth + 1 from b join e on a = node where depth < 4) select min(depth)::int as length from b where node = 'part:9'""")
+def kb_concept_path_len(spark, d):
+    path = concepts.shortest_concept_path(_edges(spark, d), graph.star_nodes(spark, d), "supplier:1", "part:9", 4, _CONCEPT_KINDS)
+    return path.agg(F.max("step").alias("length"))
+
+
+@query(f"""with {_E}, r as (select * from e where kind <> 'operator' and split_part(source, ':', 1) in ('supplier', 'part') and split_part(target, ':', 1) in ('part', 'nation'))
+           select (select count(distinct n) from (select source as n from r union select target from r)) as nodes, (select count(*) from (select distinct kind, label, source, target, coalesce(scope, '') from r)) as relations""")
+def kb_concept_counts(spark, d):
+    nodes = graph.star_nodes(spark, d)
+    return concepts.concept_counts(nodes, census.concept_relations(_edges(spark, d), nodes, _CONCEPT_KINDS), _CONCEPT_KINDS)
+
+
+@query(f"""with {_E}, r as (select * from e where kind <> 'operator' and split_part(source, ':', 1) in ('supplier', 'part') and split_part(target, ':', 1) in ('part', 'nation'))
+           select node, count(*) as relations, sum(o)::bigint as out, sum(1 - o)::bigint as into from (select source as node, 1 as o from r union all select target, 0 from r) group by 1""")
+def kb_concept_incidence(spark, d):
+    return concepts.incidence(census.concept_relations(_edges(spark, d), graph.star_nodes(spark, d), _CONCEPT_KINDS))
+
+
+_SCOPED = """v as (select event_id, user_id % 50 as a, (user_id + event_id) % 50 as b, event_type, case event_type when 'click' then 'may' when 'view' then '- should' else '' end as scope,
+  case when event_id % 3 = 0 then 'can' when event_id % 3 = 1 then null else '- should' end as far from events)"""
+
+
+def _scoped(spark, d):
+    chains = spark.createDataFrame([("c", ["may"]), ("v", ["-", "should"]), ("f", ["can"])], "id string, chain array<string>")
+    near = F.when(c("event_type") == "click", "c").when(c("event_type") == "view", "v")
+    far = F.when(c("event_id") % 3 == 0, "f").when(c("event_id") % 3 == 2, "v")
+    edges = table(spark, d, "events").select(c("event_id").alias("id"), (c("user_id") % 50).alias("source"), ((c("user_id") + c("event_id")) % 50).alias("target"), c("event_type").alias("label"), near.alias("scope_id"), far.alias("far_id"))
+    return concepts.with_scopes(edges, chains)
+
+
+@query(f"""with {_SCOPED} select event_id as id, scope, coalesce(far, '') as far, case when a = 7 then scope else coalesce(far, '') end as near_end, case when a = 7 then coalesce(far, '') else scope end as far_end from v where a = 7 or b = 7""")
+def kb_scope_reading(spark, d):
+    text = lambda x: F.array_join(x, " ")
+    rows = _scoped(spark, d).where("source = 7 or target = 7")
+    seen = concepts.scope_reading(c("scope"), c("far"), c("source") != 7)
+    return rows.select("id", text(c("scope")).alias("scope"), F.coalesce(text(c("far")), F.lit("")).alias("far"), text(seen["near"]).alias("near_end"), text(seen["far"]).alias("far_end"))
+
+
+@query(f"""with {_SCOPED} select event_id as id, case when event_id % 10 = 0 then 'highlight' else 'context' end as state, scope like '-%' or coalesce(far like '-%', false) as dashed,
+           event_type || case when scope <> '' then ' · ' || scope else '' end || case when far is not null and far <> scope then ' → ' || far else '' end as label from v""")
+def kb_edge_views(spark, d):
+    edges = _scoped(spark, d)
+    return concepts.edge_views(edges, edges.where("id % 10 = 0").select("id"))
+
+
+@query("""with l as (select distinct 'supplier:' || l_suppkey as s, 'part:' || l_partkey as t, l_orderkey as d, l_linenumber as n from lineitem)
+          select 'concept:' || s as key, s as subject, s as member from l union select 'concept:' || s, s, t from l union select 'concept:' || t, t, t from l union select 'concept:' || t, t, s from l
+          union select 'rule:' || d || ':' || n, null, s from l union select 'rule:' || d || ':' || n, null, t from l""")
+def kb_focus_sets(spark, d):
+    items = table(spark, d, "lineitem").select(graph.node_id("supplier", c("l_suppkey")).alias("source"), graph.node_id("part", c("l_partkey")).alias("target"), c("l_orderkey").alias("document"), c("l_linenumber").alias("sentence"))
+    line = F.concat_ws("|", "source", "target").alias("line")
+    return concepts.focus_sets(items.select(line, "source", "target").distinct(), items.select(line, "document", "sentence").distinct())
+
+
 # References
 
 
