@@ -12,6 +12,7 @@ from urllib.parse import urlsplit
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ NAMED = frozenset("ad ads advert advertisement sponsored comments comment-list d
 HOLDERS = frozenset("div section ul ol dl table".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 _ARTICLES = frozenset("articlebody article-body article-content post-body post-content entry-content story-body".split())
+#: A page without any of these tags is open.
+MARKED = r"(?i)<(?:article|main)[\s>]"
 #: Where a block stands.
 ARTICLE, MAIN, OPEN, BOILER = 0, 1, 2, 3
 #: So many open elements, from the innermost on, are looked through for the one that an end tag ends.
@@ -212,19 +215,8 @@ def _host(url: str | None) -> str:
         return ""
 
 
-_known: dict[str, int] = {}
-
-
-def _code(word: str) -> int:
-    if len(_known) >= 500_000:
-        _known.clear()
-    code = _known[word] = xxhash.xxh64_intdigest(word)
-    return code
-
-
 def _codes(words: list[str]) -> np.ndarray:
-    get = _known.get
-    return np.fromiter((get(w) or _code(w) for w in words), np.uint64, len(words))
+    return hash_array(np.array(words, object), categorize=False) if words else np.zeros(0, np.uint64)
 
 
 def _suffixes(codes: np.ndarray, run: int, start: int = 0) -> np.ndarray:
@@ -295,28 +287,22 @@ class _Page:
         return np.cumsum(change[:-1]) > 0
 
 
-def _lists(batch: pa.RecordBatch) -> Iterator[tuple[str, list[int], list[str]]]:
-    """Host, places and texts of each page."""
-    yield from zip(batch.column("host").to_pylist(), batch.column("places").to_pylist(), batch.column("texts").to_pylist())
+def _parsed(batch: pa.RecordBatch) -> Iterator[tuple[str, list[int], list[str]]]:
+    """Host, places and texts of each page of (url, html)."""
+    for url, page in zip(batch.column("url").to_pylist(), batch.column("html")):
+        found = blocks(page.as_py())
+        yield _host(url), [w for w, _ in found], [t for _, t in found]
 
 
-def _parsed(base: DataFrame) -> DataFrame:
-    """(page_id, url, html) to (page_id, url, host, marked, places, texts): a place and a text for each block."""
+def _open_hosts(base: DataFrame) -> DataFrame:
+    """(host) of the pages that hold no tag of an article or main part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                some = batch.slice(start, 500)
-                made = [blocks(h.as_py()) for h in some.column("html")]
-                places = [[w for w, _ in x] for x in made]
-                columns = [
-                    some.column("page_id"), some.column("url"), pa.array([_host(u) for u in some.column("url").to_pylist()], pa.string()), pa.array([_best(p) is not None for p in places], pa.bool_()),
-                    pa.array(places, pa.list_(pa.int8())), pa.array([[t for _, t in x] for x in made], pa.list_(pa.string())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "marked", "places", "texts"])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({_host(u) for u in batch.column("url").to_pylist()}), pa.string())], ["host"])
 
-    shape = base.select("page_id", "url", F.lit("").alias("host"), F.lit(True).alias("marked"), F.array().cast("array<tinyint>").alias("places"), F.array().cast("array<string>").alias("texts")).schema
-    return base.mapInArrow(run, shape)
+    bare = base.where("html <> ''").where(~F.col("html").rlike(MARKED))
+    return bare.select("url").mapInArrow(run, "host string").distinct()
 
 
 def _fingerprints(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -326,7 +312,7 @@ def _fingerprints(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seen_often(base: DataFrame, run: int, is_open) -> np.ndarray:
-    """Two parts of 2^28 bits, as bytes: for hosts with an open page, bits set wherever a suffix stands on two pages of its host, and for other hosts on three; by chance elsewhere.
+    """Two parts of 2^28 bits, as bytes: for hosts with a page that marks nothing, bits set wherever a suffix stands on two pages of its host, and for other hosts on three; by chance elsewhere.
 
     Suffixes travel as 3 bytes each, packed by bucket, and each bucket owns 8 KB of the bits, so what comes to the driver does not grow.
     """
@@ -334,7 +320,7 @@ def _seen_often(base: DataFrame, run: int, is_open) -> np.ndarray:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: tuple[list, list] = ([], [])
-            for host, places, texts in _lists(batch):
+            for host, places, texts in _parsed(batch):
                 suffixes = _Page(host, places, texts, run).suffixes
                 if len(suffixes):
                     bucket, mark = _fingerprints(np.unique(suffixes))
@@ -356,7 +342,7 @@ def _seen_often(base: DataFrame, run: int, is_open) -> np.ndarray:
             bits[mark[n > (1 if one.column("bucket")[0].as_py() < BUCKETS else 2)] >> 8] = 1
             yield pa.RecordBatch.from_arrays([one.column("bucket").slice(0, 1), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["bucket", "bits"])
 
-    columns = base.select("host", "places", "texts")
+    columns = base.select("url", "html")
     partitions = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = columns.mapInArrow(packed, "bucket int, marks binary").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(counted, "bucket int, bits binary")
     out = np.zeros((2 * BUCKETS, 1 << 13), np.uint8)
@@ -372,12 +358,12 @@ def repeated_runs(base: DataFrame, run: int) -> DataFrame:
     lie in one interval, and a longer repeat is a chain of intervals at following places, so the words under their beginnings are those of all repeated
     substrings of `run` words or more. An interval is counted with partial sums, so no task gathers a hot one. A host of n distinct pages must
     repeat a run on max(2, sqrt(n), n / 20) of them; common says that it does on max(3, n / 2), which is all that a host without open pages needs to
-    know. Pages are counted by their sketches: how many
+    know (a page that holds one of the tags MARKED is not open here). Pages are counted by their sketches: how many
     different minima there are, for the place of the sketch that a third of all places exceed; so copies with a changed word or menu
     count as one page. Only suffixes that may stand on two pages leave the tasks.
     """
     spark = base.sparkSession
-    open_hosts, seen = staged_and_seen(base.where("not marked").select("host").distinct(), "html-open", n=F.count("*"))
+    open_hosts, seen = staged_and_seen(_open_hosts(base), "html-open", n=F.count("*"))
     # Hosts with an open page; where they are too many to be broadcast every host is taken for one, which costs work and changes nothing.
     known = spark.sparkContext.broadcast({r.host for r in open_hosts.toLocalIterator()} if seen["n"] <= BROADCAST_ROWS else None)
     is_open = lambda host: known.value is None or host in known.value
@@ -388,7 +374,7 @@ def repeated_runs(base: DataFrame, run: int) -> DataFrame:
         bits = np.frombuffer(zlib.decompress(often.value), np.uint8)
         for batch in batches:
             made = []
-            for host, places, texts in _lists(batch):
+            for host, places, texts in _parsed(batch):
                 p = _Page(host, places, texts, run)
                 if not len(p.codes):
                     continue
@@ -398,7 +384,7 @@ def repeated_runs(base: DataFrame, run: int) -> DataFrame:
                 made.append((host, opened, p.stream, keys[bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0], p.sketch()))
             yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], f.type) for k, f in enumerate(kinds)], schema=kinds)
 
-    pages = staged(base.select("host", "places", "texts").mapInArrow(candidates, "host string, open boolean, stream long, keys array<long>, sketch array<long>"), "html-candidates")
+    pages = staged(base.select("url", "html").mapInArrow(candidates, "host string, open boolean, stream long, keys array<long>, sketch array<long>"), "html-candidates")
     places = lambda rows, *by: (
         rows.select(*by, F.posexplode("sketch").alias("place", "least")).distinct().groupBy(*by, "place").agg(F.count("*").alias("n"))
         .groupBy(*by).agg(F.get(F.sort_array(F.collect_list("n")), F.lit(SKETCH * 2 // 3)).alias("n"))
@@ -431,8 +417,7 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     """
     base = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html_column}`").alias("html"))
     spark = base.sparkSession
-    parsed = staged(_parsed(base), "html-parsed")
-    repeated = repeated_runs(parsed, run)
+    repeated = repeated_runs(base, run)
     parts = max(1, -(-repeated.count() // KEYS))
 
     def cleaned(part: int):
@@ -443,7 +428,7 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
             key, common, hosts = known.value
             for batch in batches:
                 texts = []
-                for host, places, lines in _lists(batch):
+                for host, places, lines in _parsed(batch):
                     if host not in hosts:
                         best = _best(places)
                         texts.append("\n".join(t for w, t in zip(places, lines) if _is_kept(w, best)))
@@ -459,9 +444,13 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
 
         return clean
 
-    shape = parsed.select("page_id", "url", F.lit("").alias("text")).schema
-    # Hosts are dealt into parts, each with its own keys.
-    done = reduce(DataFrame.unionByName, [parsed.where(F.pmod(F.xxhash64("host"), F.lit(parts)) == k).mapInArrow(cleaned(k), shape) for k in range(parts)])
+    shape = base.select("page_id", "url", F.lit("").alias("text")).schema
+    if parts == 1:
+        done = base.mapInArrow(cleaned(0), shape)
+    else:  # hosts are dealt into parts, each with its own keys
+        host = F.pandas_udf(lambda u: u.map(_host), "string")(F.col("url"))
+        dealt = base.withColumn("part", F.pmod(F.xxhash64(host), F.lit(parts)))
+        done = reduce(DataFrame.unionByName, [dealt.where(F.col("part") == k).drop("part").mapInArrow(cleaned(k), shape) for k in range(parts)])
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -122,10 +122,9 @@ def _banded(reps: DataFrame) -> DataFrame:
             if batch.num_rows:
                 regs = np.stack([np.frombuffer(r.as_py(), np.uint8) for r in batch.column("regs")])
                 keys = band_keys(regs).ravel()
-                number = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(number), batch.column("rep").take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], ["band", "number", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("rep").take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], ["band", "rep"])
 
-    return reps.select("rep", "regs").mapInArrow(run, "band long, number int, rep binary")
+    return reps.select("rep", "regs").mapInArrow(run, "band long, rep binary")
 
 
 def _floor(n: np.ndarray, wanted: float) -> np.ndarray:
@@ -134,15 +133,15 @@ def _floor(n: np.ndarray, wanted: float) -> np.ndarray:
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
-    """Rows of bands dealt into (band, lo, hi): pairs of different components meet in one group, and no group has more than two blocks.
+    """Rows of groups dealt into (hub, lo, hi): pairs of different components meet in one part, and no part has more than two blocks.
 
-    In a band of more than BLOCK members the members of its largest component never meet each other: they form blocks of their own
+    In a group of more than BLOCK members the members of its largest component never meet each other: they form blocks of their own
     that meet only the blocks of the rest. So a large group that is nearly one component costs its size, not its square.
     """
-    by_component = rows.groupBy("band", "c").agg(F.count("*").alias("k"))
-    sizes = by_component.groupBy("band").agg(F.sum("k").alias("all"), F.max(F.struct("k", "c")).alias("top")).where(F.col("all") > BLOCK)
+    by_component = rows.groupBy("hub", "c").agg(F.count("*").alias("k"))
+    sizes = by_component.groupBy("hub").agg(F.sum("k").alias("all"), F.max(F.struct("k", "c")).alias("top")).where(F.col("all") > BLOCK)
     sizes = sizes.select(
-        F.col("band").alias("bb"),
+        F.col("hub").alias("bb"),
         F.col("top.c").alias("main"),
         F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("rest_blocks"),
         F.ceil(F.col("top.k") / BLOCK).cast("int").alias("main_blocks"),
@@ -151,7 +150,7 @@ def _blocked(rows: DataFrame) -> DataFrame:
     block = F.when(F.col("is_main"), F.col("rest_blocks") + F.pmod(h, F.col("main_blocks"))).otherwise(F.pmod(h, F.col("rest_blocks")))
     last = F.col("rest_blocks") - 1 + F.when(F.col("is_main"), 0).otherwise(F.col("main_blocks"))
     dealt = (
-        rows.join(sizes, F.col("band") == F.col("bb"), "left")
+        rows.join(sizes, F.col("hub") == F.col("bb"), "left")
         .withColumn("is_main", F.coalesce(F.col("c") == F.col("main"), F.lit(False)))
         .withColumn("block", F.when(small, 0).otherwise(block).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(small, 0).otherwise(last))))
@@ -160,22 +159,22 @@ def _blocked(rows: DataFrame) -> DataFrame:
         .drop("bb", "main", "rest_blocks", "main_blocks", "is_main", "other")
     )
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(partitions, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    return dealt.repartition(partitions, "hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi")
 
 
 def _across(rows: DataFrame, percent: int, verify: bool) -> DataFrame:
-    """Pairs of different components within each band, without listing them.
+    """Pairs of different components within each group, without listing them.
 
-    rows: (band, number, rep, c, n, regs), with set too where verify. A pair is looked at in the first band that its ends share, if sizes and
-    estimate allow the similarity. Without verify: (band, rep) of those that have such a pair. With verify: links (a, b), one for each two
+    rows: (hub, rep, c, n, regs), with set too where verify. A pair is looked at if its ends share a band, and sizes and
+    estimate allow the similarity. Without verify: (hub, rep) of those that have such a pair. With verify: links (a, b), one for each two
     components that a group joins.
     """
     wanted = percent / 100
-    kind, names = (pa.binary(), ["a", "b"]) if verify else (pa.int64(), ["band", "rep"])
+    kind, names = (pa.binary(), ["a", "b"]) if verify else (pa.binary(), ["hub", "rep"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = [], []
-        for group in runs(batches, "band", "lo", "hi"):
+        for group in runs(batches, "hub", "lo", "hi"):
             m = group.num_rows
             if m < 2:
                 continue
@@ -184,7 +183,7 @@ def _across(rows: DataFrame, percent: int, verify: bool) -> DataFrame:
             if len(sizes) < 2:
                 continue
             regs = np.stack([np.frombuffer(r.as_py(), np.uint8) for r in group.column("regs")])
-            band, number = group.column("band")[0].as_py(), group.column("number")[0].as_py()
+            hub = group.column("hub")[0].as_py()
             apart = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
             sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("set")] if verify else []
             largest, root, seen, order = int(sizes.argmax()), np.arange(len(sizes)), np.zeros(m, bool), np.arange(m)
@@ -198,7 +197,7 @@ def _across(rows: DataFrame, percent: int, verify: bool) -> DataFrame:
                 agree = regs[j] == regs[i]
                 good = (agree.mean(axis=1) - COLLISION) / (1 - COLLISION) >= _floor(np.minimum(n[j], n[i]), wanted)
                 j, agree = j[good], agree[good]
-                j = j[agree.reshape(len(j), BANDS, BAND).all(axis=2).argmax(axis=1) == number]
+                j = j[agree.reshape(len(j), BANDS, BAND).all(axis=2).any(axis=1)]
                 if not len(j):
                     continue
                 if not verify:
@@ -213,7 +212,7 @@ def _across(rows: DataFrame, percent: int, verify: bool) -> DataFrame:
                         first.append(rep[i])
                         second.append(rep[k])
             if not verify and seen.any():
-                first.extend([band] * int(seen.sum()))
+                first.extend([hub] * int(seen.sum()))
                 second.extend(rep[k] for k in np.flatnonzero(seen))
             if len(first) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(first, kind), pa.array(second, pa.binary())], names)
@@ -221,7 +220,7 @@ def _across(rows: DataFrame, percent: int, verify: bool) -> DataFrame:
         if first:
             yield pa.RecordBatch.from_arrays([pa.array(first, kind), pa.array(second, pa.binary())], names)
 
-    return _blocked(rows).mapInArrow(run, "a binary, b binary" if verify else "band long, rep binary")
+    return _blocked(rows).mapInArrow(run, "a binary, b binary" if verify else "hub binary, rep binary")
 
 
 def _promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -278,10 +277,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     the document's own. body is a hash of the text, so (doc_id, body) names a row of docs even where ids repeat; first marks the one
     such name of each component that stands for it.
 
-    Equal sets become one representative, named by the digest of the set. Its HyperMinHash registers are cut into bands. Within a
-    band all meet its smallest member, then those that it is not linked to the one with most links and a third one by hash: they pass a
-    size test and the collision-corrected estimate, and are confirmed on their full sets. Bands with equal members count once.
-    Links make components; then within each band every pair whose ends still lie in different components is put to the same
+    Equal sets become one representative, named by the digest of the set. Its HyperMinHash registers are cut into bands, and the bands that
+    have the same smallest member, its at most 42, make one group. All members of a group meet that hub, then those that it is not linked to the member
+    with most links and a third one by hash: they pass a size test and the collision-corrected estimate, and are confirmed on their full sets.
+    Links make components; then within each group every pair that shares a band and whose ends still lie in different components is put to the same
     tests, block against block inside tasks, and only what joins two components comes out. So a group of copies costs its size and not
     its square, while no link between components is passed over. A pair at 80 % shares no band with a probability near 3 in a million.
 
@@ -296,9 +295,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     reps = staged(reps, "minhash-representatives")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bands = _banded(reps).repartition(partitions, "band")  # one exchange, read by the aggregate and by the join
-    shared = bands.groupBy("band", "number").agg(F.min("rep").alias("hub"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("k > 1")
-    shared = shared.groupBy("hub", "k", "members").agg(F.min(F.struct("number", "band")).alias("b")).select("b.band", "hub")
-    mates = staged(bands.join(shared, "band"), "minhash-mates")
+    shared = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("k > 1")
+    shared = shared.groupBy("hub", "k", "members").agg(F.min("band").alias("band")).select("band", "hub")
+    mates = staged(bands.join(shared, "band").select("hub", "rep").distinct(), "minhash-mates")
     # Sets of the documents that share a band with another.
     nodes = mates.select("rep").distinct().join(reps.select("rep", "least.*"), "rep")
     nodes, seen = staged_and_seen(nodes, "minhash-nodes", n=F.count("*"))
@@ -313,7 +312,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     def placed(of: DataFrame) -> DataFrame:
         known = of.withColumnRenamed("node", "rep").withColumnRenamed("component", "c")
-        return mates.join(known, "rep", "left").select("band", "number", "rep", "hub", F.coalesce("c", "rep").alias("c"))
+        return mates.join(known, "rep", "left").select("hub", "rep", F.coalesce("c", "rep").alias("c"))
 
     links, _ = confirmed(mates.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
     # Members that their hub is not linked to meet two more: the one with most links, and one by hash.
@@ -321,15 +320,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     degree = ends.groupBy("rep").agg(F.count("*").alias("links"))
     here = mates.join(ends.withColumn("with_hub", F.lit(True)), ["rep", "hub"], "left").join(degree, "rep", "left")
     by_links, by_hash = F.struct(F.coalesce("links", F.lit(0)).alias("by"), "rep"), F.struct(F.xxhash64("rep").alias("by"), "rep")
-    tops = here.groupBy("band").agg(F.array(F.max(by_links), F.max(by_hash)).alias("tops")).select("band", F.explode("tops.rep").alias("top"))
-    apart = here.where("with_hub is null and rep <> hub").select("band", "rep", "hub").join(tops, "band").where("top <> hub")
+    tops = here.groupBy("hub").agg(F.array(F.max(by_links), F.max(by_hash)).alias("tops")).select("hub", F.explode("tops.rep").alias("top"))
+    apart = here.where("with_hub is null and rep <> hub").select("hub", "rep").join(tops, "hub").where("top <> hub")
     further, _ = confirmed(apart.select(F.col("rep").alias("a"), F.col("top").alias("b")))
     final = components(links.unionByName(further), "minhash-components")
     here = placed(final)
-    mixed = here.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    apart = staged(here.drop("hub").join(mixed, "band").join(reps.select("rep", "n", "regs"), "rep"), "minhash-apart")
+    mixed = here.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("hub")
+    apart = staged(here.join(mixed, "hub").join(reps.select("rep", "n", "regs"), "rep"), "minhash-apart")
     worth = _across(apart, percent, False).distinct()
-    more, seen = staged_and_seen(_across(apart.join(worth, ["band", "rep"]).join(sets, "rep"), percent, True), "minhash-links", n=F.count("*"))
+    more, seen = staged_and_seen(_across(apart.join(worth, ["hub", "rep"]).join(sets, "rep"), percent, True), "minhash-links", n=F.count("*"))
     if seen["n"]:  # components of components: only what the last links touch is gone through again
         known = final.select(F.col("node").alias("rep"), F.col("component").alias("c"))
         ends = more.join(known, F.col("a") == F.col("rep"), "left").select(F.coalesce("c", "a").alias("a"), "b")
