@@ -31,7 +31,7 @@ LABELLERS = (
     ("digit_share", 7, 0.10, 0.75),
 )
 #: Hashed features: runs of character classes, words, and pairs of words, each in a part of its own.
-SHAPES, WORDS, PAIRS = 1 << 13, 1 << 14, 1 << 14
+SHAPES, WORDS, PAIRS = 1 << 13, 1 << 12, 1 << 12
 DIMS = SHAPES + WORDS + PAIRS
 _CLASSES = 12
 
@@ -100,7 +100,7 @@ def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
     if len(codes) > 1:
         pairs = (codes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ codes[1:]
         pairs = (pairs ^ (pairs >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        parts.append(_counted((pairs >> np.uint64(50)).astype(np.int64), PAIRS, SHAPES + WORDS))
+        parts.append(_counted((pairs >> np.uint64(52)).astype(np.int64), PAIRS, SHAPES + WORDS))
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0)
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -207,7 +207,7 @@ def score_quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     weights = {r.label: r.w for r in train.groupBy("label").agg(F.sum("w").alias("w")).collect()}
     coef, bias = None, 0.0
     if len(weights) == 2 and min(weights.values()) > 1.0:
-        fitted = LogisticRegression(weightCol="w", regParam=1e-3, maxIter=60, standardization=False).fit(train)
+        fitted = LogisticRegression(weightCol="w", regParam=1e-4, maxIter=40, standardization=False).fit(train)
         coef, bias = fitted.coefficients.toArray(), float(fitted.intercept)
     train.unpersist()
     unstage(written)
