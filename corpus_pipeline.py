@@ -47,10 +47,12 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     id is repeated; equal rows are copies, and one of them stays.
     """
     found, seen = staged_and_seen(near_duplicates(docs), "pipeline-near", gone=F.count_if(~F.col("first")))
-    gone = found.where("not first").select(F.col("doc_id").alias("gone_id"), "body").distinct()
-    many = found.where("first and n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("gone_id"), "body").count().where("count > 1").drop("count")
+    gone_id, gone_body = free_names(docs, "gone_id", "gone_body")
+    named = found.select(F.col("doc_id").alias(gone_id), F.col("body").alias(gone_body), "first", "n_shingles")
+    gone = named.where("not first").select(gone_id, gone_body).distinct()
+    many = named.where("first and n_shingles > 0").where(F.col(gone_id).isNotNull()).groupBy(gone_id, gone_body).count().where("count > 1").drop("count")
     many, repeated = staged_and_seen(many, "pipeline-repeats", n=F.count("*"))
-    same = (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("body"))
+    same = (F.col("doc_id") == F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_body))
     out = docs.join(F.broadcast(gone) if seen["gone"] <= BROADCAST_IDS else gone, same, "left_anti")
     if repeated["n"]:
         out = out.join(many, same, "left_anti").unionByName(out.join(many, same, "left_semi").dropDuplicates(["doc_id", "text"]))
