@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import looked_up, staged_and_seen, unstage
+from ferrule.llm.common import free_names, looked_up, staged_and_seen, unstage
 
 #: Rows from which a host, a line of a host or a text counts as a hot one.
 HOT = 1000
@@ -57,8 +57,8 @@ def drop_boilerplate_lines(
     drops = found.groupBy("h", "t").agg(F.collect_set("x").alias("gone"), F.max("copies").alias("copies"))
     page = lambda h, t: F.concat(t.cast("string"), F.lit("/"), h)
     drops, seen = staged_and_seen(drops.select(page(F.col("h"), F.col("t")).alias("page"), "gone", "copies"), "lines-pages", n=F.count("*"), hot=F.count_if(F.col("copies") >= HOT))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), host_key.alias("h"), page_key.alias("t"))
-    out = looked_up(rows, drops, page(F.col("h"), F.col("t")), "page", F.concat(F.lit("~"), F.monotonically_increasing_id().cast("string")), F.col("copies") >= HOT, seen)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), host_key.alias("h"), page_key.alias("t"), F.monotonically_increasing_id().cast("string").alias("nth"))
+    out = looked_up(rows, drops, page(F.col("h"), F.col("t")), "page", F.concat(F.lit("~"), F.col("nth")), F.col("copies") >= HOT, seen)
     unstage(totals, bad)
     body = F.col("row").getField(text)
     lines = F.split(body, "\n", -1)
@@ -66,11 +66,11 @@ def drop_boilerplate_lines(
     kept = F.filter(lines, lambda x: ~gone(x))
     n = F.coalesce(F.size(F.when(body.isNotNull(), lines)), F.lit(0))
     cleaned = F.when(F.col("gone").isNull(), body).otherwise(F.array_join(kept, "\n"))
-    return out.select(
-        *[(cleaned if c == text else F.col("row").getField(c)).alias(c) for c in keep],
-        F.when(body.isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(n - F.size(kept)).cast("long").alias("n_dropped"),
+    new_text, lines_in, lines_out = free_names(docs, "new_text", "lines_in", "lines_out")
+    done = out.select(
+        "row", cleaned.alias(new_text), F.when(body.isNull(), F.lit(0)).otherwise(n).cast("long").alias(lines_in), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(n - F.size(kept)).cast("long").alias(lines_out)
     )
+    return done.select(*[(F.col(new_text) if c == text else F.col("row").getField(c)).alias(c) for c in keep], F.col(lines_in).alias("n_lines"), F.col(lines_out).alias("n_dropped"))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
