@@ -19,8 +19,8 @@ USED = BAND * BANDS
 ZEROS, MANTISSA = 4, 4
 #: Two registers of different minima agree when their counts do (sum of 4**-k = 1/3) and their mantissas do.
 COLLISION = 1 / 3 / (1 << MANTISSA)
-#: Representatives that meet in one group of a band; larger bands are compared block against block.
-BLOCK = 512
+#: Representatives, and shingles of all their sets, that meet as one block of a group; larger groups are compared block against block.
+BLOCK, SHINGLES_A_BLOCK = 2048, 1_000_000
 #: Document ids up to this many are broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -122,9 +122,10 @@ def _banded(reps: DataFrame) -> DataFrame:
             if batch.num_rows:
                 regs = np.stack([np.frombuffer(r.as_py(), np.uint8) for r in batch.column("regs")])
                 keys = band_keys(regs).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("rep").take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], ["band", "rep"])
+                bit = np.tile(np.int64(1) << np.arange(BANDS, dtype=np.int64), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(bit), batch.column("rep").take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], ["band", "bit", "rep"])
 
-    return reps.select("rep", "regs").mapInArrow(run, "band long, rep binary")
+    return reps.select("rep", "regs").mapInArrow(run, "band long, bit long, rep binary")
 
 
 def _floor(n: np.ndarray, wanted: float) -> np.ndarray:
@@ -138,13 +139,14 @@ def _blocked(rows: DataFrame) -> DataFrame:
     In a group of more than BLOCK members the members of its largest component never meet each other: they form blocks of their own
     that meet only the blocks of the rest. So a large group that is nearly one component costs its size, not its square.
     """
-    by_component = rows.groupBy("hub", "c").agg(F.count("*").alias("k"))
-    sizes = by_component.groupBy("hub").agg(F.sum("k").alias("all"), F.max(F.struct("k", "c")).alias("top")).where(F.col("all") > BLOCK)
+    by_component = rows.groupBy("hub", "c").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    sizes = by_component.groupBy("hub").agg(F.sum("k").alias("all"), F.sum("w").alias("weight"), F.max(F.struct("k", "c", "w")).alias("top")).where((F.col("all") > BLOCK) | (F.col("weight") > SHINGLES_A_BLOCK))
+    needed = lambda k, w: F.ceil(F.greatest(k / BLOCK, w / SHINGLES_A_BLOCK)).cast("int")
     sizes = sizes.select(
         F.col("hub").alias("bb"),
         F.col("top.c").alias("main"),
-        F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("rest_blocks"),
-        F.ceil(F.col("top.k") / BLOCK).cast("int").alias("main_blocks"),
+        needed(F.col("all") - F.col("top.k"), F.col("weight") - F.col("top.w")).alias("rest_blocks"),
+        needed(F.col("top.k"), F.col("top.w")).alias("main_blocks"),
     )
     h, small = F.xxhash64("rep"), F.col("bb").isNull()
     block = F.when(F.col("is_main"), F.col("rest_blocks") + F.pmod(h, F.col("main_blocks"))).otherwise(F.pmod(h, F.col("rest_blocks")))
@@ -165,8 +167,8 @@ def _blocked(rows: DataFrame) -> DataFrame:
 def _across(rows: DataFrame, percent: int, verify: bool) -> DataFrame:
     """Pairs of different components within each group, without listing them.
 
-    rows: (hub, rep, c, n, regs), with set too where verify. A pair is looked at if its ends share a band, and sizes and
-    estimate allow the similarity. Without verify: (hub, rep) of those that have such a pair. With verify: links (a, b), one for each two
+    rows: (hub, rep, bits, c, n, regs), with set too where verify. A pair is looked at where its first common band is one of the group's, which bits
+    has set, if sizes and estimate allow the similarity. Without verify: (hub, rep) of those that have such a pair. With verify: links (a, b), one for each two
     components that a group joins.
     """
     wanted = percent / 100
@@ -183,7 +185,7 @@ def _across(rows: DataFrame, percent: int, verify: bool) -> DataFrame:
             if len(sizes) < 2:
                 continue
             regs = np.stack([np.frombuffer(r.as_py(), np.uint8) for r in group.column("regs")])
-            hub = group.column("hub")[0].as_py()
+            hub, bits = group.column("hub")[0].as_py(), np.asarray(group.column("bits"))
             apart = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
             sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("set")] if verify else []
             largest, root, seen, order = int(sizes.argmax()), np.arange(len(sizes)), np.zeros(m, bool), np.arange(m)
@@ -197,7 +199,8 @@ def _across(rows: DataFrame, percent: int, verify: bool) -> DataFrame:
                 agree = regs[j] == regs[i]
                 good = (agree.mean(axis=1) - COLLISION) / (1 - COLLISION) >= _floor(np.minimum(n[j], n[i]), wanted)
                 j, agree = j[good], agree[good]
-                j = j[agree.reshape(len(j), BANDS, BAND).all(axis=2).any(axis=1)]
+                common = agree.reshape(len(j), BANDS, BAND).all(axis=2)
+                j = j[common.any(axis=1) & (bits[i] >> common.argmax(axis=1) & 1 > 0)]
                 if not len(j):
                     continue
                 if not verify:
@@ -280,7 +283,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Equal sets become one representative, named by the digest of the set. Its HyperMinHash registers are cut into bands, and the bands that
     have the same smallest member, its at most 42, make one group. All members of a group meet that hub, then those that it is not linked to the member
     with most links and a third one by hash: they pass a size test and the collision-corrected estimate, and are confirmed on their full sets.
-    Links make components; then within each group every pair that shares a band and whose ends still lie in different components is put to the same
+    Links make components; then within the group of its first common band every pair whose ends still lie in different components is put to the same
     tests, block against block inside tasks, and only what joins two components comes out. So a group of copies costs its size and not
     its square, while no link between components is passed over. A pair at 80 % shares no band with a probability near 3 in a million.
 
@@ -295,9 +298,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     reps = staged(reps, "minhash-representatives")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bands = _banded(reps).repartition(partitions, "band")  # one exchange, read by the aggregate and by the join
-    shared = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("k > 1")
-    shared = shared.groupBy("hub", "k", "members").agg(F.min("band").alias("band")).select("band", "hub")
-    mates = staged(bands.join(shared, "band").select("hub", "rep").distinct(), "minhash-mates")
+    shared = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("k")).where("k > 1").select("band", "hub")
+    mates = staged(bands.join(shared, "band").groupBy("hub", "rep").agg(F.bit_or("bit").alias("bits")), "minhash-mates")
     # Sets of the documents that share a band with another.
     nodes = mates.select("rep").distinct().join(reps.select("rep", "least.*"), "rep")
     nodes, seen = staged_and_seen(nodes, "minhash-nodes", n=F.count("*"))
@@ -312,7 +314,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     def placed(of: DataFrame) -> DataFrame:
         known = of.withColumnRenamed("node", "rep").withColumnRenamed("component", "c")
-        return mates.join(known, "rep", "left").select("hub", "rep", F.coalesce("c", "rep").alias("c"))
+        return mates.join(known, "rep", "left").select("hub", "rep", "bits", F.coalesce("c", "rep").alias("c"))
 
     links, _ = confirmed(mates.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
     # Members that their hub is not linked to meet two more: the one with most links, and one by hash.
