@@ -10,6 +10,7 @@ from ferrule.llm.line_dedup import OP7_SQL, op7_line_dedup
 from ferrule.llm.minhash import op4_minhash
 from ferrule.llm.mixing import op6_mixing
 from ferrule.llm.quality import op3_quality
+from ferrule.llm.substring_dedup import OP13_SQL, op13_substring_dedup
 from ferrule.llm.toxicity import op2_toxicity
 from ferrule.llm.warc_zip import op9_warc
 
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
     "op10_html_text": op10_html_text,
+    "op13_substring_dedup": op13_substring_dedup,
 }
-ORACLES = {"op5_chat_format": OP5_SQL, "op7_line_dedup": OP7_SQL}
+ORACLES = {"op5_chat_format": OP5_SQL, "op7_line_dedup": OP7_SQL, "op13_substring_dedup": OP13_SQL}
