@@ -12,15 +12,16 @@ import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ferrule.llm.common import BROADCAST_ROWS, free_names, staged_and_seen, unstage
+from ferrule.llm.common import BROADCAST_ROWS, free_names, staged, staged_and_seen, unstage
 
-#: Windows of the lowest level have more words than this, where the asked window has.
+#: A level of more than twice as many words has a level below it.
 SHORTEST = 6
 #: A level's filter has so many bits for each repeated window, and no more than MOST_BITS: then it lets more through, which the last level decides all the same.
 BITS_EACH, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 29
-#: Documents from which a repeated window counts as a hot one.
-HOT = 1000
+#: Documents from which a repeated window, or text, counts as a hot one, and the most groups that the documents of a hot one are dealt to.
+HOT, PARTS = 1000, 4096
 #: Words that a task holds at once, but for a longer document.
 WORDS_AT_ONCE = 1 << 20
 #: Documents without an id take their places among this many largest longs, by a hash of the text.
@@ -28,9 +29,9 @@ NO_ID = 1 << 40
 
 
 def levels(window: int) -> list[int]:
-    """Lengths from the lowest to the window: each is twice the one before it, or one less where that would pass the window's halves."""
+    """Lengths from the lowest to the window, two at least but for a single word: each is twice the one before it, or one less."""
     out = [window]
-    while out[0] > SHORTEST * 2:
+    while out[0] > SHORTEST * 2 or out == [window] and window > 1:
         out.insert(0, (out[0] + 1) // 2)
     return out
 
@@ -134,9 +135,24 @@ def _has(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
     return ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def _rows(docs: DataFrame, chain: list[int], filters: list[Broadcast], last: bool) -> DataFrame:
-    """(doc, a) of a level's chosen windows; at the last level (doc, a, b) of all windows that may repeat."""
-    names, filters = ["doc", "a", "b"] if last else ["doc", "a"], list(filters)
+def _rows(docs: DataFrame, chain: list[int], filters: list[Broadcast]) -> DataFrame:
+    """(doc, a) of a level's chosen windows."""
+    filters = list(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = [f.value for f in filters]
+        for batch in batches:
+            ids = np.asarray(batch.column("doc"))
+            for first, words in _pieces(batch.column("text")):
+                doc, a = _Windows(words).chosen(chain, bits)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first:][doc]), pa.array(a.view(np.int64))], ["doc", "a"])
+
+    return docs.mapInArrow(run, "doc long, a long")
+
+
+def _last_rows(docs: DataFrame, chain: list[int], filters: list[Broadcast], hot: Broadcast | None, parts: int) -> DataFrame:
+    """(doc, a, b, part) of all windows that may repeat, each once a document; part is 0, or from 1 to parts by the document where many documents may hold the window."""
+    filters = list(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [f.value for f in filters]
@@ -144,14 +160,44 @@ def _rows(docs: DataFrame, chain: list[int], filters: list[Broadcast], last: boo
             ids = np.asarray(batch.column("doc"))
             for first, words in _pieces(batch.column("text")):
                 w = _Windows(words)
-                if last:
-                    may = np.flatnonzero(w.candidates(chain, bits))
-                    found = _once(w.doc[may], w.names(chain[-1])[may], w.names(chain[-1], 1)[may])
-                else:
-                    found = w.chosen(chain, bits)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first:][found[0]]), *[pa.array(x.view(np.int64)) for x in found[1:]]], names)
+                may = np.flatnonzero(w.candidates(chain, bits))
+                many = np.ones(len(may), bool)
+                if len(chain) > 1:
+                    shorter = w.names(chain[-2])
+                    at = _least_ahead(shorter, chain[-1] - chain[-2] + 1)[may]
+                    many = _has(hot.value, shorter[at]) if hot else ~many
+                doc, a, b, many = _once(w.doc[may], w.names(chain[-1])[may], w.names(chain[-1], 1)[may] & np.uint64(0x7FFFFFFF), many)
+                doc = ids[first:][doc]
+                part = np.where(many, _mixed(doc.view(np.uint64), doc.view(np.uint64), 1) % np.uint64(parts) + np.uint64(1), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(a.view(np.int64)), pa.array(b.astype(np.int32)), pa.array(part.astype(np.int32))], ["doc", "a", "b", "part"])
 
-    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.mapInArrow(run, "doc long, a long, b int, part int")
+
+
+def _lost(windows: DataFrame, parts: int) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, a) of windows that a smaller document holds as well, and a staged table they are read from.
+
+    A document loses to any smaller one of its part; the least of each part of a hot window meet once more.
+    """
+    w = Window.partitionBy("a", "b", "part").orderBy("doc")
+    judged = windows.withColumn("gone", F.col("doc") > F.first("doc").over(w))
+    if not parts:
+        return judged.where("gone").select("doc", "a"), None
+    judged = staged(judged.where("gone or part > 0"), "substrings-judged")
+    left = judged.where("not gone").select("doc", "a", "b")
+    late = left.join(left.groupBy("a", "b").agg(F.min("doc").alias("lo")), ["a", "b"]).where("doc > lo")
+    return judged.where("gone").select("doc", "a").unionByName(late.select("doc", "a")), judged
+
+
+def _copies(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc, d, e): documents whose whole text, by two digests, a smaller document has; and their number."""
+    narrow = docs.select("doc", "d", "e")
+    groups = narrow.groupBy("d", "e").agg(F.min("doc").alias("lo"), F.count("*").alias("k")).where("k > 1")
+    groups, seen = staged_and_seen(groups, "substrings-groups", n=F.count("*"))
+    known = F.broadcast(groups) if seen["n"] <= BROADCAST_ROWS else groups
+    out, counted = staged_and_seen(narrow.join(known, ["d", "e"]).where("doc > lo").select("doc", "d", "e").distinct(), "substrings-copies", n=F.count("*"))
+    unstage(groups)
+    return out, counted["n"]
 
 
 def _filter(repeated: DataFrame, n: int) -> np.ndarray:
@@ -184,63 +230,70 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, text: str = "text
     two documents hold are found by grouping names (hashes of words, then of two halves); only longer windows whose halves repeat are candidates
     of the next level, of twice the length, until none survive or the window itself is reached. Of the shorter windows inside a longer one only the one of the least
     name has to be counted, since equal longer windows have it in common: a quarter of all windows for 7 and 13 words. A level's outcome
-    goes back to the texts as a bit filter of bounded size, which may let a window through but never holds one back; the last level compares names of 128 bits and decides.
+    goes back to the texts as a bit filter of bounded size, which may let a window through but never holds one back; the last level compares names of 95 bits and decides.
 
     Returns docs' columns with text replaced by the kept words joined by one space, and n_words, n_removed (long); columns of docs with these
     names are replaced. Words are maximal runs of anything but ASCII white space, unchanged. A null text stays null with 0
     words; a text of fewer words than the window loses nothing; windows are judged on the input. Rows that share an id are one document, none of them
     smaller; a null id counts as larger than any other, and a hash of the text tells null ones apart. Ids are cast to long. Repeated rows stay repeated.
 
-    Windows of many documents are looked up by a counted broadcast, others by a join on their name, which adaptive execution may split; a document's texts move once, in the last join.
+    Of equal texts only the one of the smallest id is searched; the others lose all they have, if it fills a window. Names of windows are shuffled once and judged in the order
+    of ids; windows of HOT documents or more (known from the level before) are dealt to parts by the document, of which only the first of each part meet again. Texts move once, in the last join.
     """
     if window < 1:
         raise ValueError("a window has at least one word")
     spark, chain = docs.sparkSession, levels(window)
     body = F.col(f"`{text}`").cast("string")
     name = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(body), F.lit(NO_ID)))
-    plain = docs.select(name.alias("doc"), body.alias("text")).where("text is not null")
+    digests = F.xxhash64(body).alias("d"), F.xxhash64(F.lit(1), body).alias("e")
+    texts = docs.select(name.alias("doc"), body.alias("text"), *digests).where("text is not null")
+    copies, n_copies = _copies(texts)
+    known = F.broadcast(copies) if n_copies <= BROADCAST_ROWS else copies
+    plain = (texts.join(known, ["doc", "d", "e"], "left_anti") if n_copies else texts).select("doc", "text")
     filters: list[Broadcast] = []
-    alive = True  # whether candidates survive
+    hot, parts, alive = None, 0, True  # alive: whether candidates survive
     for _ in chain[:-1]:
-        shared = _rows(plain, chain, filters, False).groupBy("a").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("a")
-        shared, seen = staged_and_seen(shared, "substrings-level", n=F.count("*"))
+        shared = _rows(plain, chain, filters).groupBy("a").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("a", "k")
+        shared, seen = staged_and_seen(shared, "substrings-level", n=F.count("*"), hot=F.count_if(F.col("k") >= HOT), most=F.max("k"))
         alive = seen["n"] > 0
         if alive:
             filters.append(spark.sparkContext.broadcast(_filter(shared, seen["n"])))
+            parts = min(-(-seen["most"] // HOT), PARTS) if seen["hot"] else 0
+            hot = spark.sparkContext.broadcast(_filter(shared.where(F.col("k") >= HOT), seen["hot"])) if parts else None
         unstage(shared)
         if not alive:
             break
+    if len(chain) == 1:
+        parts = 64  # of single words any may be hot
     keep = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed")]
-    row, key, gone, done = free_names(docs, "row", "key", "gone", "done")
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), body.alias(text), name.alias(key))
+    row, key, d, e, gone, copy, done = free_names(docs, "row", "key", "d", "e", "gone", "copy", "done")
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), body.alias(text), name.alias(key), digests[0].alias(d), digests[1].alias(e))
+    if n_copies:
+        out = out.join(known.select(F.col("doc").alias(key), F.col("d").alias(d), F.col("e").alias(e), F.lit(True).alias(copy)), [key, d, e], "left")
+    else:
+        out = out.withColumn(copy, F.lit(None).cast("boolean"))
     if alive:
-        found, _ = staged_and_seen(_rows(plain, chain, filters, True), "substrings-windows", n=F.count("*"))
-        owners = found.groupBy("a", "b").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("k")).where("lo < hi").drop("hi")
-        owners, seen = staged_and_seen(owners, "substrings-owners", hot=F.count_if(F.col("k") >= HOT))
-        if 0 < seen["hot"] <= BROADCAST_ROWS:
-            hot = F.broadcast(owners.where(F.col("k") >= HOT).select("a", "b", F.col("lo").alias("hot_lo")))
-            dealt = found.join(hot, ["a", "b"], "left")
-            lost = dealt.where("doc > hot_lo").select("doc", "a").unionByName(dealt.where("hot_lo is null").drop("hot_lo").join(owners.where(F.col("k") < HOT), ["a", "b"]).where("doc > lo").select("doc", "a"))
-        else:
-            lost = found.join(owners, ["a", "b"]).where("doc > lo").select("doc", "a")
+        lost, _ = _lost(_last_rows(plain, chain, filters, hot, max(parts, 1)), parts)
         out = out.join(lost.groupBy(F.col("doc").alias(key)).agg(F.collect_set("a").alias(gone)), key, "left")
     else:
         out = out.withColumn(gone, F.lit(None).cast("array<long>"))
 
     @F.arrow_udf("struct<words: long, removed: long, kept: string>")
-    def kept(texts: pa.Array, lost: pa.Array) -> pa.Array:
+    def kept(texts: pa.Array, lost: pa.Array, copied: pa.Array) -> pa.Array:
         words_n, removed_n, kept_text = [], [], []
-        for t, x in zip(texts.cast(pa.binary()), lost):
+        for t, x, c in zip(texts.cast(pa.binary()), lost, copied):
             words = t.as_py().split() if t.is_valid else []
             words_n.append(len(words))
-            if x.is_valid and len(words) >= window:
+            if c.is_valid and len(words) >= window:
+                words = []
+            elif x.is_valid and len(words) >= window:
                 off = _removed(words, np.asarray(x.values).view(np.uint64), window)
                 words = [w for w, drop in zip(words, off) if not drop]
             removed_n.append(words_n[-1] - len(words))
             kept_text.append(b" ".join(words).decode() if t.is_valid else None)
         return pa.StructArray.from_arrays([pa.array(words_n, pa.int64()), pa.array(removed_n, pa.int64()), pa.array(kept_text, pa.string())], ["words", "removed", "kept"])
 
-    out = out.select(row, kept(F.col(f"`{text}`"), F.col(gone)).alias(done))
+    out = out.select(row, kept(F.col(f"`{text}`"), F.col(gone), F.col(copy)).alias(done))
     return out.select(*[(F.col(f"{done}.kept") if c == text else F.col(row).getField(c)).alias(c) for c in keep], F.col(f"{done}.words").alias("n_words"), F.col(f"{done}.removed").alias("n_removed"))
 
 
