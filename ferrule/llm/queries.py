@@ -5,6 +5,7 @@ from __future__ import annotations
 from ferrule.llm.chat import OP5_SQL, op5_chat_format
 from ferrule.llm.decontam import op8_decontamination
 from ferrule.llm.embedding_dedup import op1_embedding_dedup
+from ferrule.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from ferrule.llm.html_text import op10_html_text
 from ferrule.llm.line_dedup import OP7_SQL, op7_line_dedup
 from ferrule.llm.minhash import op4_minhash
@@ -13,6 +14,7 @@ from ferrule.llm.quality import op3_quality
 from ferrule.llm.substring_dedup import OP13_SQL, op13_substring_dedup
 from ferrule.llm.toxicity import op2_toxicity
 from ferrule.llm.warc_zip import op9_warc
+from ferrule.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
     "op10_html_text": op10_html_text,
+    "op11_whitening": op11_whitening,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_substring_dedup": op13_substring_dedup,
 }
-ORACLES = {"op5_chat_format": OP5_SQL, "op7_line_dedup": OP7_SQL, "op13_substring_dedup": OP13_SQL}
+ORACLES = {"op5_chat_format": OP5_SQL, "op7_line_dedup": OP7_SQL, "op12_hard_negatives": OP12_SQL, "op13_substring_dedup": OP13_SQL}
