@@ -23,7 +23,7 @@ BITS_EACH, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 29
 #: Documents from which a repeated window, or text, counts as a hot one, and the most groups that the documents of a hot one are dealt to.
 HOT, PARTS = 1000, 4096
 #: Words that a task holds at once, but for a longer document.
-WORDS_AT_ONCE = 1 << 20
+WORDS_AT_ONCE = 1 << 18
 #: Documents without an id take their places among this many largest longs, by a hash of the text.
 NO_ID = 1 << 40
 
