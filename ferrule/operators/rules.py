@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,22 +73,65 @@ def fired(rule: Rule, tables: Mapping[str, DataFrame], fresh: Mapping[str, DataF
     return plans
 
 
-def consequences(facts: Mapping[str, DataFrame], rules: list[Rule], rounds: int = 100) -> dict[str, DataFrame]:
+def strata(rules: list[Rule]) -> list[list[Rule]]:
+    """Rules in the order in which they can be run: each negates only what the rules before its own group conclude. A cycle through a negation is refused by name."""
+    heads = sorted({r.head.name for r in rules})
+    needs = {h: {(x.name, negated) for r in rules if r.head.name == h for part, negated in ((r.body, False), (r.unless, True)) for x in part if x.name in heads} for h in heads}
+    reach = {h: {q for q, _ in needs[h]} for h in heads}
+    for _ in heads:
+        reach = {h: reach[h] | {q for p in reach[h] for q in reach[p]} for h in heads}
+    for h in heads:
+        for q, negated in sorted(needs[h]):
+            if negated and (q == h or h in reach[q]):
+                raise ValueError(f"{h} negates {q}, which depends on {h}")
+    level = dict.fromkeys(heads, 0)
+    for _ in heads:  # no negation is on a cycle, so levels settle
+        for h in heads:
+            level[h] = max([level[h], *(level[q] + negated for q, negated in needs[h])])
+    return [[r for r in rules if level[r.head.name] == k] for k in sorted(set(level.values()))]
+
+
+def _refuse_misfits(facts: Mapping[str, DataFrame], rules: list[Rule]) -> None:
+    """An error for literals of predicates that are neither given nor concluded, for those whose number of arguments is another, and for variables that no body binds."""
+    arity = {p: len(t.columns) for p, t in facts.items()}
+    for r in rules:
+        if arity.setdefault(r.head.name, len(r.head.arguments)) != len(r.head.arguments):
+            raise ValueError(f"{r.head.name} has {arity[r.head.name]} arguments")
+    for r in rules:
+        for x in (*r.body, *r.unless):
+            if x.name not in arity:
+                raise ValueError(f"unknown predicate: {x.name}")
+            if arity[x.name] != len(x.arguments):
+                raise ValueError(f"{x.name} has {arity[x.name]} arguments")
+        free = {x for x in r.head.arguments if _is_variable(x)} - {x for b in r.body for x in b.arguments}
+        if free or not r.body:
+            raise ValueError(f"no body binds {sorted(free)} of {r.head.name}")
+
+
+def consequences(facts: Mapping[str, DataFrame], rules: list[Rule]) -> dict[str, DataFrame]:
     """All facts that follow, by predicate, each with the round it was first found in: (a0, a1, ..., round), 0 for those given.
 
-    facts: predicate to (a0, a1, ...). Every round joins the last round's new facts with the rest, so nothing is derived twice from
-    the same facts. A negated literal must be of a predicate that no rule concludes. Rounds end when nothing is new; more than `rounds` is an error.
+    facts: predicate to (a0, a1, ...). Rules may negate what other rules conclude: they are run in strata, so a negation looks at what is complete; rounds are counted
+    in each stratum from 1. Every round joins the last round's new facts with the rest, so nothing is derived twice from the same facts, and a stratum ends when
+    nothing is new. A predicate that is neither given nor concluded is an error, as are a cycle through a negation and a head variable that no body binds.
     """
-    heads = {r.head.name for r in rules}
-    if bad := {x.name for r in rules for x in r.unless} & heads:
-        raise ValueError(f"rules negate what they conclude: {sorted(bad)}")
-    arity = {r.head.name: len(r.head.arguments) for r in rules}
+    _refuse_misfits(facts, rules)
     tables = {p: t.distinct() for p, t in facts.items()}
     out = {p: t.withColumn("round", F.lit(0)) for p, t in tables.items()}
+    for group in strata(rules):
+        _settle(group, tables, out)
+    return out
+
+
+def _settle(rules: list[Rule], tables: dict[str, DataFrame], out: dict[str, DataFrame]) -> None:
+    """Adds to tables, and with rounds to out, what the rules of one stratum conclude. A predicate without any fact has no table: nothing matches it."""
+    rules = [Rule(r.head, r.body, tuple(x for x in r.unless if x.name in tables)) for r in rules]
+    arity = {r.head.name: len(r.head.arguments) for r in rules}
     fresh: dict[str, DataFrame] | None = None
-    for k in range(1, rounds + 1):
+    known_before: set[str] = set()
+    for k in count(1):
         new: dict[str, DataFrame] = {}
-        for name in sorted(heads):
+        for name in sorted(arity):
             usable = [r for r in rules if r.head.name == name and all(x.name in tables for x in r.body)]
             # A rule all of whose predicates have come to be known only now is run over everything.
             plans = [p for r in usable for p in fired(r, tables, fresh if fresh is not None and not any(x.name in fresh and x.name not in known_before for x in r.body) else None)]
@@ -100,11 +144,10 @@ def consequences(facts: Mapping[str, DataFrame], rules: list[Rule], rounds: int
             if seen["n"]:
                 new[name] = found
         if not new:
-            return out
+            return
         known_before = set(tables)
         for name, found in new.items():
             tables[name] = tables[name].unionByName(found) if name in tables else found
             marked = found.withColumn("round", F.lit(k))
             out[name] = out[name].unionByName(marked) if name in out else marked
         fresh = new
-    raise RuntimeError(f"rules did not settle in {rounds} rounds")

@@ -123,10 +123,19 @@ def test_rules_reach_a_fixpoint(spark):
     loops = [*rules, Rule(Literal("loop", ("X",)), (Literal("path", ("X", "X")),)), Rule(Literal("free", ("X",)), (Literal("edge", ("X", "_")),), unless=(Literal("blocked", ("X",)),))]
     out = consequences(facts, loops)
     assert {r.a0 for r in out["loop"].collect()} == {a for a, b in closure if a == b} and {r.a0 for r in out["free"].collect()} == {a for a, _ in edges} - {101}
-    with pytest.raises(ValueError, match="negate what they conclude"):
-        consequences(facts, [*rules, Rule(Literal("q", ("X",)), (Literal("edge", ("X", "_")),), unless=(Literal("path", ("X", "X")),))])
-    with pytest.raises(RuntimeError, match="did not settle"):
-        consequences(facts, rules, rounds=3)
+    twice = Rule(Literal("acyclic", ("X",)), (Literal("edge", ("X", "_")),), unless=(Literal("path", ("X", "X")),))
+    far = Rule(Literal("rest", ("X",)), (Literal("path", ("X", "_")),), unless=(Literal("acyclic", ("X",)), Literal("never", ("X",))))
+    never = Rule(Literal("never", ("X",)), (Literal("edge", ("X", "Y")), Literal("edge", ("Y", -1))))
+    out = consequences(facts, [far, twice, *rules, never])
+    starts = {a for a, _ in edges}
+    acyclic = {a for a in starts if (a, a) not in closure}
+    assert {r.a0 for r in out["acyclic"].collect()} == acyclic and {r.a0 for r in out["rest"].collect()} == starts - acyclic and "never" not in out
+    edge = lambda *a: Literal("edge", a)
+    with pytest.raises(ValueError, match="q negates p, which depends on q"):
+        consequences(facts, [Rule(Literal("q", ("X",)), (edge("X", "_"),), unless=(Literal("p", ("X",)),)), Rule(Literal("p", ("X",)), (Literal("q", ("X",)),))])
+    for bad, said in ((Rule(Literal("q", ("X",)), (Literal("egde", ("X", "_")),)), "unknown predicate: egde"), (Rule(Literal("q", ("X",)), (Literal("edge", ("X",)),)), "edge has 2 arguments"), (Rule(Literal("q", ("Z",)), (edge("X", "_"),)), "binds .'Z'.")):
+        with pytest.raises(ValueError, match=said):
+            consequences(facts, [*rules, bad])
 
 
 @pytest.mark.parametrize("heavy", [1, 5, 1000])
