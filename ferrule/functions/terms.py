@@ -168,3 +168,14 @@ def argument(arguments: Column, n: Column) -> Column:
 def chain(items: Column) -> Column:
     """A list as nested cells: '[|]'(a,'[|]'(b,[]))."""
     return F.aggregate(F.reverse(items), F.lit("[]"), lambda rest, x: F.concat(F.lit("'[|]'("), x, F.lit(","), rest, F.lit(")")))
+
+
+def is_atom_text(text: Column) -> Column:
+    return text.rlike("^[a-z][A-Za-z0-9_-]*$") | text.rlike(r"^'(?:[^'\\]|\\.|'')*'$")
+
+
+def atom_text(text: Column) -> Column:
+    """What an atom says: a bare one itself, a quoted one without quotes and escapes; null for what is no atom."""
+    value = F.trim(text)
+    inner = F.regexp_replace(F.replace(F.substring(value, F.lit(2), F.length(value) - 2), F.lit("''"), F.lit("'")), r"\\([\\'])", "$1")
+    return F.when(value.rlike("^[a-z][A-Za-z0-9_-]*$"), value).when((F.length(value) >= 2) & value.startswith("'") & value.endswith("'"), inner)
