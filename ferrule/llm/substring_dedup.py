@@ -266,7 +266,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, text: str = "text
     if len(chain) == 1:
         parts = 64  # of single words any may be hot
     keep = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed")]
-    row, key, d, e, gone, copy, done = free_names(docs, "row", "key", "d", "e", "gone", "copy", "done")
+    row, key, d, e, gone, copy = free_names(docs, "row", "key", "d", "e", "gone", "copy")
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), body.alias(text), name.alias(key), digests[0].alias(d), digests[1].alias(e))
     if n_copies:
         out = out.join(known.select(F.col("doc").alias(key), F.col("d").alias(d), F.col("e").alias(e), F.lit(True).alias(copy)), [key, d, e], "left")
@@ -278,23 +278,27 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, text: str = "text
     else:
         out = out.withColumn(gone, F.lit(None).cast("array<long>"))
 
-    @F.arrow_udf("struct<words: long, removed: long, kept: string>")
-    def kept(texts: pa.Array, lost: pa.Array, copied: pa.Array) -> pa.Array:
-        words_n, removed_n, kept_text = [], [], []
-        for t, x, c in zip(texts.cast(pa.binary()), lost, copied):
+    @F.arrow_udf("string")
+    def kept(texts: pa.Array, lost: pa.Array) -> pa.Array:
+        out = []
+        for t, x in zip(texts.cast(pa.binary()), lost):
             words = t.as_py().split() if t.is_valid else []
-            words_n.append(len(words))
-            if c.is_valid and len(words) >= window:
-                words = []
-            elif x.is_valid and len(words) >= window:
+            if len(words) >= window:
                 off = _removed(words, np.asarray(x.values).view(np.uint64), window)
                 words = [w for w, drop in zip(words, off) if not drop]
-            removed_n.append(words_n[-1] - len(words))
-            kept_text.append(b" ".join(words).decode() if t.is_valid else None)
-        return pa.StructArray.from_arrays([pa.array(words_n, pa.int64()), pa.array(removed_n, pa.int64()), pa.array(kept_text, pa.string())], ["words", "removed", "kept"])
-
-    out = out.select(row, kept(F.col(f"`{text}`"), F.col(gone), F.col(copy)).alias(done))
-    return out.select(*[(F.col(f"{done}.kept") if c == text else F.col(row).getField(c)).alias(c) for c in keep], F.col(f"{done}.words").alias("n_words"), F.col(f"{done}.removed").alias("n_removed"))
+            out.append(b" ".join(words) if t.is_valid else None)
+        return pa.array(out, pa.binary()).cast(pa.string())
+
+    # Only texts that lose words are sent to Python.
+    spaced = F.btrim(F.regexp_replace(F.col(f"`{text}`"), r"[\x20\x09-\x0D]+", " "))
+    count = lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long")
+    n = F.coalesce(count(F.col("spaced")), F.lit(0).cast("long"))
+    left = F.when(F.col("copied") & (n >= window), F.lit("")).otherwise(F.coalesce("cut", "spaced"))
+    cut = kept(F.when(F.col(gone).isNotNull(), F.col(f"`{text}`")), F.col(gone))
+    out = out.select(F.col(row).alias("row"), spaced.alias("spaced"), cut.alias("cut"), F.coalesce(F.col(copy), F.lit(False)).alias("copied"))
+    out = out.select("row", n.alias("n"), left.alias("left"))
+    removed = F.col("n") - F.coalesce(count(F.col("left")), F.lit(0).cast("long"))
+    return out.select(*[(F.col("left") if c == text else F.col("row").getField(c)).alias(c) for c in keep], F.col("n").alias("n_words"), removed.alias("n_removed"))
 
 
 def op13_substring_dedup(spark, sf_dir: str) -> DataFrame:
