@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ferrule.functions.strings import padded_digits
+from ferrule.operators import forest
 from ferrule.sources.tables import staged, staged_and_seen, table, unstage
 
 #: Rows of a counted table that may be broadcast.
@@ -209,21 +210,10 @@ def answer_map(nodes: DataFrame, edges: DataFrame, query: str, first: int = 24,
     )
 
 
-def scope_chains(parents: DataFrame, most: int = 8) -> DataFrame:
-    """(id, parent, operator) to (id, chain array<string>, depth): operators from the innermost outwards, order kept.
-
-    A chain longer than most, which a cycle would be, is an error.
-    """
-    up = parents.select(F.col("id").alias("pid"), F.col("parent").alias("pparent"), F.col("operator").alias("poperator"))
-    at = parents.select("id", "parent", F.array("operator").alias("chain"))
-    done = at.where("parent is null")
-    for _ in range(most):
-        new = at.where("parent is not null").join(up, F.col("parent") == F.col("pid")).select("id", F.col("pparent").alias("parent"), F.concat("chain", F.array("poperator")).alias("chain"))
-        at, seen = staged_and_seen(new, "graph-chains", n=F.count("*"))
-        if not seen["n"]:
-            return done.select("id", "chain", F.size("chain").alias("depth"))
-        done = done.unionByName(at.where("parent is null"))
-    raise ValueError(f"a chain has more than {most} operators or a cycle")
+def scope_chains(parents: DataFrame) -> DataFrame:
+    """(id, parent, operator) to (id, chain array<string>, depth): operators from the innermost outwards, order kept, chains of any length. A cycle is an error; a parent that is no row ends a chain."""
+    rows = parents.withColumn("__all", F.lit(0))
+    return forest.chains(rows, ["__all"], "operator").select("id", "chain", "depth")
 
 
 def edge_label(label: Column, near: Column, far: Column) -> Column:
