@@ -1,6 +1,6 @@
 """A graph from clauses: declarations, arguments, annotations, conditions, orphan scopes and what nothing reaches.
 
-clauses: (document, sentence, line, predicate, args array<string>, in_body boolean), a row per literal. Names are scoped to
+clauses: (document, sentence, line, predicate, args array<string>, in_body boolean), a row per literal; where conditions are asked for also ordinal and world. Names are scoped to
 their document; a head literal states, a body literal conditions.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ferrule.operators import graph, resolve
 
@@ -15,6 +16,8 @@ from ferrule.operators import graph, resolve
 DECLARING = {"entity": "entity", "event": "event", "value": "value"}
 #: Predicates that annotate a node, with the kind of their edge: (name, word).
 ANNOTATING = {"grade": "grade", "qualifier": "qualifier", "time": "time", "preference": "preference", "property": "property"}
+#: Those that are said of events where a name is declared as one.
+EVENT_WORDS = ("qualifier", "time")
 
 
 def _arg(n: int) -> Column:
@@ -37,34 +40,90 @@ def declared(clauses: DataFrame) -> DataFrame:
     return first.select(node_name(F.col("kind"), F.col("document"), F.col("name")).alias("id"), "kind", F.col("f.label").alias("label"), "document", F.col("f.sentence").alias("sentence"), "name")
 
 
-def argument_edges(clauses: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(kind, source, target, label, document, sentence, line, found) of argument(event, place, name) literals.
+def argument_edges(clauses: DataFrame, nodes: DataFrame, *keep: str) -> DataFrame:
+    """(kind, source, target, label, document, sentence, line, found) of argument(event, place, name) literals, and columns to keep.
 
     A name is looked up in its sentence, then in its document, else a node is minted for it.
     """
-    calls = clauses.where("predicate = 'argument'").select("document", "sentence", "line", _arg(0).alias("event"), _arg(1).alias("place"), _arg(2).alias("name"))
+    calls = clauses.where("predicate = 'argument'").select("document", "sentence", "line", _arg(0).alias("event"), _arg(1).alias("place"), _arg(2).alias("name"), *keep)
     own = nodes.where("kind <> 'event'").select("document", "sentence", "name", F.col("id").alias("node"))
     found = resolve.by_scope(calls, own, own.groupBy("document", "name").agg(F.min("node").alias("node")), "minted:")
     return found.select(
-        F.lit("argument").alias("kind"), node_name(F.lit("event"), F.col("document"), F.col("event")).alias("source"), F.col("node").alias("target"), F.concat(F.lit("argument "), "place").alias("label"), "document", "sentence", "line", "found"
+        F.lit("argument").alias("kind"), node_name(F.lit("event"), F.col("document"), F.col("event")).alias("source"), F.col("node").alias("target"), F.concat(F.lit("argument "), "place").alias("label"), "document", "sentence", "line", "found", *keep
     )
 
 
-def annotation_edges(clauses: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(kind, source, target, label, document, sentence, line): from an annotated node to its word, a node that all documents share."""
+def annotation_edges(clauses: DataFrame, nodes: DataFrame, *keep: str) -> DataFrame:
+    """(kind, source, target, label, document, sentence, line, found): from an annotated node to its word, a node that all documents share. keep names further columns of clauses to carry along.
+
+    A name that is declared as several kinds is annotated once: as the kind that the predicate is about (events for qualifiers and times, else entities), else as the
+    first other one by kind. A name that its document does not declare gets a node minted for it, so no annotation is lost; found tells which.
+    """
     kind = _mapped(ANNOTATING)
-    rows = clauses.where(F.col("predicate").isin(*ANNOTATING)).select("document", "sentence", "line", kind.alias("kind"), _arg(0).alias("name"), _arg(1).alias("word"))
-    at = nodes.select("document", "name", F.col("id").alias("source"))
-    return rows.join(at, ["document", "name"]).select("kind", "source", F.concat(F.lit("word:"), "word").alias("target"), "word", "document", "sentence", "line").withColumnRenamed("word", "label")
+    about = F.when(F.col("predicate").isin(*EVENT_WORDS), "event").otherwise("entity")
+    rows = clauses.where(F.col("predicate").isin(*ANNOTATING)).select("document", "sentence", "line", kind.alias("kind"), _arg(0).alias("name"), _arg(1).alias("word"), about.alias("about"), *keep)
+    # A name has at most one node a kind.
+    at = nodes.groupBy("document", "name").agg(F.map_from_entries(F.collect_set(F.struct("kind", "id"))).alias("ids"))
+    found = rows.join(at, ["document", "name"], "left")
+    others = F.array_sort(F.map_keys("ids"))
+    source = F.coalesce(F.try_element_at("ids", F.col("about")), F.try_element_at("ids", F.get(others, F.lit(0))))
+    minted = F.concat(F.lit("minted:"), F.col("document").cast("string"), F.lit(":"), F.col("name"))
+    return found.select(
+        "kind", F.coalesce(source, minted).alias("source"), F.concat(F.lit("word:"), "word").alias("target"), F.col("word").alias("label"), "document", "sentence", "line", F.when(source.isNull(), "minted").otherwise("declared").alias("found"), *keep
+    )
 
 
-def condition_edges(clauses: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(kind, source, target, label, document, sentence): from each node that a rule's body declares to each that its head states, by (document, sentence)."""
-    kind = _mapped(DECLARING)
-    rows = clauses.where(F.col("predicate").isin(*DECLARING)).select("document", "sentence", "in_body", node_name(kind, F.col("document"), _arg(0)).alias("id")).distinct()
-    body, head = rows.where("in_body").withColumnRenamed("id", "source"), rows.where("not in_body").withColumnRenamed("id", "target")
-    both = body.drop("in_body").join(head.drop("in_body"), ["document", "sentence"]).where("source <> target")
-    return both.select(F.lit("implies").alias("kind"), "source", "target", F.lit("condition supports").alias("label"), "document", "sentence")
+def body_edges(clauses: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(kind, source, target, label, document, sentence, world, line, times): one edge for what the bodies of a sentence say in one world, in its first line; times counts the literals that say it.
+
+    clauses has a column world: what is said under a negation and plainly are two claims.
+    """
+    bodies = clauses.where("in_body")
+    said = argument_edges(bodies, nodes, "world").unionByName(annotation_edges(bodies, nodes, "world"))
+    return said.groupBy("kind", "source", "target", "label", "document", "sentence", "world").agg(F.min("line").alias("line"), F.count("*").alias("times"))
+
+
+def _conditions(clauses: DataFrame) -> DataFrame:
+    """(document, sentence, source, target, line, ordinal, world, nth): each event of a clause's body with the event its head states, nth from 1 among those that say the same in a sentence."""
+    events = clauses.where("predicate = 'event'").select("document", "sentence", "line", "in_body", "ordinal", "world", node_name(F.lit("event"), F.col("document"), _arg(0)).alias("id")).distinct()
+    body = events.where("in_body").select("document", "sentence", "line", "ordinal", "world", F.col("id").alias("source"))
+    head = events.where("not in_body").select("document", "sentence", "line", F.col("id").alias("target")).distinct()
+    w = Window.partitionBy("document", "sentence", "source", "target").orderBy("line", "ordinal", "world")
+    return body.join(head, ["document", "sentence", "line"]).where("source <> target").withColumn("nth", F.row_number().over(w))
+
+
+def condition_edges(clauses: DataFrame) -> DataFrame:
+    """(kind, source, target, label, document, sentence, line, world): from each event of a clause's body to the event that its head states, once a sentence, as said first.
+
+    clauses: a row per literal with ordinal, its place in the clause, and world. A line is a clause; only clauses whose head is an event state conditions here. Bodies meet the
+    head of their own clause, so the result grows with the literals and not with the events of a sentence. See condition_merges for what was said again.
+    """
+    first = _conditions(clauses).where("nth = 1")
+    return first.select(F.lit("implies").alias("kind"), "source", "target", F.lit("condition supports").alias("label"), "document", "sentence", "line", "world")
+
+
+def condition_merges(clauses: DataFrame) -> DataFrame:
+    """(document, sentence, source, target, kept_line, kept_world, line, world): conditions left out of condition_edges because the sentence said them before, and where."""
+    rows = _conditions(clauses)
+    kept = rows.where("nth = 1").select("document", "sentence", "source", "target", F.col("line").alias("kept_line"), F.col("world").alias("kept_world"))
+    return rows.where("nth > 1").join(kept, ["document", "sentence", "source", "target"]).select("document", "sentence", "source", "target", "kept_line", "kept_world", "line", "world")
+
+
+def context_edges(clauses: DataFrame) -> DataFrame:
+    """(kind, source, target, label, document, sentence, line): from the context of a clause that has a body to the node its head states: the declared one, or the event of an argument."""
+    with_body = clauses.where("in_body").select("document", "sentence", "line").distinct()
+    kind = F.coalesce(_mapped(DECLARING), F.when(F.col("predicate") == "argument", "event"))
+    heads = clauses.where("not in_body").withColumn("__kind", kind).where("__kind is not null").join(with_body, ["document", "sentence", "line"], "left_semi")
+    context = F.concat(F.lit("context:"), F.col("document").cast("string"), F.lit(":"), F.col("world"))
+    return heads.select(F.lit("implies").alias("kind"), context.alias("source"), node_name(F.col("__kind"), F.col("document"), _arg(0)).alias("target"), F.concat(F.lit("condition implies "), "predicate").alias("label"), "document", "sentence", "line").distinct()
+
+
+def refuse_unreached(referents: DataFrame, edges: DataFrame) -> None:
+    """An error that counts the property referents (id) that no edge leads to, and names the first: leaving a property's own edge out is sound only while another reaches it."""
+    lost = referents.select("id").distinct().join(edges.select(F.col("target").alias("id")).distinct(), "id", "left_anti")
+    row = lost.agg(F.count("*").alias("n"), F.min("id").alias("first")).first()
+    if row.n:
+        raise ValueError(f"{row.n} property referents that no edge reaches, first {row.first}")
 
 
 def orphan_scopes(scopes: DataFrame, clauses: DataFrame) -> DataFrame:

@@ -48,19 +48,54 @@ def kb_argument_edges(spark, d):
     return clauses.argument_edges(rows, clauses.declared(rows))
 
 
-@query(f"""with {_L} select 'grade' as kind, 'entity:' || document || ':' || p as source, 'word:' || grade as target, grade as label, document, sentence, sentence as line from l
-           union all select 'qualifier', 'event:' || document || ':' || e, 'word:' || flag, flag, document, sentence, sentence from l""")
+@query(f"""with {_L} select 'grade' as kind, 'entity:' || document || ':' || p as source, 'word:' || grade as target, grade as label, document, sentence, sentence as line, 'declared' as found from l
+           union all select 'qualifier', 'event:' || document || ':' || e, 'word:' || flag, flag, document, sentence, sentence, 'declared' from l""")
 def kb_annotation_edges(spark, d):
     rows = order_clauses(spark, d)
     return clauses.annotation_edges(rows, clauses.declared(rows))
 
 
-@query(f"""with {_L}, r as (select document, sentence, few as body, 'entity:' || document || ':' || p as id from l union select document, sentence, false, 'event:' || document || ':' || e from l
-             union select document, sentence, false, 'entity:' || document || ':' || s from l where sentence = 1)
-           select 'implies' as kind, a.id as source, b.id as target, 'condition supports' as label, a.document, a.sentence from r a join r b on a.document = b.document and a.sentence = b.sentence and a.body and not b.body and a.id <> b.id""")
+def rule_clauses(spark, d):
+    """Each line of an order a clause: its head states an event, its body has two events in worlds of their own, an argument and a grade; lines of returned goods are another sentence."""
+    name = lambda tag, value: F.concat(F.lit(tag), value.cast("string"))
+    lit = lambda place, predicate, body, world, *args: F.struct(F.lit(place).alias("ordinal"), F.lit(predicate).alias("predicate"), F.lit(body).alias("in_body"), world.alias("world"), F.array(*args).alias("args"))
+    head, first, second, part = name("h", c("l_linenumber") % 2), name("q", c("l_partkey") % 4), name("q", c("l_suppkey") % 4), name("p", c("l_partkey") % 9)
+    actual, world = F.lit("actual"), c("l_linestatus")
+    said = F.array(
+        lit(0, "event", False, actual, head, F.lit("do")), lit(1, "event", True, world, first, F.lit("hold")), lit(2, "event", True, actual, second, F.lit("hold")),
+        lit(3, "argument", True, world, first, F.lit("1"), part), lit(4, "grade", True, actual, second, c("l_returnflag")),
+    )
+    sentence = F.when(c("l_returnflag") == "R", 2).otherwise(1)
+    return table(spark, d, "lineitem").select(c("l_orderkey").alias("document"), sentence.alias("sentence"), c("l_linenumber").alias("line"), F.explode(said).alias("s")).select("document", "sentence", "line", "s.*").distinct()
+
+
+_R = """l as (select distinct l_orderkey as document, case when l_returnflag = 'R' then 2 else 1 end as sentence, l_linenumber as line, 'h' || l_linenumber % 2 as h, 'q' || l_partkey % 4 as q1, 'q' || l_suppkey % 4 as q2, 'p' || l_partkey % 9 as p, l_linestatus as world, l_returnflag as flag from lineitem),
+  b as (select document, sentence, line, 1 as ordinal, world, q1 as q from l union select document, sentence, line, 2, 'actual', q2 from l), h as (select distinct document, sentence, line, h from l),
+  k as (select document, sentence, 'event:' || document || ':' || q as source, 'event:' || document || ':' || h as target, line, ordinal, world from b join h using (document, sentence, line)),
+  r as (select *, row_number() over (partition by document, sentence, source, target order by line, ordinal, world) as nth from k)"""
+
+
+@query(f"""with {_R} select 'implies' as kind, source, target, 'condition supports' as label, document, sentence, line, world from r where nth = 1""")
 def kb_condition_edges(spark, d):
-    rows = order_clauses(spark, d)
-    return clauses.condition_edges(rows, clauses.declared(rows))
+    return clauses.condition_edges(rule_clauses(spark, d))
+
+
+@query(f"""with {_R} select a.document, a.sentence, a.source, a.target, b.line as kept_line, b.world as kept_world, a.line, a.world from r a join r b on (a.document, a.sentence, a.source, a.target) = (b.document, b.sentence, b.source, b.target) and a.nth > 1 and b.nth = 1""")
+def kb_condition_merges(spark, d):
+    return clauses.condition_merges(rule_clauses(spark, d))
+
+
+@query(f"""with {_R} select kind, source, target, label, document, sentence, world, min(line) as line, count(*) as times from (
+    select distinct document, sentence, line, 'argument' as kind, 'event:' || document || ':' || q1 as source, 'minted:' || document || ':' || p as target, 'argument 1' as label, world from l
+    union all select distinct document, sentence, line, 'grade', 'event:' || document || ':' || q2, 'word:' || flag, flag, 'actual' from l) group by all""")
+def kb_body_edges(spark, d):
+    rows = rule_clauses(spark, d)
+    return clauses.body_edges(rows, clauses.declared(rows))
+
+
+@query(f"""with {_R} select distinct 'implies' as kind, 'context:' || document || ':actual' as source, 'event:' || document || ':' || h as target, 'condition implies event' as label, document, sentence, line from l""")
+def kb_context_edges(spark, d):
+    return clauses.context_edges(rule_clauses(spark, d))
 
 
 @query("""select o_orderkey as document, s::int as sentence, 'scope:' || o_orderkey || ':' || s as id from orders, range(1, 6) t(s) where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_linenumber = s)""")
