@@ -16,7 +16,7 @@ from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import BROADCAST_ROWS, runs, staged, staged_and_seen, unstage
+from ferrule.llm.common import runs, staged, unstage
 
 #: A tag from its name on. Quotes count after an equals sign only. Nothing is tried twice, so a failed match costs one pass to the end of the page.
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
@@ -25,7 +25,7 @@ _ATTR = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+(?:\"([^\"]*+)
 RAW = frozenset("script style noscript iframe title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are not the page's text. Of EMBEDDED ones, those without an end tag are taken as empty.
-EMBEDDED = frozenset("select option video audio object canvas svg math template button label dialog".split())
+EMBEDDED = frozenset("select option video audio object canvas svg template button dialog".split())
 DROPPED = frozenset("nav footer aside form menu fieldset head".split()) | EMBEDDED
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
@@ -36,12 +36,10 @@ NAMED = frozenset("ad ads advert advertisement sponsored comments comment-list d
 HOLDERS = frozenset("div section ul ol dl table".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 _ARTICLES = frozenset("articlebody article-body article-content post-body post-content entry-content story-body".split())
-#: A page without any of these tags is open.
-MARKED = r"(?i)<(?:article|main)[\s>]"
+#: Tags are compared without regard to the case of A to Z; no other letter changes, so places in the page stay what they are.
+_FOLD = {k: k + 32 for k in range(ord("A"), ord("Z") + 1)}
 #: Where a block stands.
 ARTICLE, MAIN, OPEN, BOILER = 0, 1, 2, 3
-#: So many open elements, from the innermost on, are looked through for the one that an end tag ends.
-DEEP = 512
 #: So many words in a row, on enough distinct pages of a host, are a repeated run.
 RUN = 6
 #: Minima that stand for a page.
@@ -86,7 +84,7 @@ class _Finder:
     """Searches forward in a page that remember what is not there any more, so that all of them together stay linear."""
 
     def __init__(self, page: str):
-        self.page, self.lower, self.gone, self.last, self.quoted = page, page.lower(), set(), {}, True
+        self.page, self.lower, self.gone, self.last, self.quoted = page, page.translate(_FOLD), set(), {}, True
 
     def find(self, what: str, at: int) -> int:
         if what in self.gone:
@@ -121,6 +119,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     """(where, text) of a page's blocks in order; white space inside a block is one space, empty blocks are left out."""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
+    opened: dict[str, list[int]] = {}  # where in the stack the open elements of each name are, and the blocks among them under ""
     where, parts, at = OPEN, [], 0
     page = page or ""
     finder = _Finder(page)
@@ -137,7 +136,11 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if stack[k][1] != where:
             flush()
         place = stack[k][1]
-        del stack[k:]
+        while len(stack) > k:
+            name, _ = stack.pop()
+            opened[name].pop()
+            if name in BLOCK:
+                opened[""].pop()
         return place
 
     while True:
@@ -174,10 +177,8 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 flush()
             elif name in ("td", "th"):
                 parts.append(" ")
-            for k in range(len(stack) - 1, max(-1, len(stack) - DEEP), -1):
-                if stack[k][0] == name:
-                    where = unwind(k)
-                    break
+            if opened.get(name):
+                where = unwind(opened[name][-1])
             continue
         if name in RAW:
             end = finder.lower.find("</" + name, at) if finder.closes(name, at) else -1
@@ -190,13 +191,9 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 where = unwind(len(stack) - 1)
             # A paragraph or item that was left open ends where the next block of its kind begins.
             if name in ("p", "li", "dt", "dd", "tr", *HEADINGS, "div", "ul", "ol", "table", "section"):
-                for k in range(len(stack) - 1, max(-1, len(stack) - DEEP), -1):
-                    open_name = stack[k][0]
-                    if open_name == "p" or (open_name == name and name in ("li", "dt", "dd", "tr")):
-                        where = unwind(k)
-                        break
-                    if open_name in BLOCK:
-                        break
+                inner = opened[""][-1] if opened.get("") else -1  # the innermost open block
+                if inner >= 0 and (stack[inner][0] == "p" or stack[inner][0] == name and name in ("li", "dt", "dd", "tr")):
+                    where = unwind(inner)
         elif name in ("br", "td", "th", "img"):
             parts.append(" ")
         if name in VOID or raw.endswith("/") or name in EMBEDDED and not finder.closes(name, at):
@@ -204,6 +201,9 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         new = _place(name, raw, where)
         if new != where:
             flush()
+        opened.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            opened.setdefault("", []).append(len(stack))
         stack.append((name, where))
         where = new
 
@@ -294,25 +294,14 @@ def _parsed(batch: pa.RecordBatch) -> Iterator[tuple[str, list[int], list[str]]]
         yield _host(url), [w for w, _ in found], [t for _, t in found]
 
 
-def _open_hosts(base: DataFrame) -> DataFrame:
-    """(host) of the pages that hold no tag of an article or main part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(sorted({_host(u) for u in batch.column("url").to_pylist()}), pa.string())], ["host"])
-
-    bare = base.where("html <> ''").where(~F.col("html").rlike(MARKED))
-    return bare.select("url").mapInArrow(run, "host string").distinct()
-
-
 def _fingerprints(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket (12 bits, one of BUCKETS) and fingerprint in it (24 bits)."""
     h = suffixes.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     return (h >> np.uint64(52)).astype(np.int64), (h >> np.uint64(28) & np.uint64(0xFFFFFF)).astype(np.uint32)
 
 
-def _seen_often(base: DataFrame, run: int, is_open) -> np.ndarray:
-    """Two parts of 2^28 bits, as bytes: for hosts with a page that marks nothing, bits set wherever a suffix stands on two pages of its host, and for other hosts on three; by chance elsewhere.
+def _seen_often(base: DataFrame, run: int) -> np.ndarray:
+    """2^28 bits, as bytes: set wherever a suffix stands on two pages of its host; by chance elsewhere.
 
     Suffixes travel as 3 bytes each, packed by bucket, and each bucket owns 8 KB of the bits, so what comes to the driver does not grow.
     """
@@ -324,14 +313,14 @@ def _seen_often(base: DataFrame, run: int, is_open) -> np.ndarray:
                 suffixes = _Page(host, places, texts, run).suffixes
                 if len(suffixes):
                     bucket, mark = _fingerprints(np.unique(suffixes))
-                    found[0].append(bucket + (0 if is_open(host) else BUCKETS))
+                    found[0].append(bucket)
                     found[1].append(mark)
             if not found[0]:
                 continue
             bucket, mark = np.concatenate(found[0]), np.concatenate(found[1])
             order = np.argsort(bucket, kind="stable")
             bucket, raw = bucket[order], np.ascontiguousarray(mark[order].astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=2 * BUCKETS))
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=BUCKETS))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["bucket", "marks"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,13 +328,13 @@ def _seen_often(base: DataFrame, run: int, is_open) -> np.ndarray:
             raw = np.frombuffer(b"".join(one.column("marks").to_pylist()), np.uint8).reshape(-1, 3).astype(np.uint32)
             mark, n = np.unique(raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16, return_counts=True)
             bits = np.zeros(1 << 16, np.uint8)
-            bits[mark[n > (1 if one.column("bucket")[0].as_py() < BUCKETS else 2)] >> 8] = 1
+            bits[mark[n > 1] >> 8] = 1
             yield pa.RecordBatch.from_arrays([one.column("bucket").slice(0, 1), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["bucket", "bits"])
 
     columns = base.select("url", "html")
     partitions = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = columns.mapInArrow(packed, "bucket int, marks binary").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(counted, "bucket int, bits binary")
-    out = np.zeros((2 * BUCKETS, 1 << 13), np.uint8)
+    out = np.zeros((BUCKETS, 1 << 13), np.uint8)
     for row in slices.collect():
         out[row.bucket] = np.frombuffer(zlib.decompress(row.bits), np.uint8)
     return out.reshape(-1)
@@ -358,16 +347,12 @@ def repeated_runs(base: DataFrame, run: int) -> DataFrame:
     lie in one interval, and a longer repeat is a chain of intervals at following places, so the words under their beginnings are those of all repeated
     substrings of `run` words or more. An interval is counted with partial sums, so no task gathers a hot one. A host of n distinct pages must
     repeat a run on max(2, sqrt(n), n / 20) of them; common says that it does on max(3, n / 2), which is all that a host without open pages needs to
-    know (a page that holds one of the tags MARKED is not open here). Pages are counted by their sketches: how many
+    know; a page is open where its parse finds no article and no main part. Pages are counted by their sketches: how many
     different minima there are, for the place of the sketch that a third of all places exceed; so copies with a changed word or menu
     count as one page. Only suffixes that may stand on two pages leave the tasks.
     """
     spark = base.sparkSession
-    open_hosts, seen = staged_and_seen(_open_hosts(base), "html-open", n=F.count("*"))
-    # Hosts with an open page; where they are too many to be broadcast every host is taken for one, which costs work and changes nothing.
-    known = spark.sparkContext.broadcast({r.host for r in open_hosts.toLocalIterator()} if seen["n"] <= BROADCAST_ROWS else None)
-    is_open = lambda host: known.value is None or host in known.value
-    often = spark.sparkContext.broadcast(zlib.compress(_seen_often(base, run, is_open).tobytes(), 1))
+    often = spark.sparkContext.broadcast(zlib.compress(_seen_often(base, run).tobytes(), 1))
     kinds = pa.schema([("host", pa.string()), ("open", pa.bool_()), ("stream", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,10 +363,10 @@ def repeated_runs(base: DataFrame, run: int) -> DataFrame:
                 p = _Page(host, places, texts, run)
                 if not len(p.codes):
                     continue
-                keys, opened = np.unique(p.suffixes), is_open(host)
+                keys = np.unique(p.suffixes)
                 bucket, mark = _fingerprints(keys)
-                at = (bucket + (0 if opened else BUCKETS) << 16) + (mark >> 8).astype(np.int64)
-                made.append((host, opened, p.stream, keys[bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0], p.sketch()))
+                at = (bucket << 16) + (mark >> 8).astype(np.int64)
+                made.append((host, not p.marked, p.stream, keys[bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0], p.sketch()))
             yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], f.type) for k, f in enumerate(kinds)], schema=kinds)
 
     pages = staged(base.select("url", "html").mapInArrow(candidates, "host string, open boolean, stream long, keys array<long>, sketch array<long>"), "html-candidates")
@@ -391,7 +376,8 @@ def repeated_runs(base: DataFrame, run: int) -> DataFrame:
     )
     most = F.greatest(F.lit(3), F.ceil(F.col("n") / 2))
     needed = F.when(F.col("open"), F.ceil(F.greatest(F.lit(2), F.sqrt("n"), F.col("n") / 20))).otherwise(most)
-    hosts = staged(places(pages, "host", "open").select("host", needed.cast("long").alias("needed"), most.alias("most")), "html-hosts")
+    opened = pages.groupBy("host").agg(F.bool_or("open").alias("open"))
+    hosts = staged(places(pages, "host").join(opened, "host").select("host", needed.cast("long").alias("needed"), most.alias("most")), "html-hosts")
     each = pages.select("host", "stream", F.explode("keys").alias("key")).distinct()
     common = staged(each.groupBy("host", "key").agg(F.count("*").alias("n")).where("n > 1").join(hosts, "host").where("n >= needed").select("host", "key", "needed", "most"), "html-common")
     held = pages.select("host", "sketch", F.explode("keys").alias("key")).join(common, ["host", "key"])

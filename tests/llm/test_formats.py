@@ -340,3 +340,22 @@ def test_a_hot_payload(spark, tmp_path, monkeypatch):
     got = {r.page_id: (r.record_type, r.refers_to) for r in read_archives(write_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/h")).collect()}
     want = {k: ("revisit", 19) for k in range(19)} | {19: ("response", None), 200: ("response", None)} | {100 + k: ("revisit", 101 + k) if k % 2 == 0 else ("response", None) for k in range(8)}
     assert got == want
+
+
+def test_deep_pages_odd_letters_and_inline_elements_lose_no_text(spark):
+    spans = "<span>" * 600
+    deep = "<nav>menu" + spans + "</nav><article><p>main text</p></article>"
+    odd = "<article><p>" + "İ" * 20 + "</p><script>x</script><p>lost words here</p><p>next</p></article>"
+    inline = "<article><p>let <math><mi>x</mi></math> be a <label>term</label> b</p></article><form><label>mail</label></form>"
+    many = "<article>" + "".join(f"<p>{spans}row {k}" for k in range(40)) + "</article>"
+    rows = [(1, "http://a/", deep), (2, "http://b/", odd), (3, "http://c/", inline), (4, "http://d/", many)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "main text", 2: "İ" * 20 + "\nlost words here\nnext", 3: "let x be a term b", 4: "\n".join(f"row {k}" for k in range(40))}
+
+
+def test_a_tag_in_a_comment_or_a_menu_does_not_change_how_a_page_is_judged(spark):
+    notice = "<p>this host asks all readers to accept the terms of its many partners today</p>"
+    for mark in ("", "<!-- <article> -->", "<nav><article>m</article></nav>"):
+        rows = [(k, "http://h/", f"{mark}<p>{' '.join(f'w{k}x{j}' for j in range(30))}</p>" + notice * (k < 4)) for k in range(12)]
+        got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {k: " ".join(f"w{k}x{j}" for j in range(30)) for k in range(12)}
