@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferrule.functions import terms as te
+from ferrule.operators import patterns
 from ferrule.operators import termtree as tt
 from ferrule.plans.registry import query
 from ferrule.sources.tables import table
@@ -80,3 +81,19 @@ def kb_term_match(spark, d):
         .unionByName(spark.range(1).select(F.lit("twice").alias("term"), F.lit("part(N,_,N)").alias("text")))
     )
     return tt.matched(tt.nodes(patterns), tt.nodes(terms))
+
+
+@query("""with x as (select distinct l_orderkey as term, l_partkey as p, l_returnflag as f, l_shipdate as s from lineitem)
+  select term, 'rest' as part, 'g_part(' || p || ')' as text from x where f = 'N' union all select term, 'rest', '\\+ g_part(' || p || ')' from x where f = 'A'
+  union all select distinct term, 'scope', 'k' || p from x where f = 'R' union all select distinct term, 'supersession', strftime(s, '%Y%m%d') from x where f = 'R'""")
+def kb_guard_split(spark, d):
+    """Bodies of an order's clause with a guard for each line that came back; guards are set aside from the text."""
+    part, day = c("l_partkey").cast("string"), F.date_format("l_shipdate", "yyyyMMdd")
+    guards = F.concat(F.lit("\\+ exclusion(k"), part, F.lit("), evaluation_date(V), satisfies(exactly, V, less, "), day, F.lit(")"))
+    said = F.when(c("l_returnflag") == "R", guards).when(c("l_returnflag") == "A", F.concat(F.lit("\\+ g_part("), part, F.lit(")"))).otherwise(F.concat(F.lit("g_part("), part, F.lit(")")))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_shipdate").distinct()
+    bodies = lines.groupBy(c("l_orderkey").alias("term")).agg(F.array_join(F.sort_array(F.collect_list(said)), ", ").alias("text"))
+    found = patterns.guard_split(tt.nodes(bodies), "exclusion", "evaluation_date", "satisfies").select("term", "part", "text")
+    rest, guarded = found.where("part = 'rest'"), found.where("part <> 'rest'").distinct()
+    # Parts shipped on several days are one line each in the rest.
+    return rest.unionByName(guarded)
