@@ -2,20 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ferrule.sources.tables import staged
+
 COVERAGE = "region string, file string, page string, section string, status string"
 NOTE = "document string, region string, kept string, dropped string"
 SPAN = "document string, grp int, side string, start int, text string"
 
 
+def _ranges(spark: SparkSession, path: str) -> DataFrame:
+    """(path, start, n, text): the lines of the files under path, numbered from 1 in the byte range that a task has read. Staged, so the ranges stay what they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in batches:
+            path, start = batch.column("path").to_pylist(), batch.column("start").to_pylist()
+            numbers = []
+            for here in zip(path, start):
+                n = n + 1 if here == last else 1
+                last = here
+                numbers.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("start"), pa.array(numbers, pa.int64()), batch.column("text")], ["path", "start", "n", "text"])
+
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("text"))
+    return staged(rows.mapInArrow(run, "path string, start long, n long, text string"), "lines")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, text) of every line of the files under path, lines numbered from 1 in each file."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
-    numbered = F.transform(F.split("value", "\n", -1), lambda x, k: F.struct((k + 1).alias("line"), x.alias("text")))
-    return whole.select("path", F.explode(numbered).alias("l")).select("path", "l.line", "l.text")
+    """(path, line, text) of every line of the files under path, lines numbered from 1 in each file.
+
+    A file is read by many tasks: Spark cuts it into byte ranges at line ends, each range is numbered by itself, and the counts of the ranges before it in the file are added.
+    """
+    return _numbered(_ranges(spark, path)).select("path", (F.col("before") + F.col("n")).alias("line"), "text")
+
+
+def _numbered(ranges: DataFrame, marker: Column | None = None) -> DataFrame:
+    """ranges with before, the lines of the file's ranges before, and carried, the last marker in those. A file has a row for each of its ranges here, no more."""
+    said = F.lit(None).cast("string") if marker is None else marker
+    per = ranges.groupBy("path", "start").agg(F.count("*").alias("size"), F.max_by(said, F.when(said.isNotNull(), F.col("n"))).alias("said"))
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("path", "start", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"), F.last("said", ignorenulls=True).over(earlier).alias("carried"))
+    return ranges.join(per, ["path", "start"])
+
+
+def marked_lines(spark: SparkSession, path: str, marker: Column, name: str = "marker") -> DataFrame:
+    """(path, line, text, marker): lines with the last marker, an expression over text that is null on other lines, at or before each in its file.
+
+    Markers run within a byte range, and the last one of the ranges before is carried over, so no task goes through a whole file.
+    """
+    ranges = _numbered(_ranges(spark, path), marker)
+    here = F.last(marker, ignorenulls=True).over(Window.partitionBy("path", "start").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    return ranges.select("path", (F.col("before") + F.col("n")).alias("line"), "text", F.coalesce(here, F.col("carried")).alias(name))
 
 
 def tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -50,7 +93,7 @@ def clause_sites(spark: SparkSession, path: str) -> DataFrame:
     Returns (path, line, sentence, kind, predicate, arguments, body): kind is fact or rule, arguments the text between the head's
     parentheses, body the text after the neck. Comments and blank lines are left out.
     """
-    marked = running_markers(lines(spark, path), F.nullif(F.regexp_extract("text", r"^% S(\d+):", 1), F.lit("")), name="sentence")
+    marked = marked_lines(spark, path, F.nullif(F.regexp_extract("text", r"^% S(\d+):", 1), F.lit("")), "sentence")
     kept = marked.where("text not like '\\%%' and trim(text) <> ''")
     body = F.nullif(F.regexp_extract("text", r"^.*?\) :- (.*)\.\s*$", 1), F.lit(""))
     head = F.regexp_extract("text", r"^(.*?)(?: :- .*)?\.\s*$", 1)
