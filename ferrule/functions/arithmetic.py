@@ -51,12 +51,17 @@ def top_bit(x: Column) -> Column:
 
 def integer_power(base: Column, exponent: Column) -> Column:
     """base ** exponent for exponents from 0 on, refused before it could pass the bound."""
-    grows = exponent * F.ln(F.greatest(F.abs(base), F.lit(1)).cast("double"))
-    fits = (exponent >= 0) & (grows <= F.lit(62) * F.ln(F.lit(2.0)))
+    fits = power_fits(base, exponent)
     folded = F.aggregate(F.sequence(F.lit(1), F.greatest(exponent, F.lit(1)).cast("int")), F.lit(1).cast("bigint"), lambda p, _: p * base)
     return F.when(~fits, F.raise_error(F.lit("power out of bounds")).cast("bigint")).when(exponent == 0, F.lit(1).cast("bigint")).otherwise(folded)
 
 
+def power_fits(base: Column, exponent: Column) -> Column:
+    """Whether base ** exponent stays within the bound, without taking it."""
+    grows = exponent * F.ln(F.greatest(F.abs(base), F.lit(1)).cast("double"))
+    return (exponent >= 0) & (grows <= F.lit(62) * F.ln(F.lit(2.0)))
+
+
 def shifted_left(x: Column, n: int) -> Column:
     return F.when(F.abs(x) > F.lit(LIMIT >> n), F.raise_error(F.lit("shift out of bounds")).cast("bigint")).otherwise(F.shiftleft(x, n))
 

@@ -22,9 +22,10 @@ def _lookup(kind: Column, table: dict[str, int]) -> Column:
 
 
 def order_key(kind: Column, num: Column, text: Column) -> Column:
-    """A struct that sorts as terms do."""
+    """A struct that sorts as terms do. Numbers are compared as doubles first and, where those are equal, by their exact value, so num should be a long or a decimal for integers."""
+    exact = F.coalesce(num.try_cast("decimal(38,6)"), F.lit(0).cast("decimal(38,6)"))
     return F.struct(
-        _lookup(kind, RANK).alias("rank"), F.coalesce(num.cast("double"), F.lit(0.0)).alias("num"), F.coalesce(_lookup(kind, _TIE), F.lit(0)).alias("tie"), F.coalesce(text, F.lit("")).alias("text")
+        _lookup(kind, RANK).alias("rank"), F.coalesce(num.cast("double"), F.lit(0.0)).alias("num"), exact.alias("exact"), F.coalesce(_lookup(kind, _TIE), F.lit(0)).alias("tie"), F.coalesce(text, F.lit("")).alias("text")
     )
 
 
