@@ -13,10 +13,6 @@ KIND_ROLES = {"preposition": 3, "preference": 3, "time": 3, "property": 2, "qual
 #: Kinds of nodes that are concepts, and nouns that never form one.
 CONCEPTS = ("entity", "event", "value")
 NON_CONCEPTS = ("clinician", "patient", "benefit", "risk")
-#: Predicates that form no edge.
-UNPROJECTED = (
-    "guideline_schema_version", "guideline_document", "guideline_unit", "guideline_order", "guideline_range", "guideline_exclusion", "guideline_supersession", "guideline_evaluation_date",
-)
 
 
 def role(kind: Column, relation: Column) -> Column:

@@ -12,7 +12,7 @@ from ferrule.functions import quantities as qu
 from ferrule.functions import strings as st
 from ferrule.functions import terms as te
 from ferrule.operators import answers, checks, collect, graph, logic, prove, text, windows
-from ferrule.plans import answer_queries, builtin_queries, derivation_queries, forest_queries, network_queries, source_queries, term_queries  # noqa: F401  their queries are kept too
+from ferrule.plans import answer_queries, builtin_queries, derivation_queries, forest_queries, frame_queries, network_queries, source_queries, term_queries  # noqa: F401  their queries are kept too
 from ferrule.plans.registry import ORACLES, QUERIES, joined, query
 from ferrule.sources.tables import table
 from ferrule.streaming import events as ev
