@@ -77,3 +77,22 @@ def real_day(text: Column) -> Column:
 def context_term(day: Column) -> Column:
     """none, or date(YYYYMMDD)."""
     return F.when(day.isNull(), "none").otherwise(F.concat(F.lit("date("), F.replace(day, F.lit("-"), F.lit("")).cast("int").cast("string"), F.lit(")")))
+
+
+def plain_words(text: Column, actor: str) -> Column:
+    """Controlled wording for a reader: no article before a hyphenated noun, `every <actor>` as a plural, `that does` after it as `who do`, _ and - as spaces."""
+    plural = actor[:1].upper() + actor[1:] + "s"
+    out = F.regexp_replace(text, r"\b(?:a|an) ([A-Za-z0-9]+(?:-[A-Za-z0-9]+)+)\b", "$1")
+    out = F.regexp_replace(out, rf"(?i)\bevery {actor} that does\b", f"{plural} who do")
+    return F.regexp_replace(F.regexp_replace(out, rf"(?i)\bevery {actor}\b", plural), "[_-]+", " ")
+
+
+def named_place(document: Column, sentence: Column, locator: Column, display: Column) -> Column:
+    """'document — sentence n, ref k' where all three are known, else the text as displayed. locator is ref(k)."""
+    k = F.nullif(F.regexp_extract(locator, r"^ref\(([0-9]+)\)$", 1), F.lit(""))
+    return F.coalesce(F.concat(document, F.lit(" — sentence "), sentence.cast("string"), F.lit(", ref "), k), display)
+
+
+def node_label(kind: Column, label: Column) -> Column:
+    """A node's label for a reader: a document's as it is, others with _ and - as spaces."""
+    return F.when(kind == "document", label).otherwise(F.regexp_replace(label, "[_-]+", " "))

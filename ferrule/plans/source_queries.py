@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions import arithmetic as ar
+from ferrule.functions import readings as rd
 from ferrule.functions import strings as st
 from ferrule.functions import terms as te
-from ferrule.operators import logic, prove
+from ferrule.operators import codebook, logic, prove
 from ferrule.operators import text as located
 from ferrule.plans.registry import query
 from ferrule.sources import committed
@@ -144,3 +145,28 @@ def kb_growth_guard(spark, d):
     """Powers that stay within the bound, told before they are taken."""
     n = (c("p_size") % 20).cast("long")
     return table(spark, d, "part").select("p_partkey", n.alias("n"), ar.integer_power(F.lit(3).cast("long"), n).alias("power"), ar.power_fits(F.lit(3).cast("long"), (c("p_size") % 40).cast("long")).alias("fits"))
+
+
+@query("""select p_name as document, case when max(p_size) % 3 = 0 then 'recommendation' when max(p_size) % 3 = 1 then 'implementation' else 'supporting' end as kind from part where p_partkey in (select max(p_partkey) from part group by p_name) group by p_name""")
+def kb_document_kinds(spark, d):
+    """Documents named by coverage rows, of the kind their last row says."""
+    section = F.when(c("p_size") % 3 == 0, F.array(F.lit("part"), F.concat(F.lit("Recommendation "), c("p_size").cast("string")))).when(c("p_size") % 3 == 1, F.array(F.lit("Implementation considerations"))).otherwise(F.array(F.lit("Recommendation")))
+    rows = table(spark, d, "part").select(F.lpad(c("p_partkey").cast("string"), 12, "0").alias("region"), section.alias("section"), F.lit("ace").alias("state"), c("p_name").alias("detail"))
+    return codebook.document_kinds(rows)
+
+
+@query("""select o_custkey as id, count(*) as n, case when c_nationkey < 12 then c_mktsegment end as class from orders join customer on c_custkey = o_custkey group by all""")
+def kb_classified_concepts(spark, d):
+    """Customers with orders, classed by a codebook that has an entry for each."""
+    concepts = table(spark, d, "orders").groupBy(c("o_custkey").alias("id")).agg(F.count("*").alias("n"))
+    customers = table(spark, d, "customer").select(c("c_custkey").alias("id"), F.when(c("c_nationkey") < 12, c("c_mktsegment")).alias("class"))
+    book = customers.join(concepts, "id", "left_semi")
+    # Segments are a fixed handful.
+    classes = [r["class"] for r in customers.where("class is not null").select("class").distinct().collect()]
+    return codebook.classified(concepts.join(customers.select("id"), "id", "left_semi"), book, classes)
+
+
+@query("""select p_partkey, replace(replace(p_name || ' of ' || p_brand, '_', ' '), '-', ' ') as words, p_brand || ' — sentence ' || p_size || ', ref ' || p_partkey as place from part""")
+def kb_plain_readings(spark, d):
+    place = rd.named_place(c("p_brand"), c("p_size"), F.concat(F.lit("ref("), c("p_partkey").cast("string"), F.lit(")")), c("p_name"))
+    return table(spark, d, "part").select("p_partkey", rd.plain_words(F.concat("p_name", F.lit(" of "), "p_brand"), "buyer").alias("words"), place.alias("place"))
