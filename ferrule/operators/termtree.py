@@ -50,7 +50,10 @@ def _slots(texts: DataFrame, term: str, text: str) -> DataFrame:
 
 def refused(texts: DataFrame, term: str = "term", text: str = "text") -> DataFrame:
     """(term, reason) of texts that are no terms: balance (brackets or quotes do not close in order), argument (one is empty), null."""
-    rows = _slots(texts, term, text)
+    return _refused(_slots(texts, term, text), texts, term, text)
+
+
+def _refused(rows: DataFrame, texts: DataFrame, term: str, text: str) -> DataFrame:
     crossed = (F.col("role") == "end") & ((F.col("depth") < 1) | ((F.col("token") == ")") != (F.col("opened") == "(")))
     unclosed = F.col("token").isin("'", '"') & (F.col("role") == "content")
     balance = F.sum(F.when(F.col("role") == "begin", 1).when(F.col("role") == "end", -1).otherwise(0))
@@ -67,18 +70,17 @@ def refused(texts: DataFrame, term: str = "term", text: str = "text") -> DataFra
 
 def nodes(texts: DataFrame, term: str = "term", text: str = "text") -> DataFrame:
     """The nodes of all texts that are terms; others have none (see refused). term must be unique; a text's tokens are sorted within one task, as long as the text is."""
-    bad = refused(texts, term, text).select(F.col("term").alias(term))
-    rows = _slots(texts.join(bad, term, "left_anti"), term, text)
-    w = Window.partitionBy("term", "depth", "slot").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sized = rows.withColumn("__real", (F.col("role") == "content") & ~F.col("token").rlike(r"^\s+$"))
-    first = F.min(F.when(F.col("__real"), F.col("at"))).over(w)
-    sized = sized.withColumn("node", first.cast("int"))
-    last = F.max(F.when(F.col("__real"), F.col("at") + F.length("token")))
-    skeleton = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("__real"), F.struct("n", "token")))), lambda t: t["token"]), "")
-    slots = sized.where("node is not null").groupBy("term", "depth", "slot", "node").agg(F.max("bracket").alias("bracket"), last.alias("last"), skeleton.alias("skeleton"))
+    rows = staged(_slots(texts, term, text), "terms-tokens")
+    rows = rows.join(_refused(rows, texts, term, text).select("term"), "term", "left_anti")
+    real = (F.col("role") == "content") & ~F.col("token").rlike(r"^\s+$")
+    last = F.max(F.when(real, F.col("at") + F.length("token")))
+    skeleton = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(real, F.struct("n", "token")))), lambda t: t["token"]), "")
+    slots = rows.groupBy("term", "depth", "slot").agg(F.min(F.when(real, F.col("at"))).cast("int").alias("node"), F.max("bracket").alias("bracket"), last.alias("last"), skeleton.alias("skeleton"))
+    slots = staged(slots.where("node is not null"), "terms-slots")
     place = F.row_number().over(Window.partitionBy("term", "depth", "bracket").orderBy("slot"))
     # The argument of the level above that holds the bracket is the parent.
-    holds = sized.where((F.col("role") == "content") & F.col("token").isin(*_OPEN)).select("term", F.col("n").alias("bracket"), F.col("node").alias("parent"))
+    holds = rows.where((F.col("role") == "content") & F.col("token").isin(*_OPEN)).select("term", "depth", "slot", F.col("n").alias("bracket"))
+    holds = holds.join(slots.select("term", "depth", "slot", F.col("node").alias("parent")), ["term", "depth", "slot"]).select("term", "bracket", "parent")
     found = slots.withColumn("place", place).join(holds, ["term", "bracket"], "left").join(texts.select(F.col(term).alias("term"), F.col(text).alias("__text")), "term")
     bare = F.regexp_replace("skeleton", r"^(\\\+)+", "")
     source = F.substring("__text", F.col("node"), (F.col("last") - F.col("node")).cast("int"))
