@@ -26,9 +26,10 @@ def framed(clauses: DataFrame) -> DataFrame:
 
     Clauses of a sentence whose bodies are equal up to renaming are one frame; its variant is its number among the sentence's frames by first line.
     """
-    whole = te.canonical_clause(F.col("head"), F.col("body"))
-    head, body = F.substring_index(whole, " :- ", 1), F.substring_index(whole, " :- ", -1)
-    rows = clauses.select("document", "sentence", "line", F.when(F.col("body") == "", F.col("head")).otherwise(head).alias("head"), F.when(F.col("body") == "", "").otherwise(body).alias("body"))
+    # Names are written first: an expression inside a lambda is worked out for each token.
+    named = staged(clauses.select("document", "sentence", "line", "head", "body", te.variables(F.concat("body", F.lit(" "), "head")).alias("names")), "frames-names")
+    fresh = lambda text: te.renamed(F.col(text), F.col("names"), lambda k: F.concat(F.lit("V"), k)).alias(text)
+    rows = named.select("document", "sentence", "line", F.when(F.col("body") == "", F.col("head")).otherwise(fresh("head")).alias("head"), fresh("body"))
     return variant_numbers(rows, ["document", "sentence"], ["body"], ["line"]).withColumnRenamed("number", "variant").select(*FRAME, "line", "head", "body")
 
 
