@@ -38,12 +38,10 @@ def literals(frames: DataFrame) -> DataFrame:
     bodies = frames.where("body <> ''").groupBy(*FRAME, F.col("body").alias("text")).agg(F.min("line").alias("line")).withColumn("side", F.lit("body"))
     texts = bodies.unionByName(frames.select(*FRAME, "line", F.col("head").alias("text")).withColumn("side", F.lit("head")))
     texts = staged(texts.withColumn("term", F.struct(*FRAME, "side", "line")).select("term", "text"), "frames-texts")
-    table = staged(tt.nodes(texts), "frames-nodes")
+    table = staged(tt.nodes(texts).where("level = 0 or kind = 'compound' and level = 1").select("term", "node", "parent", "level", "kind", "functor", "negated", "arguments"), "frames-nodes")
     outer = table.where("kind = 'group' and parent is null").select("term", F.col("node").alias("parent"), F.col("negated").alias("outer"))
     said = table.where("kind = 'compound' and level <= 1").join(outer, ["term", "parent"], "left").where("level = 0 or outer is not null")
-    below = table.where("parent is not null").groupBy("term", F.col("parent").alias("node")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]).alias("arguments"))
-    found = said.join(below, ["term", "node"], "left")
-    return found.select(*[f"term.{c}" for c in FRAME], "term.side", "term.line", F.col("node").alias("place"), (F.col("negated") | F.coalesce("outer", F.lit(False))).alias("negated"), F.col("functor").alias("name"), F.coalesce("arguments", F.array().cast("array<string>")).alias("arguments"))
+    return said.select(*[f"term.{c}" for c in FRAME], "term.side", "term.line", F.col("node").alias("place"), (F.col("negated") | F.coalesce("outer", F.lit(False))).alias("negated"), F.col("functor").alias("name"), tt.texts_of().alias("arguments"))
 
 
 def body_boxes(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ferrule.operators.termtree import texts_of
+
 
 def paired(rows: DataFrame, by: list[str], order: str, match: Callable[[Column], Column]) -> DataFrame:
     """rows with half: 1 for the first row of a pair, 2 for its second, null for the rest.
@@ -33,16 +35,13 @@ def guard_split(table: DataFrame, exclusion: str, date: str, compared: str) -> D
     A scope guard is the negation of one exclusion(K), bare or in brackets; a supersession guard is date(V) right before compared(exactly, V, less, D), of one variable.
     place is that of the guard's first literal.
     """
-    below = table.where("parent is not null").groupBy("term", F.col("parent").alias("node")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]).alias("arguments"), F.count("*").alias("n"), F.min("node").alias("child")
-    )
-    items = table.where("parent is null").join(below, ["term", "node"], "left")
+    compound, lone = F.col("kind") == "compound", (F.col("kind") == "group") & (F.size("arguments") == 1)
+    items = table.where("parent is null").select(
+        "term", "place", "negated", "text", lone.alias("lone"), F.when(compound, F.col("functor")).alias("functor"), F.when(compound, texts_of()).alias("arguments"), F.when(lone, F.get("arguments", F.lit(0))["node"]).alias("child")
+    )
     # What a bracket with a single literal in it says.
-    inner = items.where("kind = 'compound'").select("term", "node", "functor", "arguments")
-    deeper = table.where("level = 1 and kind = 'compound' and not negated").select("term", "node", "functor").join(below.select("term", "node", "arguments"), ["term", "node"])
-    deeper = deeper.select("term", F.col("node").alias("child"), F.col("functor").alias("__functor"), F.col("arguments").alias("__arguments"))
-    items = items.drop("functor", "arguments").join(inner, ["term", "node"], "left").join(deeper, ["term", "child"], "left")
-    lone = (F.col("kind") == "group") & (F.col("n") == 1)
+    deeper = table.where("level = 1 and kind = 'compound' and not negated").select("term", F.col("node").alias("child"), F.col("functor").alias("__functor"), texts_of().alias("__arguments"))
+    items, lone = items.join(deeper, ["term", "child"], "left"), F.col("lone")
     items = items.select("term", "place", "negated", "text", F.when(lone, F.col("__functor")).otherwise(F.col("functor")).alias("name"), F.when(lone, F.col("__arguments")).otherwise(F.col("arguments")).alias("given"), "functor", "arguments")
     arg = lambda row, n: F.get(row, F.lit(n))
     dated = lambda nxt: (
