@@ -521,10 +521,12 @@ def kb_string_builtins(spark, d):
 @query("""select vec_id, len(embedding)::int as n, list_contains(x, 3) as has3, array_to_string(list_sort(x), ',') as sorted, array_to_string(list_sort(list_distinct(x)), ',') as uniq, list_max(x) as most, list_min(x) as least,
           array_to_string(x || [label], ',') as app, x[2] as second from (select *, list_transform(embedding, lambda v: floor(v * 20)::int) as x from embeddings)""")
 def kb_array_builtins(spark, d):
-    rows = table(spark, d, "embeddings").withColumn("x", F.transform("embedding", lambda v: F.floor(v * 20).cast("int")))
+    # Single precision, as the SQL multiplies.
+    rows = table(spark, d, "embeddings").withColumn("x", F.transform("embedding", lambda v: F.floor(v * F.lit(20).cast("float")).cast("int")))
+    has3 = F.coalesce(F.array_contains("x", 3), F.when(c("x").isNotNull(), F.lit(False)))
     return rows.select(
-        "vec_id", F.size("embedding").alias("n"), F.array_contains("x", 3).alias("has3"), joined(F.array_sort("x")).alias("sorted"), joined(F.array_sort(F.array_distinct("x"))).alias("uniq"), F.array_max("x").alias("most"),
-        F.array_min("x").alias("least"), joined(F.concat("x", F.array("label"))).alias("app"), F.element_at("x", 2).alias("second"),
+        "vec_id", F.size("embedding").alias("n"), has3.alias("has3"), joined(F.array_sort("x")).alias("sorted"), joined(F.array_sort(F.array_distinct("x"))).alias("uniq"), F.array_max("x").alias("most"),
+        F.array_min("x").alias("least"), joined(F.concat("x", F.array("label"))).alias("app"), F.get("x", F.lit(1)).alias("second"),
     )
 
 
