@@ -66,7 +66,7 @@ def kb_coverage_tsv(spark, d):
 @query("""select 'd' || s_suppkey as document, 'n' || s_nationkey as region, s_name as kept, 'balance ' || s_acctbal::bigint as dropped from supplier""")
 def kb_projection_notes(spark, d):
     supplier = table(spark, d, "supplier")
-    balance = F.concat(F.lit("balance "), F.round("s_acctbal").cast("long").cast("string"))
+    balance = F.concat(F.lit("balance "), F.rint("s_acctbal").cast("long").cast("string"))
     rows = supplier.select(_fields(F.concat(F.lit("d"), c("s_suppkey").cast("string")), F.concat(F.lit("n"), c("s_nationkey").cast("string")), c("s_name"), balance).alias("value"))
     return pv.projection_notes(spark, _written(rows, "notes"))
 

@@ -20,3 +20,10 @@ def test_array_builtins_multiply_in_single_precision(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got, want = _both(spark, tmp_path, "embeddings", "kb_array_builtins")
     assert got == want
+
+
+def test_projection_notes_round_halves_to_even(spark, tmp_path):
+    rows = [(1, 2, "a", 9052.5), (2, 2, "b", 9053.5), (3, 0, "c", -0.5), (4, 0, "d", -175.5), (5, 1, "e", 12.49), (6, 1, "f", 0.0)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_name string, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got, want = _both(spark, tmp_path, "supplier", "kb_projection_notes")
+    assert got == want and ("d1", "n2", "a", "balance 9052") in got
