@@ -30,7 +30,8 @@ def tokens(text: str | None) -> list[str]:
     return _WORDS.findall(text.lower()) if text else []
 
 
-@lru_cache(maxsize=1 << 18)
+# Workers live on from stage to stage and keep this: common words serve, and a few MB a worker.
+@lru_cache(maxsize=1 << 15)
 def _code(word: str) -> int:
     return xxhash.xxh64_intdigest(word)
 

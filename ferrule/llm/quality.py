@@ -71,7 +71,7 @@ def votes(values: list[float]) -> list[int]:
     return [GOOD if values[k] <= low else BAD if values[k] > high else ABSTAIN for _, k, low, high in LABELLERS]
 
 
-@lru_cache(maxsize=1 << 17)
+@lru_cache(maxsize=1 << 15)
 def _code(word: str) -> int:
     return xxhash.xxh64_intdigest(word)
 
