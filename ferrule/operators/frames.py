@@ -15,7 +15,6 @@ from pyspark.sql.window import Window
 from ferrule.functions import terms as te
 from ferrule.operators import termtree as tt
 from ferrule.operators.census import NON_CONCEPTS
-from ferrule.operators.windows import variant_numbers
 from ferrule.sources.tables import staged
 
 FRAME = ["document", "sentence", "variant"]
@@ -26,22 +25,20 @@ def framed(clauses: DataFrame) -> DataFrame:
 
     Clauses of a sentence whose bodies are equal up to renaming are one frame; its variant is its number among the sentence's frames by first line.
     """
-    # Names are written first: an expression inside a lambda is worked out for each token.
-    named = staged(clauses.select("document", "sentence", "line", "head", "body", te.variables(F.concat("body", F.lit(" "), "head")).alias("names")), "frames-names")
-    fresh = lambda text: te.renamed(F.col(text), F.col("names"), lambda k: F.concat(F.lit("V"), k)).alias(text)
-    rows = named.select("document", "sentence", "line", F.when(F.col("body") == "", F.col("head")).otherwise(fresh("head")).alias("head"), fresh("body"))
-    return variant_numbers(rows, ["document", "sentence"], ["body"], ["line"]).withColumnRenamed("number", "variant").select(*FRAME, "line", "head", "body")
+    # A sentence's clauses meet once: what follows goes by (document, sentence), or finer.
+    rows = tt.renamed_clauses(clauses.select("document", "sentence", "line", "head", "body").dropna(subset=["document", "sentence", "body"])).repartition("document", "sentence")
+    first = rows.withColumn("__first", F.min("line").over(Window.partitionBy("document", "sentence", "body")))
+    variant = F.dense_rank().over(Window.partitionBy("document", "sentence").orderBy("__first", "body"))
+    return first.withColumn("variant", variant).select(*FRAME, "line", "head", "body")
 
 
 def literals(frames: DataFrame) -> DataFrame:
     """(document, sentence, variant, side, line, place, negated, name, arguments): the literals of frames, a body's once; those in a negated bracket are negated. place is where a literal stands in its text."""
-    bodies = frames.where("body <> ''").groupBy(*FRAME, F.col("body").alias("text")).agg(F.min("line").alias("line")).withColumn("side", F.lit("body"))
-    texts = bodies.unionByName(frames.select(*FRAME, "line", F.col("head").alias("text")).withColumn("side", F.lit("head")))
-    texts = staged(texts.withColumn("term", F.struct(*FRAME, "side", "line")).select("term", "text"), "frames-texts")
-    table = staged(tt.nodes(texts).where("level = 0 or kind = 'compound' and level = 1").select("term", "node", "parent", "level", "kind", "functor", "negated", "arguments"), "frames-nodes")
-    outer = table.where("kind = 'group' and parent is null").select("term", F.col("node").alias("parent"), F.col("negated").alias("outer"))
-    said = table.where("kind = 'compound' and level <= 1").join(outer, ["term", "parent"], "left").where("level = 0 or outer is not null")
-    return said.select(*[f"term.{c}" for c in FRAME], "term.side", "term.line", F.col("node").alias("place"), (F.col("negated") | F.coalesce("outer", F.lit(False))).alias("negated"), F.col("functor").alias("name"), tt.texts_of().alias("arguments"))
+    nth = F.row_number().over(Window.partitionBy(*FRAME).orderBy("line"))
+    body = F.when((F.col("__nth") == 1) & (F.col("body") != ""), F.col("body"))
+    sides = F.array(F.struct(F.lit("body").alias("side"), body.alias("text")), F.struct(F.lit("head").alias("side"), F.col("head").alias("text")))
+    texts = frames.withColumn("__nth", nth).select(*FRAME, "line", F.explode(sides).alias("t")).select(F.struct(*FRAME, "t.side", "line").alias("term"), "t.text")
+    return tt.literals(texts).select(*[f"term.{c}" for c in FRAME], "term.side", "term.line", "place", "negated", "name", "arguments")
 
 
 def body_boxes(rows: DataFrame) -> DataFrame:
@@ -121,9 +118,10 @@ def starts(view: View, roles: list[str], verbs: list[str]) -> DataFrame:
 
     Second arguments of what the body states plainly in the actual world: first of events whose subject is one of roles, in order, then of events of the verbs.
     """
-    noun = lambda n, name: view.arguments.where(F.col("n") == n).join(view.nouns, [*FRAME, "ref"]).select(*FRAME, "event", F.col("word").alias(name))
+    named = view.arguments.where("n in (1, 2)").join(view.nouns, [*FRAME, "ref"])
+    nouns = named.groupBy(*FRAME, "event").agg(*[F.max(F.when(F.col("n") == n, F.col("word"))).alias(name) for n, name in ((1, "subject"), (2, "concept"))])  # one word each
     plain = view.events.where("side = 'body' and context = 'actual' and not negated").select(*FRAME, F.col("ref").alias("event"), "verb", "nth")
-    rows = plain.join(noun(2, "concept"), [*FRAME, "event"]).join(noun(1, "subject"), [*FRAME, "event"], "left").where(~F.col("concept").isin(*NON_CONCEPTS))
+    rows = plain.join(nouns.where("concept is not null"), [*FRAME, "event"]).where(~F.col("concept").isin(*NON_CONCEPTS))
     part = F.when(F.col("subject").isin(*roles), 1).when(F.col("verb").isin(*verbs), 2)
     first = rows.withColumn("part", part).where("part is not null").groupBy(*FRAME, "concept").agg(F.min(F.struct("part", "nth")).alias("at"))
     return first.select(*FRAME, F.row_number().over(Window.partitionBy(*FRAME).orderBy("at")).alias("place"), "concept")
