@@ -8,6 +8,9 @@ from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of one data file, so that a task which sums it holds a bounded part.
+FILE_ROWS = 20_000
+
 MANIFEST = "file string, bytes long, sha256 string"
 
 
@@ -26,10 +29,11 @@ def write_committed(df: DataFrame, path: str) -> DataFrame:
     spark, version = df.sparkSession, uuid.uuid4().hex
     data = f"{path}/data-{version}"
     try:
-        df.write.option("ignoreNullFields", False).json(data)
+        df.write.option("ignoreNullFields", False).option("maxRecordsPerFile", FILE_ROWS).json(data)
         found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(data)
         listed = found.select(F.concat(F.lit(f"data-{version}/"), F.element_at(F.split("path", "/"), -1)).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-        listed.coalesce(1).write.json(f"{path}/_manifest-{version}")
+        # Each task reads and sums its own files; only their names and sums meet in the one file of the manifest.
+        listed.repartition(1).write.json(f"{path}/_manifest-{version}")
     except Exception:
         for left in (data, f"{path}/_manifest-{version}"):
             fs, at = _at(spark, left)

@@ -59,3 +59,11 @@ def test_a_failing_write_leaves_what_was_there(spark, tmp_path):
     assert data.exists()
     with pytest.raises(ValueError, match="manifest"):
         committed.read_committed(spark, path, schema)
+
+
+def test_a_committed_folder_has_data_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(committed, "FILE_ROWS", 10, raising=False)
+    path = f"file://{tmp_path}/bounded"
+    listed = committed.write_committed(spark.range(25).coalesce(1), path)
+    assert listed.count() == 3 and len(listed.inputFiles()) == 1
+    assert sorted(x.id for x in committed.read_committed(spark, path, "id long").collect()) == list(range(25))
