@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ferrule.operators import forest
 from ferrule.plans.registry import query
-from ferrule.sources.tables import table
+from ferrule.sources.tables import staged, table
 
 c = F.col
 
@@ -42,7 +42,7 @@ _EVENTS = """with recursive x as (select l_orderkey as document, l_linenumber as
 
 @query(_EVENTS + """ select v.document, 'e' || v.k as event, case when round.document is null then 'e' || r.parent end as parent, round.document is not null as circular from v left join r on v.document = r.document and v.k = r.k left join round on v.document = round.document""")
 def kb_embedding_parents(spark, d):
-    events = _events(spark, d)
+    events = staged(_events(spark, d), "events")
     contexts = events.select("document", F.lit("inner").alias("context"), F.lit("actual").alias("outer")).distinct()
     return forest.embedded(events, contexts, ["document"])
 
@@ -53,7 +53,7 @@ def kb_embedding_parents(spark, d):
   select document, 'e' || owner as event, k::bigint as ordinal from tree union all select distinct a.document, 'e' || a.owner, 100 + substr(a.ref, 2)::bigint + case when a.ref[1] = 's' then 10 else 0 end from about a""")
 def kb_owned_heads(spark, d):
     """An order's heads: one for each line, about its event and naming its objects, and one for each object that any line names, about that."""
-    events = _events(spark, d)
+    events = staged(_events(spark, d), "events")
     contexts = events.select("document", F.lit("inner").alias("context"), F.lit("actual").alias("outer")).distinct()
     placed = forest.embedded(events, contexts, ["document"]).where("not circular").select("document", "event", "parent")
     ref = c("ref")

@@ -111,3 +111,18 @@ def test_embedding_and_owned_heads_equal_walks(spark):
     heads = spark.createDataFrame(all_heads, "g int, ordinal int, name string, low string, refs array<string>, quantity string").withColumn("ranged", F.col("name") == "range")
     mine = forest.owned(heads, got.where("not circular").select("g", "event", "parent"), ["g"], F.when(F.col("name") == "interval", F.col("quantity")))
     assert {tuple(x) for x in mine.collect()} == own
+
+
+@pytest.mark.parametrize("small", [2, 10_000])
+def test_small_groups_are_settled_in_one_step_and_large_ones_by_rounds(spark, monkeypatch, small):
+    monkeypatch.setattr(forest, "SMALL", small)
+    rounds, plain = [], forest.staged_and_seen
+    monkeypatch.setattr(forest, "staged_and_seen", lambda df, label, **m: rounds.append(label) or plain(df, label, **m))
+    rows = [(1, "a", None), (1, "b", "a"), (1, "c", "b"), (2, "a", "b"), (2, "b", "a"), (2, "c", "a"), (3, "a", "z"), (4, "a", "a"), (None, "a", None), (None, "b", "a"), (None, "c", "a")]
+    got = {tuple(x) for x in forest.roots(spark.createDataFrame(rows, "g int, id string, parent string"), ["g"]).collect()} - {(None, "a", "a", 0), (None, "b", "a", 1), (None, "c", "a", 1), (None, "b", "a", None)}
+    assert {x for x in got if x[0]} == {(1, "a", "a", 0), (1, "b", "a", 1), (1, "c", "a", 2), (2, "a", None, None), (2, "b", None, None), (2, "c", None, None), (3, "a", "z", 1), (4, "a", None, None)}
+    assert ("forest-roots" in rounds) == (small == 2)
+    heads = [(g, n, low, refs) for g in (1, 2) for n, low, refs in [(1, "e1", ["x", "e2"]), (2, "x", ["y"]), (3, "y", ["x"]), (4, "e2", []), (5, "e3", ["y"]), (6, "q", [])]][: 9 if small == 2 else 12]
+    events = [(g, e, p) for g in (1, 2) for e, p in [("e1", None), ("e2", None), ("e3", "e2")]]
+    mine = forest.owned(spark.createDataFrame(heads, "g int, ordinal int, low string, refs array<string>"), spark.createDataFrame(events, "g int, event string, parent string"), ["g"])
+    assert {tuple(x)[1:] for x in mine.where("g = 1").collect()} == {("e1", 1), ("e1", 2), ("e1", 3), ("e2", 4), ("e2", 5), ("e2", 3), ("e2", 2)}
