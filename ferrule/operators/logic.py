@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ferrule.sources.tables import staged_and_seen
+
+#: Most rows of a table that is looked up by broadcast.
+BROADCAST_ROWS = 500_000
+
 
 def _shared(a: DataFrame, b: DataFrame) -> list[str]:
     return [c for c in a.columns if c in b.columns]
@@ -49,10 +54,10 @@ def for_all(goal: DataFrame, condition: DataFrame, action: Column) -> DataFrame:
 
 def divide(rows: DataFrame, key: str, value: str, required: DataFrame) -> DataFrame:
     """Keys that occur with every required value (relational division). required has the column value and is counted, not collected."""
-    need = required.select(value).distinct()
-    total = need.agg(F.count("*").alias("need"))
-    have = rows.join(need, value, "left_semi").groupBy(key).agg(F.count_distinct(value).alias("have"))
-    return have.join(F.broadcast(total), F.col("have") == F.col("need")).select(key)  # total is one row
+    need, seen = staged_and_seen(required.select(value).distinct(), "required", n=F.count("*"))
+    # A join by few values would bring each one's rows into one task: those are looked up where the rows stand.
+    have = rows.select(key, value).join(F.broadcast(need) if seen["n"] <= BROADCAST_ROWS else need, value, "left_semi").distinct().groupBy(key).agg(F.count(value).alias("have"))
+    return have.where(F.col("have") == seen["n"]).select(key)
 
 
 def first(goal: DataFrame, per: list[str], order: list) -> DataFrame:

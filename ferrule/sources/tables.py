@@ -14,6 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a task takes at a time where their number decides on the tasks.
+TASK_ROWS = 250_000
+
+
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """rows dealt by columns, or evenly without any, to tasks whose number grows with the rows, so that a task's part stays bounded and a small file is no one task. rows are counted first."""
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    return rows.repartition(tasks, *by)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach: spark.checkpoint.dir. Unset, a local folder serves on one machine; a cluster is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -192,3 +192,18 @@ def test_turn_events_and_streams(spark, tmp_path):
     job.awaitTermination(60)
     assert sorted((r.n, r.total) for r in spark.table("windows").collect()) == [(1, 4.0), (2, 3.0)]
     assert sorted(r.n for r in ev.session_counts(spark.read.parquet(f"{tmp_path}/e")).collect()) == [1, 2]
+
+
+def test_division_brings_no_value_into_one_task_and_rows_are_spread_by_their_number(spark, monkeypatch):
+    seen = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (3, "a"), (3, "b"), (3, "c")], "x int, n string")
+    need = spark.createDataFrame([("a",), ("b",), ("a",)], "n string")
+    found = logic.divide(seen, "x", "n", need)
+    assert sorted(r.x for r in found.collect()) == [1, 3] and logic.divide(seen, "x", "n", need.limit(0)).collect() == []
+    assert "BroadcastHashJoin [n#" in found._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(logic, "BROADCAST_ROWS", 1)
+    assert sorted(r.x for r in logic.divide(seen, "x", "n", need).collect()) == [1, 3]
+    from ferrule.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 10)
+    rows = tables.spread(spark.range(95).coalesce(1))
+    assert rows.rdd.getNumPartitions() == 10 and rows.count() == 95
