@@ -85,11 +85,13 @@ def body_edges(clauses: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _conditions(clauses: DataFrame) -> DataFrame:
     """(document, sentence, source, target, line, ordinal, world, nth): each event of a clause's body with the event its head states, nth from 1 among those that say the same in a sentence."""
-    events = clauses.where("predicate = 'event'").select("document", "sentence", "line", "in_body", "ordinal", "world", node_name(F.lit("event"), F.col("document"), _arg(0)).alias("id")).distinct()
-    body = events.where("in_body").select("document", "sentence", "line", "ordinal", "world", F.col("id").alias("source"))
-    head = events.where("not in_body").select("document", "sentence", "line", F.col("id").alias("target")).distinct()
+    events = clauses.where("predicate = 'event'").select("document", "sentence", "line", "in_body", "ordinal", "world", node_name(F.lit("event"), F.col("document"), _arg(0)).alias("id"))
+    # Windows, not joins: clauses that lie by document and sentence, or by document, are not shuffled again.
+    met = events.distinct()
+    heads = F.collect_set(F.when(~F.col("in_body"), F.col("id"))).over(Window.partitionBy("document", "sentence", "line"))
+    both = met.withColumn("target", heads).where("in_body").select("document", "sentence", "line", "ordinal", "world", F.col("id").alias("source"), F.explode("target").alias("target"))
     w = Window.partitionBy("document", "sentence", "source", "target").orderBy("line", "ordinal", "world")
-    return body.join(head, ["document", "sentence", "line"]).where("source <> target").withColumn("nth", F.row_number().over(w))
+    return both.where("source <> target").withColumn("nth", F.row_number().over(w))
 
 
 def condition_edges(clauses: DataFrame) -> DataFrame:
@@ -104,16 +106,17 @@ def condition_edges(clauses: DataFrame) -> DataFrame:
 
 def condition_merges(clauses: DataFrame) -> DataFrame:
     """(document, sentence, source, target, kept_line, kept_world, line, world): conditions left out of condition_edges because the sentence said them before, and where."""
-    rows = _conditions(clauses)
-    kept = rows.where("nth = 1").select("document", "sentence", "source", "target", F.col("line").alias("kept_line"), F.col("world").alias("kept_world"))
-    return rows.where("nth > 1").join(kept, ["document", "sentence", "source", "target"]).select("document", "sentence", "source", "target", "kept_line", "kept_world", "line", "world")
+    w = Window.partitionBy("document", "sentence", "source", "target").orderBy("nth")
+    rows = _conditions(clauses).withColumn("kept_line", F.first("line").over(w)).withColumn("kept_world", F.first("world").over(w))
+    return rows.where("nth > 1").select("document", "sentence", "source", "target", "kept_line", "kept_world", "line", "world")
 
 
 def context_edges(clauses: DataFrame) -> DataFrame:
     """(kind, source, target, label, document, sentence, line): from the context of a clause that has a body to the node its head states: the declared one, or the event of an argument."""
-    with_body = clauses.where("in_body").select("document", "sentence", "line").distinct()
     kind = F.coalesce(_mapped(DECLARING), F.when(F.col("predicate") == "argument", "event"))
-    heads = clauses.where("not in_body").withColumn("__kind", kind).where("__kind is not null").join(with_body, ["document", "sentence", "line"], "left_semi")
+    has_body = F.max("in_body").over(Window.partitionBy("document", "sentence", "line"))
+    rows = clauses.select("document", "sentence", "line", "predicate", "in_body", "world", "args", kind.alias("__kind")).where("in_body or __kind is not null").withColumn("__body", has_body)
+    heads = rows.where("__body and not in_body")
     context = F.concat(F.lit("context:"), F.col("document").cast("string"), F.lit(":"), F.col("world"))
     return heads.select(F.lit("implies").alias("kind"), context.alias("source"), node_name(F.col("__kind"), F.col("document"), _arg(0)).alias("target"), F.concat(F.lit("condition implies "), "predicate").alias("label"), "document", "sentence", "line").distinct()
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ferrule.operators import census, clauses, concepts, graph, resolve
 from ferrule.operators.rules import Literal, Rule, consequences
 from ferrule.plans.registry import query
-from ferrule.sources.tables import table
+from ferrule.sources.tables import spread, table
 
 c = F.col
 
@@ -55,18 +56,25 @@ def kb_annotation_edges(spark, d):
     return clauses.annotation_edges(rows, clauses.declared(rows))
 
 
-def rule_clauses(spark, d):
-    """Each line of an order a clause: its head states an event, its body has two events in worlds of their own, an argument and a grade; lines of returned goods are another sentence."""
+def rule_clauses(spark, d, dealt: bool = True):
+    """Each line of an order a clause: its head states an event, its body has two events in worlds of their own, an argument and a grade; lines of returned goods are another sentence. dealt: they lie by sentence."""
     name = lambda tag, value: F.concat(F.lit(tag), value.cast("string"))
     lit = lambda place, predicate, body, world, *args: F.struct(F.lit(place).alias("ordinal"), F.lit(predicate).alias("predicate"), F.lit(body).alias("in_body"), world.alias("world"), F.array(*args).alias("args"))
-    head, first, second, part = name("h", c("l_linenumber") % 2), name("q", c("l_partkey") % 4), name("q", c("l_suppkey") % 4), name("p", c("l_partkey") % 9)
+    head, first, second, part = name("h", c("line") % 2), name("q", c("l_partkey") % 4), name("q", c("l_suppkey") % 4), name("p", c("l_partkey") % 9)
     actual, world = F.lit("actual"), c("l_linestatus")
     said = F.array(
         lit(0, "event", False, actual, head, F.lit("do")), lit(1, "event", True, world, first, F.lit("hold")), lit(2, "event", True, actual, second, F.lit("hold")),
         lit(3, "argument", True, world, first, F.lit("1"), part), lit(4, "grade", True, actual, second, c("l_returnflag")),
     )
     sentence = F.when(c("l_returnflag") == "R", 2).otherwise(1)
-    return table(spark, d, "lineitem").select(c("l_orderkey").alias("document"), sentence.alias("sentence"), c("l_linenumber").alias("line"), F.explode(said).alias("s")).select("document", "sentence", "line", "s.*").distinct()
+    lines = table(spark, d, "lineitem").select(c("l_orderkey").alias("document"), sentence.alias("sentence"), c("l_linenumber").alias("line"), "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag")
+    if not dealt:
+        return lines.select("document", "sentence", "line", F.explode(said).alias("s")).select("document", "sentence", "line", "s.*").distinct()
+    # A sentence's lines meet before they are taken apart; a clause that an earlier row of its line states is left out.
+    w = Window.partitionBy("document", "sentence", "line").orderBy("l_partkey", "l_suppkey", "l_linestatus", "l_returnflag").rowsBetween(Window.unboundedPreceding, -1)
+    met = spread(lines, "document", "sentence").withColumn("said", said).withColumn("before", F.collect_list("said").over(w))
+    new = F.when(F.size("before") == 0, c("said")).otherwise(F.array_except("said", F.flatten("before")))
+    return met.select("document", "sentence", "line", F.explode(new).alias("s")).select("document", "sentence", "line", "s.*")
 
 
 _R = """l as (select distinct l_orderkey as document, case when l_returnflag = 'R' then 2 else 1 end as sentence, l_linenumber as line, 'h' || l_linenumber % 2 as h, 'q' || l_partkey % 4 as q1, 'q' || l_suppkey % 4 as q2, 'p' || l_partkey % 9 as p, l_linestatus as world, l_returnflag as flag from lineitem),
@@ -89,7 +97,7 @@ def kb_condition_merges(spark, d):
     select distinct document, sentence, line, 'argument' as kind, 'event:' || document || ':' || q1 as source, 'minted:' || document || ':' || p as target, 'argument 1' as label, world from l
     union all select distinct document, sentence, line, 'grade', 'event:' || document || ':' || q2, 'word:' || flag, flag, 'actual' from l) group by all""")
 def kb_body_edges(spark, d):
-    rows = rule_clauses(spark, d)
+    rows = rule_clauses(spark, d, False)
     return clauses.body_edges(rows, clauses.declared(rows))
 
 

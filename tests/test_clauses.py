@@ -46,3 +46,10 @@ def test_property_referents_must_be_reached(spark):
     clauses.refuse_unreached(spark.createDataFrame([("b",), ("c",)], "id string"), edges)
     with pytest.raises(ValueError, match="2 property referents that no edge reaches, first a"):
         clauses.refuse_unreached(spark.createDataFrame([("b",), ("a",), ("x",), ("a",)], "id string"), edges)
+
+
+def test_conditions_of_clauses_that_lie_by_sentence_take_no_further_shuffle(spark):
+    df = rows(spark, ("d", 1, 1, 0, "event", False, "actual", ["z", "do"]), ("d", 1, 1, 1, "event", True, "actual", ["x", "have"]), ("d", 1, 2, 0, "event", False, "actual", ["z", "do"]), ("d", 1, 2, 1, "event", True, "w", ["x", "have"])).repartition(3, "document", "sentence")
+    for found in (clauses.condition_edges(df), clauses.condition_merges(df), clauses.context_edges(df).drop("target")):
+        assert found.count() > 0
+    assert clauses.condition_merges(df)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
