@@ -8,7 +8,7 @@ from ferrule.functions import arithmetic as ar
 from ferrule.functions import readings as rd
 from ferrule.functions import terms as te
 from ferrule.plans.registry import joined, query
-from ferrule.sources.tables import table
+from ferrule.sources.tables import spread, table
 
 c = F.col
 
@@ -93,7 +93,7 @@ def kb_term_variables(spark, d):
     s, b = F.concat(F.lit("S"), c("p_size").cast("string")), F.concat(F.lit("B"), c("p_partkey").cast("string"))
     body = F.concat(F.lit("need("), s, F.lit(',"Not A"),has('), b, F.lit(","), s, F.lit(",'Q',_)"))
     head = F.concat(F.lit("gets("), b, F.lit(","), s, F.lit(")"))
-    return table(spark, d, "part").select(
+    return spread(table(spark, d, "part").select("p_partkey", "p_size")).select(
         "p_partkey", joined(te.variables(body)).alias("vars"), te.copied(body, c("p_partkey").cast("string")).alias("copy"), te.canonical_clause(head, body).alias("canonical"), te.grounded(body, "k").alias("fixed"), te.is_ground(body).alias("ground")
     )
 
@@ -102,7 +102,7 @@ def kb_term_variables(spark, d):
 def kb_term_equality(spark, d):
     a, b = F.concat(F.lit("sk"), c("l_partkey").cast("string")), F.concat(F.lit("sk"), c("l_suppkey").cast("string"))
     text = F.concat(F.lit("p("), a, F.lit(","), b, F.lit(",x)"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", te.normalised_constants(text, "sk[0-9]+").alias("normal"), te.same_term(te.call("f", a), te.call("f", b)).alias("same"))
+    return spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).select("l_orderkey", "l_linenumber", te.normalised_constants(text, "sk[0-9]+").alias("normal"), te.same_term(te.call("f", a), te.call("f", b)).alias("same"))
 
 
 @query(r"""select doc_id, not regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{202a}-\x{202e}\x{2066}-\x{2069}]') as safe from documents""")

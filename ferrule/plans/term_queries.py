@@ -8,7 +8,7 @@ from ferrule.functions import terms as te
 from ferrule.operators import patterns
 from ferrule.operators import termtree as tt
 from ferrule.plans.registry import query
-from ferrule.sources.tables import table
+from ferrule.sources.tables import spread, table
 
 c = F.col
 
@@ -74,7 +74,7 @@ def kb_term_match(spark, d):
     """Patterns with variables made from the parts' brands and sizes, and one whose variable stands twice, matched to a term for each part."""
     parts = table(spark, d, "part")
     brand = F.concat(F.lit("'"), c("p_brand"), F.lit("'"))
-    terms = parts.select(c("p_partkey").alias("term"), te.call("part", c("p_size").cast("string"), te.call("t", brand, F.concat(F.lit("'"), c("p_type"), F.lit("'"))), (c("p_partkey") % 50).cast("string")).alias("text"))
+    terms = spread(parts.select("p_partkey", "p_size", "p_brand", "p_type")).select(c("p_partkey").alias("term"), te.call("part", c("p_size").cast("string"), te.call("t", brand, F.concat(F.lit("'"), c("p_type"), F.lit("'"))), (c("p_partkey") % 50).cast("string")).alias("text"))
     patterns = (
         parts.select(c("p_brand").alias("term"), te.call("part", F.lit("_"), te.call("t", brand, F.lit("T")), F.lit("N")).alias("text")).distinct()
         .unionByName(parts.select(F.concat(F.lit("size "), c("p_size").cast("string")).alias("term"), te.call("part", c("p_size").cast("string"), F.lit("X"), F.lit("Y")).alias("text")).distinct())
