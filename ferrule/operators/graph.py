@@ -179,11 +179,21 @@ def search(nodes: DataFrame, query: str, limit: int = 24) -> DataFrame:
     return nodes.where(match).select("id", "kind", "label", score.alias("score")).orderBy("score", padded_digits(F.col("label")), "kind", "id").limit(limit)
 
 
-def evidence(edges: DataFrame, cited: DataFrame) -> DataFrame:
-    """Edges of the cited (document, sentence) rows; a null sentence cites its whole document."""
-    exact = edges.join(cited.where("sentence is not null"), ["document", "sentence"], "left_semi")
-    whole = edges.join(cited.where("sentence is null").select("document"), "document", "left_semi")
-    return exact.unionByName(whole).distinct()
+def evidence(rows: DataFrame, cited: DataFrame) -> DataFrame:
+    """Distinct rows, such as edges, of the cited (document, sentence) rows; a null sentence cites its whole document.
+
+    rows are read once: those of documents that are not cited go first, and only the others are looked up by sentence. What comes out lies by document and sentence.
+    """
+    near = rows.join(cited.groupBy("document").agg(F.bool_or(F.col("sentence").isNull()).alias("__whole")), "document")
+    exact = cited.where("sentence is not null").select("document", "sentence").distinct().withColumn("__exact", F.lit(True))
+    return near.join(exact, ["document", "sentence"], "left").where("__whole or __exact").select(*rows.columns).distinct()
+
+
+def line_edges(lines: DataFrame) -> DataFrame:
+    """(kind, source, target, document, sentence, scope): the two edges of each line item (document, sentence, part, supplier, scope), as star_edges has them. Rows stay where they lie."""
+    ends = [F.struct(F.lit(kind).alias("kind"), source.alias("source")) for kind, source in (("contains", node_id("order", F.col("document"))), ("supplies", node_id("supplier", F.col("supplier"))))]
+    both = lines.select("document", "sentence", node_id("part", F.col("part")).alias("target"), "scope", F.explode(F.array(*ends)).alias("e"))
+    return both.select("e.kind", "e.source", "target", "document", "sentence", "scope")
 
 
 def answer_map(nodes: DataFrame, edges: DataFrame, query: str, first: int = 24, rounds: int = 4) -> DataFrame:

@@ -372,7 +372,9 @@ def kb_evidence_subgraph(spark, d):
     order = table(spark, d, "orders").select(c("o_orderkey").alias("document"), "o_orderpriority")
     line = order.where("o_orderpriority = '1-URGENT'").select("document", F.explode(F.array(F.lit(1), F.lit(2))).alias("sentence"))
     cited = line.unionByName(order.where("o_orderpriority = '2-HIGH'").select("document", F.lit(None).cast("int").alias("sentence")))
-    return graph.evidence(graph.star_edges(spark, d).drop("id", "label"), cited).select("kind", "source", "target", "document", "sentence", "scope")
+    # Only edges of line items have a document: lines are looked up, which are narrow, and their edges are made where they lie then.
+    lines = table(spark, d, "lineitem").select(c("l_orderkey").alias("document"), c("l_linenumber").cast("int").alias("sentence"), c("l_partkey").alias("part"), c("l_suppkey").alias("supplier"), c("l_returnflag").alias("scope"))
+    return graph.line_edges(graph.evidence(lines, cited)).distinct()
 
 
 _MAP = f"""with {_NODES}, {_EDGES}, {_ENDS}, hit as (select id as node from nodes where lower(label) || ' ' || id || ' ' || kind like '%ring%' order by case when lower(label) = 'ring' then 0 when lower(label) like 'ring%' then 2
