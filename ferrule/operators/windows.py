@@ -33,11 +33,15 @@ def overlaps_next(rows: DataFrame, part: list[str], start: str, end: str, tie: s
     return rows.withColumn("next_start", F.lead(start).over(w)).where(F.col("next_start") < F.col(end))
 
 
-def variant_numbers(rows: DataFrame, part: list[str], variant: list[str], place: list[str]) -> DataFrame:
-    """Numbers the distinct variants of a part from 1 in the order in which they are first seen."""
+def variants(rows: DataFrame, part: list[str], variant: list[str], place: list[str]) -> DataFrame:
+    """(part, variant, number): the distinct variants of a part, numbered from 1 in the order in which they are first seen. Rows that lie by part are not shuffled."""
     first = rows.groupBy(*part, *variant).agg(F.min(F.struct(*place)).alias("__first"))
-    numbered = first.withColumn("number", F.row_number().over(Window.partitionBy(*part).orderBy("__first"))).drop("__first")
-    return rows.join(numbered, [*part, *variant])
+    return first.withColumn("number", F.row_number().over(Window.partitionBy(*part).orderBy("__first"))).drop("__first")
+
+
+def variant_numbers(rows: DataFrame, part: list[str], variant: list[str], place: list[str]) -> DataFrame:
+    """rows with the number of their variant (see variants)."""
+    return rows.join(variants(rows, part, variant, place), [*part, *variant])
 
 
 def sessions(rows: DataFrame, key: str, at: str, gap_seconds: int, tie: str) -> DataFrame:

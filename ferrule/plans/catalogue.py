@@ -14,7 +14,7 @@ from ferrule.functions import terms as te
 from ferrule.operators import answers, checks, collect, graph, logic, prove, text, windows
 from ferrule.plans import answer_queries, builtin_queries, derivation_queries, forest_queries, frame_queries, network_queries, source_queries, term_queries  # noqa: F401  their queries are kept too
 from ferrule.plans.registry import ORACLES, QUERIES, joined, query
-from ferrule.sources.tables import table
+from ferrule.sources.tables import spread, table
 from ferrule.streaming import events as ev
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -227,8 +227,8 @@ def kb_span_overlap(spark, d):
           select l_orderkey, l_returnflag, l_linestatus, row_number() over (partition by l_orderkey order by first, l_returnflag, l_linestatus)::bigint as number from f""")
 def kb_variant_numbering(spark, d):
     items = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_partkey")
-    out = windows.variant_numbers(items, ["l_orderkey"], ["l_returnflag", "l_linestatus"], ["l_linenumber", "l_partkey", "l_returnflag", "l_linestatus"])
-    return out.select("l_orderkey", "l_returnflag", "l_linestatus", c("number").cast("long").alias("number")).distinct()
+    out = windows.variants(spread(items, "l_orderkey"), ["l_orderkey"], ["l_returnflag", "l_linestatus"], ["l_linenumber", "l_partkey", "l_returnflag", "l_linestatus"])
+    return out.select("l_orderkey", "l_returnflag", "l_linestatus", c("number").cast("long").alias("number"))
 
 
 @query("""with m as (select user_id, ts, event_id, case when ts - lag(ts) over w > interval 6 hour or lag(ts) over w is null then 1 else 0 end as cut from events window w as (partition by user_id order by ts, event_id)),

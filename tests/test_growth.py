@@ -1,6 +1,7 @@
 """Steps whose cost grew with more than their rows: what they read, shuffle and sort."""
 
-from ferrule.operators import graph
+from ferrule.operators import clauses, concepts, graph, windows
+from ferrule.plans import catalogue, network_queries
 
 
 def plan(df) -> str:
@@ -21,3 +22,10 @@ def test_edges_of_lines_are_those_of_the_star(spark):
     lines = spark.read.parquet(f"{where}/lineitem.parquet").selectExpr("l_orderkey as document", "l_linenumber as sentence", "l_partkey as part", "l_suppkey as supplier", "l_returnflag as scope")
     made, star = graph.line_edges(lines), graph.star_edges(spark, where).where("document is not null")
     assert made.exceptAll(star.select(*made.columns)).isEmpty() and star.select(*made.columns).exceptAll(made).isEmpty()
+
+
+def test_variants_take_one_shuffle_and_no_join(spark):
+    found = catalogue.kb_variant_numbering(spark, "/root/testdata/sf0.001")
+    assert plan(found).count("Exchange") == 1 and "Join" not in plan(found)
+    rows = spark.createDataFrame([("d", "b", 2), ("d", "a", 3), ("d", "b", 1), ("d", None, 4), ("e", "a", 9), ("e", "a", 9)], "part string, variant string, place int")
+    assert sorted(map(tuple, windows.variants(rows, ["part"], ["variant"], ["place"]).collect()), key=str) == [("d", "a", 2), ("d", "b", 1), ("d", None, 3), ("e", "a", 1)]
