@@ -72,8 +72,12 @@ def focus_sets(lines: DataFrame, occurrences: DataFrame) -> DataFrame:
 
     lines: (line, source, target); occurrences: (line, document, sentence). Members are rows, so a concept that most lines touch gathers nowhere.
     """
-    pair = lambda subject, member: F.struct(F.col(subject).alias("subject"), F.col(member).alias("member"))
-    own = F.explode(F.array(*[pair(x, y) for x in ("source", "target") for y in ("source", "target")]))
-    concepts = lines.select(own.alias("e")).select(F.concat(F.lit("concept:"), F.col("e.subject")).alias("key"), F.col("e.subject").alias("subject"), "e.member")
-    rules = lines.join(occurrences, "line").select(F.concat_ws(":", F.lit("rule"), F.col("document").cast("string"), F.col("sentence").cast("string")).alias("key"), F.lit(None).cast("string").alias("subject"), F.explode(F.array("source", "target")).alias("member"))
-    return concepts.unionByName(rules).distinct()
+    # What is named twice is left out before it is named: of a pair of concepts one direction travels, of a rule its numbers.
+    swap = F.col("source").isNull() | (F.col("source") > F.col("target"))
+    pairs = lines.select(F.when(swap, F.col("target")).otherwise(F.col("source")).alias("a"), F.when(swap, F.col("source")).otherwise(F.col("target")).alias("b")).where("not a <=> b").distinct()
+    ends = F.explode(F.array(F.struct(F.col("a").alias("subject"), F.col("b").alias("member")), F.struct(F.col("b").alias("subject"), F.col("a").alias("member"))))
+    own = lines.select(F.explode(F.array("source", "target")).alias("subject")).distinct().select("subject", F.col("subject").alias("member"))
+    concepts = pairs.select(ends.alias("e")).select("e.subject", "e.member").unionByName(own).select(F.concat(F.lit("concept:"), "subject").alias("key"), "subject", "member")
+    met = lines.join(occurrences, "line").select("document", "sentence", F.explode(F.array("source", "target")).alias("member")).distinct()
+    rules = met.select(F.concat_ws(":", F.lit("rule"), F.col("document").cast("string"), F.col("sentence").cast("string")).alias("key"), F.lit(None).cast("string").alias("subject"), "member")
+    return concepts.unionByName(rules)

@@ -252,9 +252,10 @@ def kb_edge_views(spark, d):
           select 'concept:' || s as key, s as subject, s as member from l union select 'concept:' || s, s, t from l union select 'concept:' || t, t, t from l union select 'concept:' || t, t, s from l
           union select 'rule:' || d || ':' || n, null, s from l union select 'rule:' || d || ':' || n, null, t from l""")
 def kb_focus_sets(spark, d):
-    items = table(spark, d, "lineitem").select(graph.node_id("supplier", c("l_suppkey")).alias("source"), graph.node_id("part", c("l_partkey")).alias("target"), c("l_orderkey").alias("document"), c("l_linenumber").alias("sentence"))
-    line = F.concat_ws("|", "source", "target").alias("line")
-    return concepts.focus_sets(items.select(line, "source", "target").distinct(), items.select(line, "document", "sentence").distinct())
+    # A line is its two keys; its ends are named where distinct lines lie, and occurrences are joined there.
+    items = table(spark, d, "lineitem").select(F.struct("l_suppkey", "l_partkey").alias("line"), c("l_orderkey").alias("document"), c("l_linenumber").alias("sentence"))
+    lines = items.select("line").distinct().select("line", graph.node_id("supplier", c("line.l_suppkey")).alias("source"), graph.node_id("part", c("line.l_partkey")).alias("target"))
+    return concepts.focus_sets(lines, items)
 
 
 # References

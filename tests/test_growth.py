@@ -29,3 +29,14 @@ def test_variants_take_one_shuffle_and_no_join(spark):
     assert plan(found).count("Exchange") == 1 and "Join" not in plan(found)
     rows = spark.createDataFrame([("d", "b", 2), ("d", "a", 3), ("d", "b", 1), ("d", None, 4), ("e", "a", 9), ("e", "a", 9)], "part string, variant string, place int")
     assert sorted(map(tuple, windows.variants(rows, ["part"], ["variant"], ["place"]).collect()), key=str) == [("d", "a", 2), ("d", "b", 1), ("d", None, 3), ("e", "a", 1)]
+
+
+def test_focus_sets_name_what_is_distinct(spark):
+    lines = spark.createDataFrame([(1, "a", "b"), (2, "b", "a"), (3, "a", "a"), (4, "c", None), (5, None, "c"), (6, None, None)], "line int, source string, target string")
+    found = concepts.focus_sets(lines, spark.createDataFrame([(1, 7, 1), (1, 7, 1), (2, 7, 1), (4, 8, 1)], "line int, document int, sentence int"))
+    for line in plan(found).splitlines():
+        assert "Exchange" not in line or "key#" not in line
+    own = lambda *ends: {(x and f"concept:{x}", x, y) for x in ends for y in ends}
+    rules = {("rule:7:1", None, "a"), ("rule:7:1", None, "b"), ("rule:8:1", None, "c"), ("rule:8:1", None, None)}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == own("a", "b") | own("c", None) | rules and len(got) == len(set(got))
