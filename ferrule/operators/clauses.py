@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ferrule.operators import graph, resolve
+from ferrule.operators import graph
 
 #: Predicates that declare a node, with its kind: (name, label).
 DECLARING = {"entity": "entity", "event": "event", "value": "value"}
@@ -32,24 +32,45 @@ def node_name(kind: Column, document: Column, name: Column) -> Column:
     return F.concat(kind, F.lit(":"), document.cast("string"), F.lit(":"), name)
 
 
+def declarations(clauses: DataFrame) -> DataFrame:
+    """(document, sentence, kind, name, label): a row for each literal that declares."""
+    return clauses.where(F.col("predicate").isin(*DECLARING)).select("document", "sentence", _mapped(DECLARING).alias("kind"), _arg(0).alias("name"), _arg(1).alias("label"))
+
+
 def declared(clauses: DataFrame) -> DataFrame:
     """(id, kind, label, document, sentence, name): a node for each declaration, in its first sentence."""
-    kind = _mapped(DECLARING)
-    rows = clauses.where(F.col("predicate").isin(*DECLARING)).select("document", "sentence", kind.alias("kind"), _arg(0).alias("name"), _arg(1).alias("label"))
-    first = rows.groupBy("document", "kind", "name").agg(F.min(F.struct("sentence", "label")).alias("f"))
+    first = declarations(clauses).groupBy("document", "kind", "name").agg(F.min(F.struct("sentence", "label")).alias("f"))
     return first.select(node_name(F.col("kind"), F.col("document"), F.col("name")).alias("id"), "kind", F.col("f.label").alias("label"), "document", F.col("f.sentence").alias("sentence"), "name")
 
 
+def _by_name(nodes: DataFrame, kinds: list[str]) -> DataFrame:
+    """(document, name) and for each kind of node open_<kind>, null where the name is not declared as one, and first_<kind>, the first sentence that declares it (null if one of them has no number).
+
+    One row a name, in numbers and booleans only, so it takes one shuffle without a sort; which node it is follows from kind, document and name.
+    """
+    of = lambda k, value: F.when(F.col("kind") == k, value)
+    rows = nodes.where(F.col("kind").isin(*kinds)).groupBy("document", "name").agg(*[x for k in kinds for x in (F.max(of(k, F.col("sentence").isNull())).alias(f"open_{k}"), F.min(of(k, F.col("sentence"))).alias(f"least_{k}"))])
+    return rows.select("document", "name", *[f"open_{k}" for k in kinds], *[F.when(~F.col(f"open_{k}"), F.col(f"least_{k}")).alias(f"first_{k}") for k in kinds])
+
+
 def argument_edges(clauses: DataFrame, nodes: DataFrame, *keep: str) -> DataFrame:
     """(kind, source, target, label, document, sentence, line, found) of argument(event, place, name) literals, and columns to keep.
 
-    A name is looked up in its sentence, then in its document, else a node is minted for it.
+    A name is looked up in the sentence that declares it first, then in its document, else a node is minted for it. nodes: (document, sentence, kind, name) as declarations or declared give them.
     """
+    kinds = sorted(k for k in DECLARING.values() if k != "event")
     calls = clauses.where("predicate = 'argument'").select("document", "sentence", "line", _arg(0).alias("event"), _arg(1).alias("place"), _arg(2).alias("name"), *keep)
-    own = nodes.where("kind <> 'event'").select("document", "sentence", "name", F.col("id").alias("node"))
-    found = resolve.by_scope(calls, own, own.groupBy("document", "name").agg(F.min("node").alias("node")), "minted:")
-    return found.select(
-        F.lit("argument").alias("kind"), node_name(F.lit("event"), F.col("document"), F.col("event")).alias("source"), F.col("node").alias("target"), F.concat(F.lit("argument "), "place").alias("label"), "document", "sentence", "line", "found", *keep
+    both = calls.join(_by_name(nodes, kinds), ["document", "name"], "left")
+    # A name that its sentence declares as several kinds is all of them there; else it is the first kind of its document.
+    here = [F.coalesce(F.col(f"first_{k}") == F.col("sentence"), F.lit(False)) for k in kinds]
+    several = F.when(sum((h.cast("int") for h in here), F.lit(0)) > 1, F.array_compact(F.array(*[F.when(h, F.lit(k)) for h, k in zip(here, kinds)])))
+    near = F.coalesce(*[F.when(h, F.lit(k)) for h, k in zip(here, kinds)])
+    wide = F.coalesce(*[F.when(F.col(f"open_{k}").isNotNull(), F.lit(k)) for k in kinds])
+    met = both.select("document", "sentence", "line", "event", "place", "name", *keep, near.alias("near"), wide.alias("wide"), F.explode_outer(several).alias("each"))
+    node = node_name(F.coalesce("each", "near", "wide", F.lit("minted")), F.col("document"), F.col("name"))
+    found = F.when(F.col("near").isNotNull(), "sentence").when(F.col("wide").isNotNull(), "document").otherwise("minted")
+    return met.select(
+        F.lit("argument").alias("kind"), node_name(F.lit("event"), F.col("document"), F.col("event")).alias("source"), node.alias("target"), F.concat(F.lit("argument "), "place").alias("label"), "document", "sentence", "line", found.alias("found"), *keep
     )
 
 
@@ -57,19 +78,17 @@ def annotation_edges(clauses: DataFrame, nodes: DataFrame, *keep: str) -> DataFr
     """(kind, source, target, label, document, sentence, line, found): from an annotated node to its word, a node that all documents share. keep names further columns of clauses to carry along.
 
     A name that is declared as several kinds is annotated once: as the kind that the predicate is about (events for qualifiers and times, else entities), else as the
-    first other one by kind. A name that its document does not declare gets a node minted for it, so no annotation is lost; found tells which.
+    first other one by kind. A name that its document does not declare gets a node minted for it, so no annotation is lost; found tells which. nodes are as for argument_edges.
     """
-    kind = _mapped(ANNOTATING)
+    kinds = sorted(DECLARING.values())
     about = F.when(F.col("predicate").isin(*EVENT_WORDS), "event").otherwise("entity")
-    rows = clauses.where(F.col("predicate").isin(*ANNOTATING)).select("document", "sentence", "line", kind.alias("kind"), _arg(0).alias("name"), _arg(1).alias("word"), about.alias("about"), *keep)
-    # A name has at most one node a kind.
-    at = nodes.groupBy("document", "name").agg(F.map_from_entries(F.collect_set(F.struct("kind", "id"))).alias("ids"))
-    found = rows.join(at, ["document", "name"], "left")
-    others = F.array_sort(F.map_keys("ids"))
-    source = F.coalesce(F.try_element_at("ids", F.col("about")), F.try_element_at("ids", F.get(others, F.lit(0))))
-    minted = F.concat(F.lit("minted:"), F.col("document").cast("string"), F.lit(":"), F.col("name"))
-    return found.select(
-        "kind", F.coalesce(source, minted).alias("source"), F.concat(F.lit("word:"), "word").alias("target"), F.col("word").alias("label"), "document", "sentence", "line", F.when(source.isNull(), "minted").otherwise("declared").alias("found"), *keep
+    rows = clauses.where(F.col("predicate").isin(*ANNOTATING)).select("document", "sentence", "line", _mapped(ANNOTATING).alias("kind"), _arg(0).alias("name"), _arg(1).alias("word"), about.alias("about"), *keep)
+    both = rows.join(_by_name(nodes, kinds), ["document", "name"], "left")
+    known = {k: F.col(f"open_{k}").isNotNull() for k in kinds}
+    kind = F.coalesce(*[F.when(known[k] & (F.col("about") == k), F.lit(k)) for k in kinds], *[F.when(known[k], F.lit(k)) for k in kinds])
+    found = F.when(kind.isNull(), "minted").otherwise("declared")
+    return both.select(
+        "kind", node_name(F.coalesce(kind, F.lit("minted")), F.col("document"), F.col("name")).alias("source"), F.concat(F.lit("word:"), "word").alias("target"), F.col("word").alias("label"), "document", "sentence", "line", found.alias("found"), *keep
     )
 
 
@@ -79,8 +98,9 @@ def body_edges(clauses: DataFrame, nodes: DataFrame) -> DataFrame:
     clauses has a column world: what is said under a negation and plainly are two claims.
     """
     bodies = clauses.where("in_body")
-    said = argument_edges(bodies, nodes, "world").unionByName(annotation_edges(bodies, nodes, "world"))
-    return said.groupBy("kind", "source", "target", "label", "document", "sentence", "world").agg(F.min("line").alias("line"), F.count("*").alias("times"))
+    # No annotation is of the kind argument, so both are counted apart: arguments that lie by document and sentence are counted where they lie.
+    counted = lambda said: said.groupBy("kind", "source", "target", "label", "document", "sentence", "world").agg(F.min("line").alias("line"), F.count("*").alias("times"))
+    return counted(argument_edges(bodies, nodes, "world")).unionByName(counted(annotation_edges(bodies, nodes, "world")))
 
 
 def _conditions(clauses: DataFrame) -> DataFrame:

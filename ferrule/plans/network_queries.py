@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,17 +20,16 @@ c = F.col
 
 
 def order_clauses(spark, d):
-    """Each order a document and each of its lines a sentence: parts and events are declared in every line, suppliers in the first only."""
+    """Each order a document and each of its lines a sentence: parts and events are declared in every line, suppliers in the first only. A select for each literal, so that a query makes only those it asks for."""
     part, supplier, event = (F.concat(F.lit(k), c(v).cast("string")) for k, v in (("p", "l_partkey"), ("s", "l_suppkey"), ("e", "l_linenumber")))
-    lit = lambda name, body, *args: F.struct(F.lit(name).alias("predicate"), F.array(*args).alias("args"), body.alias("in_body"))
-    no, few = F.lit(False), c("l_quantity") < 10
-    said = F.array(
+    items, no, few = table(spark, d, "lineitem"), F.lit(False), c("l_quantity") < 10
+    place = (c("l_orderkey").alias("document"), c("l_linenumber").alias("sentence"), c("l_linenumber").alias("line"))
+    lit = lambda name, body, *args, rows=items: rows.select(*place, F.lit(name).alias("predicate"), F.array(*args).alias("args"), body.alias("in_body"))
+    said = [
         lit("entity", few, part, F.lit("part")), lit("event", no, event, F.lit("ship")), lit("argument", no, event, F.lit("1"), supplier), lit("argument", no, event, F.lit("2"), part),
-        lit("grade", no, part, c("l_linestatus")), lit("qualifier", no, event, c("l_returnflag")),
-    )
-    first = F.when(c("l_linenumber") == 1, F.array(lit("entity", no, supplier, F.lit("supplier")))).otherwise(F.array_except(said, said))
-    rows = table(spark, d, "lineitem").select(c("l_orderkey").alias("document"), c("l_linenumber").alias("sentence"), c("l_linenumber").alias("line"), F.explode(F.concat(said, first)).alias("c"))
-    return rows.select("document", "sentence", "line", "c.*")
+        lit("grade", no, part, c("l_linestatus")), lit("qualifier", no, event, c("l_returnflag")), lit("entity", no, supplier, F.lit("supplier"), rows=items.where("l_linenumber = 1")),
+    ]
+    return reduce(DataFrame.unionByName, said)
 
 
 _L = "l as (select l_orderkey as document, l_linenumber as sentence, 'p' || l_partkey as p, 's' || l_suppkey as s, 'e' || l_linenumber as e, l_quantity < 10 as few, l_linestatus as grade, l_returnflag as flag from lineitem)"
@@ -46,37 +48,54 @@ def kb_declared_nodes(spark, d):
            case when s1.s is null then 'minted' when sentence = 1 then 'sentence' else 'document' end from l left join s1 on l.document = s1.document and l.s = s1.s""")
 def kb_argument_edges(spark, d):
     rows = order_clauses(spark, d)
-    return clauses.argument_edges(rows, clauses.declared(rows))
+    return clauses.argument_edges(rows, clauses.declarations(rows))
 
 
 @query(f"""with {_L} select 'grade' as kind, 'entity:' || document || ':' || p as source, 'word:' || grade as target, grade as label, document, sentence, sentence as line, 'declared' as found from l
            union all select 'qualifier', 'event:' || document || ':' || e, 'word:' || flag, flag, document, sentence, sentence, 'declared' from l""")
 def kb_annotation_edges(spark, d):
     rows = order_clauses(spark, d)
-    return clauses.annotation_edges(rows, clauses.declared(rows))
+    return clauses.annotation_edges(rows, clauses.declarations(rows))
+
+
+def rule_lines(spark, d):
+    """Each line of an order a clause; lines of returned goods are another sentence."""
+    sentence = F.when(c("l_returnflag") == "R", 2).otherwise(1)
+    return table(spark, d, "lineitem").select(c("l_orderkey").alias("document"), sentence.alias("sentence"), c("l_linenumber").alias("line"), "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag")
 
 
-def rule_clauses(spark, d, dealt: bool = True):
-    """Each line of an order a clause: its head states an event, its body has two events in worlds of their own, an argument and a grade; lines of returned goods are another sentence. dealt: they lie by sentence."""
+def _rule_literals():
+    """(ordinal, predicate, in_body, world, args) of a rule line: its head states an event, its body has two events in worlds of their own, an argument and a grade."""
     name = lambda tag, value: F.concat(F.lit(tag), value.cast("string"))
-    lit = lambda place, predicate, body, world, *args: F.struct(F.lit(place).alias("ordinal"), F.lit(predicate).alias("predicate"), F.lit(body).alias("in_body"), world.alias("world"), F.array(*args).alias("args"))
     head, first, second, part = name("h", c("line") % 2), name("q", c("l_partkey") % 4), name("q", c("l_suppkey") % 4), name("p", c("l_partkey") % 9)
     actual, world = F.lit("actual"), c("l_linestatus")
-    said = F.array(
-        lit(0, "event", False, actual, head, F.lit("do")), lit(1, "event", True, world, first, F.lit("hold")), lit(2, "event", True, actual, second, F.lit("hold")),
-        lit(3, "argument", True, world, first, F.lit("1"), part), lit(4, "grade", True, actual, second, c("l_returnflag")),
-    )
-    sentence = F.when(c("l_returnflag") == "R", 2).otherwise(1)
-    lines = table(spark, d, "lineitem").select(c("l_orderkey").alias("document"), sentence.alias("sentence"), c("l_linenumber").alias("line"), "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag")
-    if not dealt:
-        return lines.select("document", "sentence", "line", F.explode(said).alias("s")).select("document", "sentence", "line", "s.*").distinct()
+    return [
+        (0, "event", False, actual, (head, F.lit("do"))), (1, "event", True, world, (first, F.lit("hold"))), (2, "event", True, actual, (second, F.lit("hold"))),
+        (3, "argument", True, world, (first, F.lit("1"), part)), (4, "grade", True, actual, (second, c("l_returnflag"))),
+    ]
+
+
+def rule_clauses(spark, d):
+    """The literals of rule lines, each once a line; they lie by sentence."""
+    said = F.array(*[F.struct(F.lit(k).alias("ordinal"), F.lit(p).alias("predicate"), F.lit(body).alias("in_body"), world.alias("world"), F.array(*args).alias("args")) for k, p, body, world, args in _rule_literals()])
     # A sentence's lines meet before they are taken apart; a clause that an earlier row of its line states is left out.
     w = Window.partitionBy("document", "sentence", "line").orderBy("l_partkey", "l_suppkey", "l_linestatus", "l_returnflag").rowsBetween(Window.unboundedPreceding, -1)
-    met = spread(lines, "document", "sentence").withColumn("said", said).withColumn("before", F.collect_list("said").over(w))
+    met = spread(rule_lines(spark, d), "document", "sentence").withColumn("said", said).withColumn("before", F.collect_list("said").over(w))
     new = F.when(F.size("before") == 0, c("said")).otherwise(F.array_except("said", F.flatten("before")))
     return met.select("document", "sentence", "line", F.explode(new).alias("s")).select("document", "sentence", "line", "s.*")
 
 
+def rule_statements(lines, distinct: bool):
+    """The literals of rule lines, once a line or as often as rows state them. A select for each literal, so that a query makes only those it asks for."""
+    parts = []
+    for ordinal, predicate, body, world, args in _rule_literals():
+        names = [f"arg{k}" for k in range(len(args))]
+        rows = lines.select("document", "sentence", "line", world.alias("world"), *[x.alias(n) for n, x in zip(names, args)])
+        rows = rows.distinct() if distinct else rows
+        parts.append(rows.select("document", "sentence", "line", F.lit(ordinal).alias("ordinal"), F.lit(predicate).alias("predicate"), F.lit(body).alias("in_body"), "world", F.array(*names).alias("args")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 _R = """l as (select distinct l_orderkey as document, case when l_returnflag = 'R' then 2 else 1 end as sentence, l_linenumber as line, 'h' || l_linenumber % 2 as h, 'q' || l_partkey % 4 as q1, 'q' || l_suppkey % 4 as q2, 'p' || l_partkey % 9 as p, l_linestatus as world, l_returnflag as flag from lineitem),
   b as (select document, sentence, line, 1 as ordinal, world, q1 as q from l union select document, sentence, line, 2, 'actual', q2 from l), h as (select distinct document, sentence, line, h from l),
   k as (select document, sentence, 'event:' || document || ':' || q as source, 'event:' || document || ':' || h as target, line, ordinal, world from b join h using (document, sentence, line)),
@@ -97,8 +116,8 @@ def kb_condition_merges(spark, d):
     select distinct document, sentence, line, 'argument' as kind, 'event:' || document || ':' || q1 as source, 'minted:' || document || ':' || p as target, 'argument 1' as label, world from l
     union all select distinct document, sentence, line, 'grade', 'event:' || document || ':' || q2, 'word:' || flag, flag, 'actual' from l) group by all""")
 def kb_body_edges(spark, d):
-    rows = rule_clauses(spark, d, False)
-    return clauses.body_edges(rows, clauses.declared(rows))
+    lines = rule_lines(spark, d)
+    return clauses.body_edges(rule_statements(spread(lines, "document", "sentence"), True), clauses.declarations(rule_statements(lines, False)))
 
 
 @query(f"""with {_R} select distinct 'implies' as kind, 'context:' || document || ':actual' as source, 'event:' || document || ':' || h as target, 'condition implies event' as label, document, sentence, line from l""")

@@ -40,3 +40,22 @@ def test_focus_sets_name_what_is_distinct(spark):
     rules = {("rule:7:1", None, "a"), ("rule:7:1", None, "b"), ("rule:8:1", None, "c"), ("rule:8:1", None, None)}
     got = [tuple(r) for r in found.collect()]
     assert set(got) == own("a", "b") | own("c", None) | rules and len(got) == len(set(got))
+
+
+def test_edges_of_clauses_take_one_join_and_no_sorted_aggregate(spark):
+    where = "/root/testdata/sf0.001"
+    for query in (network_queries.kb_argument_edges, network_queries.kb_annotation_edges, network_queries.kb_body_edges):
+        text = plan(query(spark, where))
+        assert text.count("Join") == 1 and "SortAggregate" not in text and "ObjectHashAggregate" not in text
+
+
+def test_a_name_is_looked_up_in_its_sentence_then_in_its_document(spark):
+    declared = [("d", 1, "entity", "x"), ("d", 1, "value", "x"), ("d", 2, "entity", "x"), ("d", 3, "value", "y"), ("d", 4, "event", "z"), ("d", None, "entity", "w"), ("d", 6, "entity", "w")]
+    literals = [(d, s, s, k, [n, "label"], False) for d, s, k, n in declared] + [("d", s, s, "argument", ["e", "1", n], False) for s, n in [(1, "x"), (2, "x"), (3, "y"), (4, "z"), (6, "w"), (9, "y"), (None, "y"), (1, None)]]
+    df = spark.createDataFrame(literals, "document string, sentence int, line int, predicate string, args array<string>, in_body boolean")
+    for nodes in (clauses.declarations(df), clauses.declared(df)):
+        got = sorted(((r.sentence, r.target, r.found) for r in clauses.argument_edges(df, nodes).collect()), key=str)
+        assert got == sorted(
+            [(1, "entity:d:x", "sentence"), (1, "value:d:x", "sentence"), (2, "entity:d:x", "document"), (3, "value:d:y", "sentence"), (4, "minted:d:z", "minted"), (6, "entity:d:w", "document"), (9, "value:d:y", "document"), (None, "value:d:y", "document"), (1, None, "minted")],
+            key=str,
+        )
