@@ -1,6 +1,8 @@
 """Steps whose cost grew with more than their rows: what they read, shuffle and sort."""
 
-from ferrule.operators import clauses, concepts, graph, windows
+import numpy as np
+
+from ferrule.operators import clauses, concepts, graph, text, windows
 from ferrule.plans import catalogue, network_queries
 
 
@@ -45,8 +47,8 @@ def test_focus_sets_name_what_is_distinct(spark):
 def test_edges_of_clauses_take_one_join_and_no_sorted_aggregate(spark):
     where = "/root/testdata/sf0.001"
     for query in (network_queries.kb_argument_edges, network_queries.kb_annotation_edges, network_queries.kb_body_edges):
-        text = plan(query(spark, where))
-        assert text.count("Join") == 1 and "SortAggregate" not in text and "ObjectHashAggregate" not in text
+        said = plan(query(spark, where))
+        assert said.count("Join") == 1 and "SortAggregate" not in said and "ObjectHashAggregate" not in said
 
 
 def test_a_name_is_looked_up_in_its_sentence_then_in_its_document(spark):
@@ -59,3 +61,23 @@ def test_a_name_is_looked_up_in_its_sentence_then_in_its_document(spark):
             [(1, "entity:d:x", "sentence"), (1, "value:d:x", "sentence"), (2, "entity:d:x", "document"), (3, "value:d:y", "sentence"), (4, "minted:d:z", "minted"), (6, "entity:d:w", "document"), (9, "value:d:y", "document"), (None, "value:d:y", "document"), (1, None, "minted")],
             key=str,
         )
+
+
+def test_windows_of_bytes_are_hashed_as_arrays():
+    raw = np.frombuffer("abracadabra abracadabra, größer".encode(), np.uint8)
+    for k in (1, 2, 3, 7, 16, 24, len(raw)):
+        h = text._window_hashes(raw, k)
+        same = {}
+        for i in range(len(raw) - k + 1):
+            assert same.setdefault(raw[i : i + k].tobytes(), h[i]) == h[i]
+        assert len(h) == len(raw) - k + 1 and len(set(same.values())) == len(same)
+
+
+def test_passages_are_found_over_steps_and_in_odd_texts(spark):
+    far = "x" * ((1 << 20) - 7) + "The needle, größer: here." + "y" * 50
+    pages = spark.createDataFrame([(1, far), (2, ""), (3, None), (4, " .:; "), (5, "Größer"), (5, "gr"), (6, "the needle")], "p int, t string")
+    wanted = spark.createDataFrame([(1, "needle, größer HERE"), (2, "größer"), (3, ""), (4, None), (5, "g"), (6, "the needle, gr")], "q int, s string")
+    at = (1 << 20) - 7
+    got = sorted((r.p, r.q, r.at) for r in text.located(pages, wanted, "t", "s", "p", "q").collect())
+    assert got == [(1, 1, at + 3), (1, 2, at + 10), (1, 5, at + 10), (1, 6, at), (5, 2, 0), (5, 5, 0), (5, 5, 0)]
+    assert text.located(pages, wanted.where("q = 3"), "t", "s", "p", "q").count() == 0
