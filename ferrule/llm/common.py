@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.operators import graph
 from ferrule.sources.tables import shared_dir, staged, staged_and_seen, table, unstage
 
-__all__ = ["WORD", "BROADCAST_ROWS", "components", "free_names", "looked_up", "runs", "shared_dir", "staged", "staged_and_seen", "table", "unstage"]
+__all__ = ["WORD", "BATCH_ROWS", "BROADCAST_ROWS", "bounded_batches", "components", "free_names", "looked_up", "runs", "shared_dir", "staged", "staged_and_seen", "table", "unstage"]
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,6 +20,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a counted table that may be broadcast.
 BROADCAST_ROWS = 500_000
 
+#: Texts that a Python worker gets at once.
+BATCH_ROWS = 500
+
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Each wanted name, with underscores before it until no column of df has it (names differ by more than case)."""
@@ -33,6 +36,16 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """From now on no more than `rows` rows of this session go to a Python worker at once; a smaller number stays.
+
+    A batch is held by the worker and by the executor, which writes it and reads its answer: 10,000 texts, Spark's number, are 30 MB and more each time.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def looked_up(rows: DataFrame, facts: DataFrame, key: Column, fact: str, spread: Column, hot: Column, counts: dict) -> DataFrame:
     """rows left-joined to staged facts by key, a text; fact names the facts' key, unique there. Facts' other columns are added.
 
