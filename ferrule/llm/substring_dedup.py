@@ -106,7 +106,7 @@ class _Windows:
         good = self.room >= chain[len(filters)]
         for length, longer, bits in zip(chain, chain[1:], filters):
             least = _least_ahead(self.names(length), longer - length + 1)
-            inside = _has(bits, self.names(length)) & (self.room >= length)
+            inside = has_bit(bits, self.names(length)) & (self.room >= length)
             good &= inside[least]
         return good
 
@@ -130,7 +130,7 @@ def _once(doc: np.ndarray, *names: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(c[new] for c in cols)
 
 
-def _has(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+def has_bit(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
     at = names & np.uint64(len(bits) * 64 - 1)
     return ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
 
@@ -165,7 +165,7 @@ def _last_rows(docs: DataFrame, chain: list[int], filters: list[Broadcast], hot:
                 if len(chain) > 1:
                     shorter = w.names(chain[-2])
                     at = _least_ahead(shorter, chain[-1] - chain[-2] + 1)[may]
-                    many = _has(hot.value, shorter[at]) if hot else ~many
+                    many = has_bit(hot.value, shorter[at]) if hot else ~many
                 doc, a, b, many = _once(w.doc[may], w.names(chain[-1])[may], w.names(chain[-1], 1)[may] & np.uint64(0x7FFFFFFF), many)
                 doc = ids[first:][doc]
                 part = np.where(many, _mixed(doc.view(np.uint64), doc.view(np.uint64), 1) % np.uint64(parts) + np.uint64(1), 0)
@@ -200,7 +200,7 @@ def _copies(docs: DataFrame) -> tuple[DataFrame, int]:
     return out, counted["n"]
 
 
-def _filter(repeated: DataFrame, n: int) -> np.ndarray:
+def bit_filter(repeated: DataFrame, n: int) -> np.ndarray:
     """Bits of the names in `a`: put together by the executors word by word, so the driver gets no more than the filter's size."""
     size = LEAST_BITS
     while size < min(n * BITS_EACH, MOST_BITS):
@@ -257,9 +257,9 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, text: str = "text
         shared, seen = staged_and_seen(shared, "substrings-level", n=F.count("*"), hot=F.count_if(F.col("k") >= HOT), most=F.max("k"))
         alive = seen["n"] > 0
         if alive:
-            filters.append(spark.sparkContext.broadcast(_filter(shared, seen["n"])))
+            filters.append(spark.sparkContext.broadcast(bit_filter(shared, seen["n"])))
             parts = min(-(-seen["most"] // HOT), PARTS) if seen["hot"] else 0
-            hot = spark.sparkContext.broadcast(_filter(shared.where(F.col("k") >= HOT), seen["hot"])) if parts else None
+            hot = spark.sparkContext.broadcast(bit_filter(shared.where(F.col("k") >= HOT), seen["hot"])) if parts else None
         unstage(shared)
         if not alive:
             break

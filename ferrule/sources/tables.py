@@ -36,10 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/ferrule-{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back; a lost executor costs a reread, not a replay."""
+def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write df as Parquet, with these options, into the shared folder and read it back; a lost executor costs a reread, not a replay."""
     path = f"{shared_dir(df.sparkSession)}/staged/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out

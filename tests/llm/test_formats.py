@@ -359,3 +359,38 @@ def test_a_tag_in_a_comment_or_a_menu_does_not_change_how_a_page_is_judged(spark
         rows = [(k, "http://h/", f"{mark}<p>{' '.join(f'w{k}x{j}' for j in range(30))}</p>" + notice * (k < 4)) for k in range(12)]
         got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
         assert got == {k: " ".join(f"w{k}x{j}" for j in range(30)) for k in range(12)}
+
+
+def test_pages_are_read_and_parsed_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(k, f"http://h/{k % 3}", f"<article><p>{invented(k, 40)}</p><p>{invented('notice', 9)}</p></article>") for k in range(30)]
+    got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").mapInArrow(seen, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: invented(k, 40) for k in range(30)} and read.value == 30
+
+
+def test_marked_pages_lose_the_blocks_that_brute_force_finds(spark):
+    rng, rows = random.Random(5), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    for host in range(6):
+        shared = [" ".join(word() for _ in range(n)) for n in (5, 6, 7, 12, 12)]
+        for k in range(8):
+            blocks_ = [" ".join(word() for _ in range(30)) for _ in range(3)] + [s for s in shared if rng.random() < 0.55] + [f"{shared[4]} {shared[3]}"] * (k % 2)
+            rng.shuffle(blocks_)
+            rows.append((len(rows), f"http://h{host}/{k}", blocks_))
+    runs_of = lambda words: {tuple(words[k : k + 6]) for k in range(len(words) - 5)}
+    want = {}
+    for i, url, own in rows:
+        others = [runs_of(" ".join(o).split()) for _, u, o in rows if u.split("/")[2] == url.split("/")[2]]
+        words = " ".join(own).split()
+        bad = {k + d for k in range(len(words) - 5) if sum(tuple(words[k : k + 6]) in o for o in others) >= 4 for d in range(6)}
+        starts = [sum(len(b.split()) for b in own[:k]) for k in range(len(own))]
+        want[i] = "\n".join(b for b, at in zip(own, starts) if not all(at + d in bad for d in range(len(b.split()))))
+    df = spark.createDataFrame([(i, u, "<article>" + "".join(f"<p>{b}</p>" for b in o) + "</article>") for i, u, o in rows], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract_text(df).collect()} == want
+    assert sum(len(o) > want[i].count("\n") + 1 for i, _, o in rows) > 15
