@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     tops = here.groupBy("hub").agg(F.array(F.max(by_links), F.max(by_hash)).alias("tops")).select("hub", F.explode("tops.rep").alias("top"))
     apart = here.where("with_hub is null and rep <> hub").select("hub", "rep").join(tops, "hub").where("top <> hub")
     further, _ = confirmed(apart.select(F.col("rep").alias("a"), F.col("top").alias("b")))
-    final = components(links.unionByName(further), "minhash-components")
+    final = staged(components(links.unionByName(further), "minhash-components"), "minhash-placed")  # read many times below
     here = placed(final)
     mixed = here.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("hub")
     apart = staged(here.join(mixed, "hub").join(reps.select("rep", "n", "regs"), "rep"), "minhash-apart")
@@ -335,10 +335,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         known = final.select(F.col("node").alias("rep"), F.col("component").alias("c"))
         ends = more.join(known, F.col("a") == F.col("rep"), "left").select(F.coalesce("c", "a").alias("a"), "b")
         ends = ends.join(known, F.col("b") == F.col("rep"), "left").select("a", F.coalesce("c", "b").alias("b"))
-        merged = components(ends, "minhash-components").select(F.col("node").alias("c"), F.col("component").alias("now"))
+        merged = staged(components(ends, "minhash-components").select(F.col("node").alias("c"), F.col("component").alias("now")), "minhash-merged")
         lone = merged.join(final.select(F.col("component").alias("c")), "c", "left_anti").select(F.col("c").alias("node"), F.col("now").alias("component"))
         moved = final.withColumnRenamed("component", "c").join(merged, "c", "left").select("node", F.coalesce("now", "c").alias("component"))
-        final = moved.unionByName(lone)
+        first_placed, final = final, staged(moved.unionByName(lone), "minhash-placed")
+        unstage(first_placed, merged)
     unstage(mates, apart, more, nodes, sets, links, further)
     # A component's document is the least of its representatives' least ones.
     owner = reps.select("rep", "least").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "least", F.coalesce("component", "rep").alias("component"))

@@ -84,3 +84,20 @@ def test_stages_of_an_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0, name
+
+
+def test_a_step_of_the_mix_reads_its_state_once(spark, monkeypatch):
+    """Each plan that is staged while the multipliers are sought holds a join and an aggregate for each of its three steps."""
+    from ferrule.llm import mixing
+
+    plans = []
+
+    def kept(df, label, seen=mixing.staged_and_seen, **measures):
+        plans.append((label, df._jdf.queryExecution().optimizedPlan().toString().count("Join ")))
+        return seen(df, label, **measures)
+
+    monkeypatch.setattr(mixing, "staged_and_seen", kept)
+    docs = spark.createDataFrame([(k, " ".join(["w"] * (k % 17 + 1)), "abc"[k % 3]) for k in range(200)], "doc_id long, text string, source string")
+    rows = mixing.mix_sources(docs, carry=[]).collect()
+    assert len(rows) == 200 and all(abs(sum(r.taken for r in rows if r.target == t) - t) < 20 for t in {r.target for r in rows})
+    assert {n for label, n in plans if label == "mix-dual"} == {3}
