@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -36,19 +38,39 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/ferrule-{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write df as Parquet, with these options, into the shared folder and read it back; a lost executor costs a reread, not a replay."""
+#: Shuffle files go when the query that made them ends, not when the driver collects its garbage.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession, on: bool = True) -> Iterator[None]:
+    """Queries that are run inside leave no shuffle files."""
+    before = spark.conf.get(_FREED, None)
+    if on:
+        spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        if on and before is None:
+            spark.conf.unset(_FREED)
+        elif on:
+            spark.conf.set(_FREED, before)
+
+
+def staged(df: DataFrame, label: str, freed: bool = False, **options: str) -> DataFrame:
+    """Write df as Parquet, with these options, into the shared folder and read it back; a lost executor costs a reread, not a replay. freed: the shuffle files of the write go at its end."""
     path = f"{shared_dir(df.sparkSession)}/staged/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    with shuffles_freed(df.sparkSession, freed):
+        df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
 
 
-def staged_and_seen(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
+def staged_and_seen(df: DataFrame, label: str, freed: bool = False, **measures: Column) -> tuple[DataFrame, dict]:
     """A staged table, and aggregates over its rows that the write itself has gathered."""
     seen = Observation()
-    out = staged(df.observe(seen, *[m.alias(k) for k, m in measures.items()]), label)
+    out = staged(df.observe(seen, *[m.alias(k) for k, m in measures.items()]), label, freed)
     return out, seen.get
 
 
